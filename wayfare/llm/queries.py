@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, line_dedup, packing, rules, secrets, sharding
+from . import licenses, line_dedup, packing, quality, rules, secrets, sharding
 
 #: A folder of public tokenizers other than the installed one.
 TOKENIZERS_ENV = "WAYFARE_TOKENIZERS"
@@ -34,6 +34,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -53,5 +57,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_license_scan, op4_sharding, op6_line_dedup, op9_secret_scan, op10_quality_rules)
+    f.__name__: f for f in (op1_packing, op2_license_scan, op3_quality_classifier, op4_sharding, op6_line_dedup, op9_secret_scan, op10_quality_rules)
 }
