@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, line_dedup, packing, quality, rules, secrets, sharding
+from . import decontaminate, jaccard, licenses, line_dedup, packing, quality, rules, secrets, sharding
 
 #: A folder of public tokenizers other than the installed one.
 TOKENIZERS_ENV = "WAYFARE_TOKENIZERS"
@@ -43,6 +43,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", "n_matched", "n_windows")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -61,5 +66,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_license_scan, op3_quality_classifier, op4_sharding, op6_line_dedup, op8_jaccard_join, op9_secret_scan, op10_quality_rules)
+    f.__name__: f for f in (op1_packing, op2_license_scan, op3_quality_classifier, op4_sharding, op5_decontamination, op6_line_dedup, op8_jaccard_join, op9_secret_scan, op10_quality_rules)
 }
