@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licenses, line_dedup, packing, quality, rules, secrets, sharding
+from . import decontaminate, jaccard, licenses, line_dedup, packing, pii, quality, rules, secrets, sharding
 
 #: A folder of public tokenizers other than the installed one.
 TOKENIZERS_ENV = "WAYFARE_TOKENIZERS"
@@ -53,6 +53,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(read(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "n_links")
 
@@ -66,5 +70,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_license_scan, op3_quality_classifier, op4_sharding, op5_decontamination, op6_line_dedup, op8_jaccard_join, op9_secret_scan, op10_quality_rules)
+    f.__name__: f for f in (op1_packing, op2_license_scan, op3_quality_classifier, op4_sharding, op5_decontamination, op6_line_dedup, op7_pii, op8_jaccard_join, op9_secret_scan, op10_quality_rules)
 }
