@@ -19,8 +19,10 @@ any positive label every score is 0.5; an empty table gives no rows; other colum
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,7 +149,7 @@ def estimate_prior(positives: DataFrame, rows: DataFrame, theta: np.ndarray, *,
     share, mass = p / max(p[-1], 1), u / max(u[-1], 1)
     slack = 2 * np.sqrt(share * (1 - share) / max(p[-1], 1))
     wide = share >= 0.2
-    return float(np.clip(((mass + slack) / share)[wide].min() if wide.any() else 0.5, least, most))
+    return float(np.clip(((mass + slack)[wide] / share[wide]).min() if wide.any() else 0.5, least, most))
 
 
 def calibrate(g: np.ndarray, y: np.ndarray, *, steps: int = 200) -> tuple[float, float]:
@@ -170,6 +172,32 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+class Model(NamedTuple):
+    """Weights over the features, and the calibration of their sum."""
+
+    theta: np.ndarray
+    a: float
+    b: float
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.a * (x @ self.theta) + self.b)))
+
+
+def fit(rows: DataFrame, labels: DataFrame, *, max_calibration: int = 20_000) -> Model:
+    """The classifier for described rows; without a positive label, one that scores everything 0.5."""
+    marks = labels.filter("doc_id is not null and quality is not null").filter(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    marked = materialize(rows.join(marks, "doc_id").select("doc_id", "x", "quality"), "labelled")
+    positives = marked.filter("quality = 1")
+    (n_p, p), (_, u) = moments(positives), moments(rows)
+    if not n_p:
+        return Model(np.zeros(WIDTH), 0.0, 0.0)
+    ridge = 1e-3 + 2 / n_p  # few positives: short documents would be fitted one by one
+    prior = estimate_prior(positives, rows, fit_nn(0.5, p, u, ridge=ridge))
+    theta = fit_nn(prior, p, u, ridge=ridge)
+    by_class = [marked.filter(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_calibration).select(_decision(theta).alias("g")).toPandas()["g"].to_numpy(float) for y in (0, 1)]
+    return Model(theta, *calibrate(np.concatenate(by_class), np.repeat([0, 1], list(map(len, by_class)))))
+
+
 def score(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, max_calibration: int = 20_000) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text); ``labels`` has doc_id and quality.
 
@@ -177,18 +205,19 @@ def score(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, max_cal
     brought to the driver, as numbers, to calibrate the score; the classifier itself is fitted on all rows.
     """
     rows = described(docs)
-    marks = labels.filter("doc_id is not null and quality is not null").filter(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    marked = materialize(rows.join(marks, "doc_id").select("doc_id", "x", "quality"), "labelled")
-    positives = marked.filter("quality = 1")
-    (n_p, p), (_, u) = moments(positives), moments(rows)
-    if n_p:
-        ridge = 1e-3 + 2 / n_p  # few positives: short documents would be fitted one by one
-        prior = estimate_prior(positives, rows, fit_nn(0.5, p, u, ridge=ridge))
-        theta = fit_nn(prior, p, u, ridge=ridge)
-        by_class = [marked.filter(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_calibration).select(_decision(theta).alias("g")).toPandas()["g"].to_numpy() for y in (0, 1)]
-        a, b = calibrate(np.concatenate(by_class), np.repeat([0, 1], list(map(len, by_class))))
-        value = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * _decision(theta) + F.lit(b))))
-    else:
-        value = F.lit(0.5)
+    model = fit(rows, labels, max_calibration=max_calibration)
+    value = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(model.a) * _decision(model.theta) + F.lit(model.b))))
     scored = rows.select("doc_id", held_out().alias("held_out"), value.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> DataFrame:
+    """``docs`` without the rows that score below the threshold; rows are scored where they lie, without a join."""
+    model = fit(described(docs), labels)
+
+    @F.pandas_udf("double")
+    def value(text: pd.Series) -> pd.Series:
+        parts = [model.of(features(pa.array(text.iloc[i : i + 500], pa.string()))) for i in range(0, len(text), 500)]
+        return pd.Series(np.concatenate([np.empty(0), *parts]))
+
+    return docs.filter(value(text_or_empty()) >= threshold)
