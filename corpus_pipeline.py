@@ -1,12 +1,64 @@
-"""Corpus pipeline: stages that each call one operator on what the stage before kept."""
+"""Corpus pipeline: quality classifier, line dedup, n-gram Jaccard join, benchmark decontamination, packing.
+
+Each stage calls one operator on all that the stage before kept. Stages are written as Parquet and read again, so
+that a later stage never repeats an earlier one.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayfare.llm import decontaminate, jaccard, line_dedup, packing, quality
+from wayfare.llm.common import shared_dir
+from wayfare.llm.queries import read, tokenizer_file
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text, where the table has it."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(line_dedup.dedup_lines(docs).select(*docs.columns))
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs)
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_file())
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("line_dedup", distinct_lines),
+    ("near_dedup", distinct_documents),
+    ("decontamination", clean_of_benchmark),
+    ("packing", packed),
+]
 
-STAGES = []
+#: Trained, hashed and tokenized stages have no SQL form; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces of ``documents``."""
+    docs = read(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/wayfare/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        out = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+    return docs
