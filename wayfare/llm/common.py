@@ -2,41 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.durable import materialize, shared_dir
+
+__all__ = ["SPACE", "SPACES", "materialize", "shared_dir", "text_or_empty", "words"]
+
 #: ASCII white space, `[\x20\x09-\x0D]`.
 SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is absent, as in local tests, a temporary folder takes its place and is removed at exit.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="wayfare-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: later steps start from files that outlive any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wayfare/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -45,7 +22,3 @@ def words(text: Column) -> Column:
     """Maximal runs of characters that aren't ASCII white space; none for an empty text."""
     trimmed = F.btrim(text, F.lit(SPACE))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES, -1))
-
-
-def join_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
