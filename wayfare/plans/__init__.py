@@ -1 +1,6 @@
-"""plans package."""
+"""Registered queries."""
+
+from . import homes_queries, report_queries, visits_queries  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
