@@ -130,7 +130,7 @@ def affinity_input(homes: DataFrame, dwell: DataFrame) -> DataFrame:
     """Per home position (4 decimals): visit days, devices, mean dwell and visits a device."""
     met = dwell.join(homes, "ad_id")
     return met.groupBy(F.round("home_lat", 4).alias("origin_lat"), F.round("home_lng", 4).alias("origin_lng")).agg(
-        F.count(F.lit(1)).alias("total_visits"), F.countDistinct("ad_id").alias("unique_devices"), F.round(F.avg("dwell_minutes"), 3).alias("avg_dwell"), F.round(F.count(F.lit(1)) / F.countDistinct("ad_id"), 6).alias("avg_frequency")
+        F.count(F.lit(1)).alias("total_visits"), F.countDistinct("ad_id").alias("unique_devices"), F.round(F.avg("dwell_minutes") + 1e-9, 3).alias("avg_dwell"), F.round(F.count(F.lit(1)) / F.countDistinct("ad_id"), 6).alias("avg_frequency")
     )
 
 

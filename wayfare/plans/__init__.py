@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import homes_queries, report_queries, visits_queries  # noqa: F401
+from . import audience_queries, homes_queries, report_queries, visits_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

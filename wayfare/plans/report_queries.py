@@ -115,7 +115,7 @@ def nse_origins_visit_days(t: Tables) -> DataFrame:
 
 
 AFFINITY_INPUT_SQL = HOMES_SQL + """,
-affinity_in AS (SELECT round(home_lat, 4) AS origin_lat, round(home_lng, 4) AS origin_lng, count(*) AS total_visits, count(DISTINCT ad_id) AS unique_devices, round(avg(round(seconds / 60.0::DOUBLE, 1)), 3) AS avg_dwell, round(CAST(count(*) AS DOUBLE) / count(DISTINCT ad_id), 6) AS avg_frequency
+affinity_in AS (SELECT round(home_lat, 4) AS origin_lat, round(home_lng, 4) AS origin_lng, count(*) AS total_visits, count(DISTINCT ad_id) AS unique_devices, round(avg(round(seconds / 60.0::DOUBLE, 1)) + 1e-9::DOUBLE, 3) AS avg_dwell, round(CAST(count(*) AS DOUBLE) / count(DISTINCT ad_id), 6) AS avg_frequency
   FROM dwell JOIN homes USING (ad_id) GROUP BY 1, 2)
 """
 
