@@ -86,3 +86,42 @@ def shingles(text: str | None, n: int = 5) -> frozenset:
 
 def crc(data: bytes) -> int:
     return zlib.crc32(data)
+
+
+def tiles(parts: list[tuple[int, int]]) -> int:
+    """The length that (start, length) parts cover from 0 on, without gap or overlap."""
+    end = 0
+    for start, length in sorted(parts):
+        assert start == end
+        end += length
+    return end
+
+
+def auc(scored: list[tuple[float, int]]) -> float:
+    ones, zeros = ([s for s, y in scored if y == k] for k in (1, 0))
+    return sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / max(1, len(ones) * len(zeros))
+
+
+def near(docs: list[tuple[int, str | None]], threshold: float = 0.8) -> dict[int, tuple[int, int, int]]:
+    """doc_id: (class, least id with the same shingles, links), by all pairs."""
+    sets = {d: s for d, t in docs if (s := shingles(t))}
+    order = sorted(sets)
+    links, root = Counter(), {d: d for d, _ in docs}
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    by_set = {}
+    for d in order:
+        by_set.setdefault(sets[d], d)
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) >= threshold * max(len(x), len(y)) and (n := len(x & y)) >= threshold * (len(x) + len(y) - n) - 1e-9:
+                links[a] += 1
+                links[b] += 1
+                p, q = sorted((top(a), top(b)))
+                root[q] = p
+    return {d: (top(d), by_set[sets[d]] if d in sets else d, links[d]) for d, _ in docs}
