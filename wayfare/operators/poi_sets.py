@@ -136,7 +136,7 @@ def cache_grid(polygons: DataFrame, low: tuple[float, float], high: tuple[float,
     """lat_key, lng_key, zipcode of each grid point of a box (lat, lng) that a polygon holds."""
     keys = [(round(a * per_degree), round(b * per_degree)) for a, b in zip(low, high, strict=True)]
     spark = polygons.sparkSession
-    grid = spark.range(keys[0][0], keys[0][1] + 1).withColumnRenamed("id", "lat_key").select("lat_key", F.explode(F.sequence(F.lit(keys[1][0]), F.lit(keys[1][1]))).cast("long").alias("lng_key"))
+    grid = spark.range(keys[0][0], keys[0][1] + 1).withColumnRenamed("id", "lat_key").select("lat_key", F.explode(F.sequence(F.lit(keys[1][0]).cast("long"), F.lit(keys[1][1]).cast("long"))).alias("lng_key"))
     pts = grid.select(F.struct("lat_key", "lng_key").alias("point_id"), (F.col("lat_key") / per_degree).alias("lat"), (F.col("lng_key") / per_degree).alias("lng"))
     return points_in_polygons(pts, polygons).select(F.col("point_id.lat_key").cast("int").alias("lat_key"), F.col("point_id.lng_key").cast("int").alias("lng_key"), F.col("zip").alias("zipcode"))
 
