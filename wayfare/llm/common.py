@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.durable import materialize, shared_dir
 
-__all__ = ["SPACE", "SPACES", "materialize", "shared_dir", "text_or_empty", "words"]
+__all__ = ["SPACE", "SPACES", "materialize", "shared_dir", "text_or_empty", "unused", "words"]
 
 #: ASCII white space, `[\x20\x09-\x0D]`.
 SPACE = " \t\n\x0b\f\r"
@@ -18,6 +18,16 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def words(text: Column) -> Column:
     """Maximal runs of characters that aren't ASCII white space; none for an empty text."""
     trimmed = F.btrim(text, F.lit(SPACE))

@@ -5,7 +5,8 @@ and names (capitalised words within a sentence) as typed placeholders. Windows o
 hash-joined with the windows of the documents, so that a question stays recognisable when its numbers, names or
 units are replaced. For matched windows with placeholders the fillings are compared: each filling of the item must
 map to one filling in the document throughout (a consistent re-parameterisation), and windows that break the
-mapping don't count. A document holds an item if at least ``share`` of the item's distinct windows match.
+mapping don't count. A document holds an item if at least ``share`` of the item's distinct windows match, or
+``passage`` of them (nine windows of five are what a passage of thirteen words has).
 
 Only DataFrame functions run here. The benchmark is the query side: its window table is broadcast while it has at
 most ``broadcast_windows`` rows, which is counted first; beyond that both sides are shuffled by window hash.
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty, words
+from .common import materialize, text_or_empty, unused, words
 
 #: Marks of placeholders for names, numbers and units, and the mark that ends what they stand for.
 NAME, NUMBER, UNIT, END = "\x01", "\x02", "\x03", "\x04"
@@ -81,16 +82,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, size: int = 5, broadcast_w
     return found.filter("fill is null").select(*key, "h").unionByName(held.select(*key, "h"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.8, size: int = 5, broadcast_windows: int = 500_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.8, passage: int = 9, size: int = 5, broadcast_windows: int = 500_000) -> DataFrame:
     """doc_id, row, item_id, n_matched, n_windows, matched_share: one row per document (by text) and item that it holds."""
     items = windows(benchmark.select("item_id", text_or_empty().alias("text")), ["item_id"], size).groupBy(F.col("item_id").alias("item")).agg(F.countDistinct("h").alias("n_windows"))
     per = matches(docs, benchmark, size=size, broadcast_windows=broadcast_windows).groupBy("doc_id", "row", "item_id").agg(F.countDistinct("h").alias("n_matched"))
     joined = per.join(items, F.col("item_id").eqNullSafe(F.col("item"))).withColumn("matched_share", F.col("n_matched") / F.col("n_windows"))
-    return joined.filter(F.col("matched_share") >= share).select("doc_id", "row", "item_id", "n_matched", "n_windows", "matched_share")
+    return joined.filter((F.col("matched_share") >= share) | (F.col("n_matched") >= passage)).select("doc_id", "row", "item_id", "n_matched", "n_windows", "matched_share")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
     """``docs`` without the documents that hold an item."""
-    found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("found_id_"), F.col("row").alias("found_row_")).distinct()
-    keyed = docs.withColumn("row_", F.xxhash64(text_or_empty()))
-    return keyed.join(found, keyed["doc_id"].eqNullSafe(F.col("found_id_")) & (F.col("row_") == F.col("found_row_")), "left_anti").select(*docs.columns)
+    row, found_id, found_row = unused(docs, "row_", "found_id_", "found_row_")
+    found = contaminated(docs, benchmark, **options).select("doc_id", "row").distinct().toDF(found_id, found_row)
+    keyed = docs.withColumn(row, F.xxhash64(text_or_empty()))
+    return keyed.join(found, F.col("doc_id").eqNullSafe(F.col(found_id)) & (F.col(row) == F.col(found_row)), "left_anti").select(*docs.columns)

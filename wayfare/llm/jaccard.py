@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty, words
+from .common import materialize, text_or_empty, unused, words
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -277,8 +277,9 @@ def keep_one(docs: DataFrame, **options: float) -> DataFrame:
     Documents without words are no duplicates of each other, unless the whole row is repeated.
     """
     judged = join(docs, **options)
+    row, kept_id, kept_row = unused(docs, "row_", "kept_id_", "kept_row_")
     first = judged.filter("n > 0").groupBy("class_id").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("r.doc_id", "r.row")
-    kept = first.unionByName(judged.filter("n = 0").select("doc_id", "row").distinct()).toDF("kept_id_", "kept_row_")
-    keyed = docs.withColumn("row_", F.xxhash64(text_or_empty()))
-    chosen = keyed.join(kept, keyed["doc_id"].eqNullSafe(F.col("kept_id_")) & (F.col("row_") == F.col("kept_row_")))
-    return chosen.dropDuplicates(["kept_id_", "kept_row_"]).select(*[keyed[c] for c in docs.columns])
+    kept = first.unionByName(judged.filter("n = 0").select("doc_id", "row").distinct()).toDF(kept_id, kept_row)
+    keyed = docs.withColumn(row, F.xxhash64(text_or_empty()))
+    chosen = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(row) == F.col(kept_row)))
+    return chosen.dropDuplicates([kept_id, kept_row]).select(*docs.columns)

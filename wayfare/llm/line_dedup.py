@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, text_or_empty
+from .common import SPACE, materialize, text_or_empty, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = -(2**63)
@@ -128,10 +128,11 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3) -> D
         return pd.DataFrame({"kept": kept, "n_dropped": lost})
 
     text = text_or_empty()
-    maps = keep_bitmaps(docs, min_chars=min_chars, min_docs=min_docs).withColumnsRenamed({k: f"{k}_" for k in ("doc", "row", "bits", "bitmap")})
-    keyed = docs.withColumns({"doc_": F.coalesce("doc_id", F.lit(NO_ID)), "row_": F.xxhash64(text)})
-    joined = keyed.join(maps.hint("shuffle_hash"), ["doc_", "row_"], "left")
-    done = joined.withColumn("done_", apply(text, "bits_", "bitmap_"))
+    doc, row, bits, bitmap, result = unused(docs, "doc_", "row_", "bits_", "bitmap_", "done_")
+    maps = keep_bitmaps(docs, min_chars=min_chars, min_docs=min_docs).toDF(doc, row, bits, bitmap)
+    keyed = docs.withColumns({doc: F.coalesce("doc_id", F.lit(NO_ID)), row: F.xxhash64(text)})
+    joined = keyed.join(maps.hint("shuffle_hash"), [doc, row], "left")
+    done = joined.withColumn(result, apply(text, bits, bitmap))
     n_lines = (F.char_length(text) - F.char_length(F.translate(text, "\n", "")) + 1).cast("long")
-    out = done.select(*[docs[c] for c in docs.columns if c not in ("text", "n_lines", "n_dropped")], F.col("done_.kept").alias("text"), n_lines.alias("n_lines"), F.col("done_.n_dropped").alias("n_dropped"))
+    out = done.select(*[docs[c] for c in docs.columns if c not in ("text", "n_lines", "n_dropped")], F.col(f"{result}.kept").alias("text"), n_lines.alias("n_lines"), F.col(f"{result}.n_dropped").alias("n_dropped"))
     return out

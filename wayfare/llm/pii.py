@@ -44,13 +44,19 @@ DOUBTS = r"(?i)order|invoice|isbn|version|ref|page|part|sku|price|total|serial|m
 CONTEXT = 28
 
 
-def spans_of(text: Column, form: str) -> Column:
-    """Array of (start, end, match) of all matches, from left to right."""
+def spans_of(text: Column, form: str, good: Callable[[Column], Column] | None = None) -> Column:
+    """Array of (start, end, match) of all matches that are good, from left to right.
+
+    A match that isn't good moves the position on and is not gathered: texts can be full of numbers.
+    """
     found, between = F.regexp_extract_all(text, F.lit(form), F.lit(0)), F.split(text, form, -1)
-    step = lambda acc, pair: F.struct(
-        (acc["at"] + F.char_length(pair["gap"]) + F.char_length(pair["match"])).alias("at"),
-        F.array_append(acc["out"], F.struct((acc["at"] + F.char_length(pair["gap"])).alias("start"), (acc["at"] + F.char_length(pair["gap"]) + F.char_length(pair["match"])).alias("end"), pair["match"].alias("match"))).alias("out"),
-    )
+
+    def step(acc: Column, pair: Column) -> Column:
+        start = acc["at"] + F.char_length(pair["gap"])
+        end = start + F.char_length(pair["match"])
+        more = F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match")))
+        return F.struct(end.alias("at"), (F.when(good(pair), more).otherwise(acc["out"]) if good else more).alias("out"))
+
     pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, end: int, match: string>>)").alias("out"))
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
@@ -88,7 +94,7 @@ def base_spans(text: Column) -> dict[str, Column]:
         "card": (text.rlike(r"[0-9][\x20-]?[0-9]"), CARD, card),
         "phone": (F.contains(text, F.lit("+")), PHONE, phone),
     }
-    return {k: F.when(can, F.filter(spans_of(text, form), good) if good else spans_of(text, form)).otherwise(_none()) for k, (can, form, good) in tried.items()}
+    return {k: F.when(can, spans_of(text, form, good)).otherwise(_none()) for k, (can, form, good) in tried.items()}
 
 
 FEATURES = ["f_digits", "f_length", "f_separators", "f_brackets", "f_year", "f_cue", "f_doubt", "f_repeat", "f_id", "f_email"]
@@ -219,7 +225,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in the text replaced by its kind in angle brackets; overlapping spans are replaced as one."""
-    found = find(docs, keep=[c for c in docs.columns if c != "text"])
+    others = [c for c in docs.columns if c != "text"]
+    found = find(docs.select(F.struct(*others).alias("others"), "text"), keep=["others"])
     spans = F.array_sort(F.concat("base", "added"))
     names = F.array(*map(F.lit, KINDS))
 
@@ -230,4 +237,4 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.concat(acc["out"], piece).alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
 
     done = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length(F.col("text")))))
-    return found.withColumn("text", done).select(*docs.columns)
+    return found.select("others.*", done.alias("text")).select(*docs.columns)

@@ -91,6 +91,8 @@ def permuted(number: Column, n: int, seed: int) -> Column:
         start = F.struct(((x - x % b) / b).cast("long").alias("left"), (x % b).alias("right"))
         return F.aggregate(keys, start, one_round, lambda at: at["left"] * b + at["right"])
 
+    if n < 2:
+        return number
     first, steps = once(number), walk_steps(n)
     if not steps:
         return first
