@@ -19,6 +19,8 @@ by their text; an empty table on either side gives no rows; other columns are ig
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,27 +36,33 @@ UNIT_FORM = rf"(?<={END}\x20)(?:{UNITS.replace(' ', '|')})(?![\p{{L}}\p{{N}}])"
 PUNCTUATION = ".,;:!?\"'()[]{}`*#&%$|<>_~^=+/\\-"
 
 
-def marked_words(text: Column) -> Column:
-    """Words in canonical form, in which placeholders still hold what they stand for."""
+def marked_text(text: Column) -> Column:
+    """The text in canonical form, in which placeholders still hold what they stand for."""
     marked = F.regexp_replace(text, NAME_FORM, f"{NAME}$0{END}")
     marked = F.regexp_replace(marked, NUMBER_FORM, f"{NUMBER}$0{END}")
     marked = F.regexp_replace(marked, UNIT_FORM, f"{UNIT}$0{END}")
-    return words(F.translate(F.lower(marked), PUNCTUATION, ""))
+    return F.translate(F.lower(marked), PUNCTUATION, "")
 
 
 def windows(rows: DataFrame, id_columns: list[str], size: int) -> DataFrame:
     """The ids, h (hash of a window) and fill (its words with what placeholders stand for; null without placeholders)."""
-    marked = rows.select(*id_columns, marked_words(F.col("text")).alias("marked"))
-    plain = F.transform("marked", lambda x: F.when(F.contains(x, F.lit(END)), F.regexp_replace(x, f"([{NAME}{NUMBER}{UNIT}])[^{END}]*{END}", "$1")).otherwise(x))
-    both = marked.select(*id_columns, "marked", plain.alias("plain"), F.exists("marked", lambda x: F.contains(x, F.lit(END))).alias("any"))
-    n = F.greatest(F.size("plain") - size + 1, F.lit(1))
+    # one step for each form, so that none is made twice
+    marked = rows.select(*id_columns, marked_text(F.col("text")).alias("canonical")).select(*id_columns, words(F.col("canonical")).alias("marked"))
+
+    def hashed(word: Column) -> Column:
+        """A word's hash; its lowest bit tells placeholders."""
+        held = F.regexp_replace(word, f"([{NAME}{NUMBER}{UNIT}])[^{END}]*{END}", "$1")
+        return F.when(F.contains(word, F.lit(END)), F.xxhash64(held).bitwiseOR(F.lit(1))).otherwise(F.xxhash64(word).bitwiseAND(F.lit(-2)))
+
+    both = marked.select(*id_columns, "marked", F.transform("marked", hashed).alias("hashes"))
+    n = F.greatest(F.size("hashes") - size + 1, F.lit(1))
 
     def window(i: Column) -> Column:
-        of = F.slice("marked", i + 1, size)
-        h = F.xxhash64(*[F.get("plain", i + k) for k in range(size)])
-        return F.struct(h.alias("h"), F.when(F.col("any") & F.contains(F.array_join(of, " "), F.lit(END)), of).alias("fill"))
+        own = [F.get("hashes", i + k) for k in range(size)]
+        filled = reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(0)).bitwiseAND(1) == 1 for x in own])
+        return F.struct(F.xxhash64(*own).alias("h"), F.when(filled, F.slice("marked", i + 1, size)).alias("fill"))
 
-    return both.filter(F.size("plain") > 0).select(*id_columns, F.explode(F.transform(F.sequence(F.lit(0), n - 1), window)).alias("w")).select(*id_columns, "w.h", "w.fill")
+    return both.filter(F.size("hashes") > 0).select(*id_columns, F.explode(F.transform(F.sequence(F.lit(0), n - 1), window)).alias("w")).select(*id_columns, "w.h", "w.fill")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, size: int = 5, broadcast_windows: int = 500_000) -> DataFrame:
