@@ -6,8 +6,8 @@ classifier is linear in clipped forms of these, with squared loss. Its non-negat
 the features over the trusted positives and over the unlabelled text. So one pass over *all* documents sums those
 moments (one small matrix a task, summed by Spark), and the driver minimises the risk exactly as if it held every
 row. The class prior ``pi`` is the smallest ratio of unlabelled to positive mass above any threshold of a first
-classifier; it comes from two histograms over all rows. Labelled rows, at most ``max_calibration`` of each class,
-only calibrate the score.
+classifier; it comes from two histograms over all rows. Labelled rows
+only calibrate the score, by one histogram for each class.
 
 Texts are read once; shuffled are the features (some 150 bytes a document) for the join with the labels.
 
@@ -152,16 +152,17 @@ def estimate_prior(positives: DataFrame, rows: DataFrame, theta: np.ndarray, *,
     return float(np.clip(((mass + slack)[wide] / share[wide]).min() if wide.any() else 0.5, least, most))
 
 
-def calibrate(g: np.ndarray, y: np.ndarray, *, steps: int = 200) -> tuple[float, float]:
-    """(a, b) of sigmoid(a g + b), by Newton steps with targets drawn in as Platt's are; (4, 0) if a class is missing."""
-    n1, n0 = int(y.sum()), int((1 - y).sum())
+def calibrate(ones: np.ndarray, zeros: np.ndarray, *, steps: int = 200) -> tuple[float, float]:
+    """(a, b) of sigmoid(a g + b) from histograms of g, by Newton steps with targets drawn in as Platt's are; (4, 0) if a class is missing."""
+    n1, n0 = ones.sum(), zeros.sum()
     if not n1 or not n0:
         return 4.0, 0.0
-    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    rows, hits = ones + zeros, ones * (n1 + 1) / (n1 + 2) + zeros / (n0 + 2)
+    g = (np.arange(BINS) + 0.5) / BINS * 4 - 2
     x, w = np.stack([g, np.ones_like(g)], axis=1), np.array([1.0, 0.0])
     for _ in range(steps):
         s = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (s * (1 - s) + 1e-6)[:, None]) + 1e-3 * np.eye(2), x.T @ (s - target) + 1e-3 * np.array([w[0], 0]))
+        step = np.linalg.solve(x.T @ (x * (rows * (s * (1 - s) + 1e-6))[:, None]) + 1e-3 * np.eye(2), x.T @ (rows * s - hits) + 1e-3 * np.array([w[0], 0]))
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -183,7 +184,7 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(-(self.a * (x @ self.theta) + self.b)))
 
 
-def fit(rows: DataFrame, labels: DataFrame, *, max_calibration: int = 20_000) -> Model:
+def fit(rows: DataFrame, labels: DataFrame) -> Model:
     """The classifier for described rows; without a positive label, one that scores everything 0.5."""
     marks = labels.filter("doc_id is not null and quality is not null").filter(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     marked = materialize(rows.join(marks, "doc_id").select("doc_id", "x", "quality"), "labelled")
@@ -194,18 +195,16 @@ def fit(rows: DataFrame, labels: DataFrame, *, max_calibration: int = 20_000) ->
     ridge = 1e-3 + 2 / n_p  # few positives: short documents would be fitted one by one
     prior = estimate_prior(positives, rows, fit_nn(0.5, p, u, ridge=ridge))
     theta = fit_nn(prior, p, u, ridge=ridge)
-    by_class = [marked.filter(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_calibration).select(_decision(theta).alias("g")).toPandas()["g"].to_numpy(float) for y in (0, 1)]
-    return Model(theta, *calibrate(np.concatenate(by_class), np.repeat([0, 1], list(map(len, by_class)))))
+    return Model(theta, *calibrate(_histogram(positives, theta), _histogram(marked.filter("quality = 0"), theta)))
 
 
-def score(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, max_calibration: int = 20_000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text); ``labels`` has doc_id and quality.
 
-    Labels of held-out rows are never used. ``max_calibration`` bounds the labelled rows of each class that are
-    brought to the driver, as numbers, to calibrate the score; the classifier itself is fitted on all rows.
+    Labels of held-out rows are never used. The driver gets sums and histograms, never rows.
     """
     rows = described(docs)
-    model = fit(rows, labels, max_calibration=max_calibration)
+    model = fit(rows, labels)
     value = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(model.a) * _decision(model.theta) + F.lit(model.b))))
     scored = rows.select("doc_id", held_out().alias("held_out"), value.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
