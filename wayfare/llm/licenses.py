@@ -1,7 +1,8 @@
 """Licence scan by sentence rules.
 
 A text is cut into sentences, each is normalised, and known licence sentences are told by an equi-join with a
-small constant table of sentence identifiers. A document's identifiers, in the order of the text, are then held
+small constant table of sentence identifiers. Line ends cut too, but lines that may begin a known sentence are also
+tried together with the lines after them, up to a sentence mark or a blank line: texts may be wrapped or commented. A document's identifiers, in the order of the text, are then held
 against ordered rules: a rule names the identifiers that must follow one another (others may stand between).
 
 Only DataFrame functions run here. Both constant tables are bounded by this module's text, so they are broadcast;
@@ -14,38 +15,84 @@ other columns are ignored. One row per document and licence.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-#: Identifiers of licence sentences, and the sentences as they are written.
+#: Identifiers of licence sentences, and the forms in which each is written, up to its end mark.
 SENTENCES = {
-    "mit_release": "Released under the MIT License",
-    "mit_title": "MIT License",
-    "mit_grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
-    "mit_notice": "The above copyright notice and this permission notice shall be included in all copies",
-    "apache_release": "Licensed under the Apache License, Version 2.0",
-    "apache_terms": "you may not use this file except in compliance with the License",
-    "apache_copy": "You may obtain a copy of the License at",
-    "gpl3_release": "This work is licensed under the GNU General Public License, version 3",
-    "gpl_free": "This program is free software",
-    "gpl_terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License",
-    "cc_by_nc_release": "Licensed under CC BY-NC 4.0",
-    "cc_by_release": "Licensed under CC BY 4.0",
-    "cc_by_sa_release": "Licensed under CC BY-SA 4.0",
-    "cc0_release": "Released under CC0 1.0",
-    "bsd_grant": "Redistribution and use in source and binary forms, with or without modification, are permitted",
-    "bsd_keep": "Redistributions of source code must retain the above copyright notice",
-    "bsd_names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse",
-    "rights_reserved": "All rights reserved",
+    "mit_release": ("Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License"),
+    "mit_title": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "mit_grant": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions',
+    ),
+    "mit_notice": (
+        "The above copyright notice and this permission notice shall be included in all copies",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+        "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software",
+    ),
+    "apache_title": ("Apache License Version 2.0, January 2004",),
+    "apache_release": (
+        "Licensed under the Apache License, Version 2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License")',
+        'The ASF licenses this file to You under the Apache License, Version 2.0 (the "License")',
+        'This file is licensed to You under the Apache License, Version 2.0 (the "License")',
+    ),
+    "apache_terms": ("you may not use this file except in compliance with the License",),
+    "apache_copy": ("You may obtain a copy of the License at", "You may obtain a copy of the License at http", "You may obtain a copy of the License at https"),
+    "gpl3_title": ("GNU General Public License Version 3, 29 June 2007",),
+    "gpl2_title": ("GNU General Public License Version 2, June 1991",),
+    "gpl3_release": ("This work is licensed under the GNU General Public License, version 3",),
+    "gpl_free": ("This program is free software", "This file is free software", "This is free software"),
+    "gpl_terms": (
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2 of the License",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation",
+    ),
+    "gpl3_terms": (
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation",
+        "either version 3 of the License, or (at your option) any later version",
+    ),
+    "cc_by_nc_release": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "cc_by_release": ("Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "This work is licensed under the Creative Commons Attribution 4.0 International License"),
+    "cc_by_sa_release": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "cc0_release": ("Released under CC0 1.0", "CC0 1.0 Universal"),
+    "bsd_grant": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    ),
+    "bsd_keep": (
+        "Redistributions of source code must retain the above copyright notice",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    ),
+    "bsd_names": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        # what is left after a name that ends in a full stop
+        "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
+    "rights_reserved": ("All rights reserved",),
 }
 #: Licences, and identifiers that must follow one another in a text. More parts make a surer match.
 RULES = {
     "MIT": (("mit_release",), ("mit_title", "mit_grant"), ("mit_grant", "mit_notice")),
-    "Apache-2.0": (("apache_release",), ("apache_release", "apache_terms"), ("apache_release", "apache_copy")),
-    "GPL-3.0": (("gpl3_release",),),
-    "GPL": (("gpl_free", "gpl_terms"),),
+    "Apache-2.0": (("apache_title",), ("apache_release",), ("apache_release", "apache_terms"), ("apache_release", "apache_copy")),
+    "GPL-3.0": (("gpl3_title",), ("gpl3_release",), ("gpl_free", "gpl3_terms"), ("gpl_free", "gpl_terms", "gpl3_terms")),
+    "GPL": (("gpl2_title",), ("gpl_free", "gpl_terms")),
     "CC-BY-NC-4.0": (("cc_by_nc_release",),),
     "CC-BY-4.0": (("cc_by_release",),),
     "CC-BY-SA-4.0": (("cc_by_sa_release",),),
@@ -56,23 +103,64 @@ RULES = {
 }
 #: Ends of sentences: line ends, semicolons and colons, and full stops that white space or the end follows.
 SENTENCE_END = r"[\n;:!?]+|\.+(?=[\x20\x09-\x0D]|$)"
+#: A line end alone, which may only wrap a sentence; a comment's marks may follow. The part after it begins with SOFT.
+SOFT = "\x01"
+LINE_END = r"(?<![\n;:!?])\n(?:[;!]+(?=[\x20\x09]))?(?![\n;:!?])"
+#: Words before which a comment's line begins.
+COMMENT_WORDS = r"^ ?(?:dnl|rem) "
+#: A sentence of a named holder, and the form that stands for it in the table.
+NAMED = (r"^neither the name of .+ nor the names of its contributors", "neither the name of the copyright holder nor the names of its contributors")
 
 
 def normalized(sentence: Column) -> Column:
     """Lower case, with everything but ASCII letters and digits as single spaces."""
-    return F.btrim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+    return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "), COMMENT_WORDS, ""))
+
+
+def plain(sentence: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
+
+
+def beginnings() -> str:
+    """A pattern of parts that may begin a known sentence: they hold its first words, or end within them."""
+    gap = "[^a-z0-9]"
+
+    def from_word(found: list[str]) -> str:
+        return found[0] + (f"(?:{gap}*$|{gap}+{from_word(found[1:])})" if len(found) > 1 else f"(?:{gap}|$)")
+
+    heads = {tuple(plain(x).split()[:4]) for forms in SENTENCES.values() for x in forms}
+    return rf"^{gap}*(?:(?:dnl|rem){gap}+)?(?:{'|'.join(from_word(list(h)) for h in sorted(heads))})"
 
 
 def known_sentences(docs: DataFrame) -> DataFrame:
-    """doc_id, row (hash of the text), pos and sentence_id of each known sentence."""
+    """doc_id, row (hash of the text), pos and sentence_id of each known sentence.
+
+    A known sentence is one part of the text, or parts that only line ends divide; a blank line ends a sentence.
+    """
     spark = docs.sparkSession
-    table = spark.createDataFrame(list(SENTENCES.items()), "sentence_id string, text string").select("sentence_id", normalized(F.col("text")).alias("sentence"))
+    forms = [(name, plain(x)) for name, all_forms in SENTENCES.items() for x in all_forms]
+    table = spark.createDataFrame(forms, "sentence_id string, sentence string")
+    longest, most_words = max(len(x) for _, x in forms), max(len(x.split()) for _, x in forms)
     text = text_or_empty()
-    cut = docs.select("doc_id", F.xxhash64(text).alias("row"), F.posexplode(F.split(text, SENTENCE_END, -1)).alias("pos", "part"))
-    longest = max(len(x) for x in SENTENCES.values())
+    parts = docs.select("doc_id", F.xxhash64(text).alias("row"), F.split(F.regexp_replace(text, LINE_END, f"\n{SOFT}"), SENTENCE_END, -1).alias("parts"))
+
+    def with_rest(part: Column, i: Column) -> Column:
+        """The part and, where it may begin a wrapped sentence, as many of the next parts as a known sentence has words."""
+        wrapped = F.coalesce(F.startswith(F.get("parts", i + 1), F.lit(SOFT)), F.lit(False)) & F.rlike(F.lower(part), F.lit(beginnings()))
+        return F.struct(part.alias("part"), F.when(wrapped, F.slice("parts", i + 2, most_words)).alias("rest"))
+
+    cut = parts.select("doc_id", "row", F.posexplode(F.transform("parts", with_rest)).alias("pos", "p")).select("doc_id", "row", "pos", "p.part", "p.rest")
     # a sentence can shrink by normalisation, but one of known length holds no more letters and digits than that
-    near = cut.filter(F.char_length("part") >= 8).select("doc_id", "row", "pos", normalized(F.col("part")).alias("sentence")).filter(F.char_length("sentence") <= longest)
-    return near.join(F.broadcast(table), "sentence").select("doc_id", "row", "pos", "sentence_id")
+    near = cut.filter((F.char_length("part") >= 8) | F.col("rest").isNotNull()).select("doc_id", "row", "pos", normalized(F.col("part")).alias("sentence"), "rest")
+    lines = F.transform("rest", lambda x: F.when(F.startswith(x, F.lit(SOFT)), normalized(x)).otherwise(""))
+    upto = F.coalesce(F.array_position("lines", ""), F.lit(0))
+    soft = F.when(upto > 0, F.slice("lines", F.lit(1), (upto - 1).cast("int"))).otherwise(F.coalesce("lines", F.array().cast("array<string>")))
+    # the part alone, and with each number of lines after it
+    runs = F.transform(F.sequence(F.lit(0), F.size("lines")), lambda n: F.concat_ws(" ", F.col("sentence"), F.slice("lines", F.lit(1), n)))
+    joined = near.withColumn("lines", F.when(F.col("rest").isNotNull(), lines)).withColumn("lines", soft).withColumn("sentence", F.explode(F.when(F.size("lines") > 0, runs).otherwise(F.array("sentence"))))
+    named = F.when(F.startswith("sentence", F.lit("neither the name of ")), F.regexp_replace("sentence", *map(F.lit, NAMED))).otherwise(F.col("sentence"))
+    met = joined.filter(F.char_length("sentence") <= longest).select("doc_id", "row", "pos", named.alias("sentence"))
+    return met.join(F.broadcast(table), "sentence").select("doc_id", "row", "pos", "sentence_id")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -89,5 +177,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     start = F.array_min(F.transform(F.filter("seen", lambda x: x["sentence_id"] == F.col("rule")[0]), lambda x: x["pos"]))
     held = first.withColumn("first_sentence", start).withColumn("end", F.aggregate(F.slice("rule", 2, 99), F.col("first_sentence"), follow)).filter("end is not null")
+    # a text of three clauses holds those of two: two alone are a grant that no clause on names follows before the next grant
+    clauses = F.array_join(F.transform(F.filter("seen", lambda x: x["sentence_id"].isin("bsd_grant", "bsd_names")), lambda x: x["sentence_id"]), " ")
+    held = held.filter((F.col("license") != "BSD-2-Clause") | F.rlike(clauses, F.lit("bsd_grant(?! bsd_names)")))
     best = held.groupBy("doc_id", "row", "license").agg(F.max(F.struct(F.size("rule").alias("n"), (-F.col("first_sentence")).alias("at"))).alias("best"))
     return best.select("doc_id", "license", F.col("best.n").cast("long").alias("n_sentences"), (-F.col("best.at")).cast("long").alias("first_sentence"))
