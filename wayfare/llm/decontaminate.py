@@ -3,9 +3,10 @@
 Texts become words in canonical form: lower case without punctuation, with numbers, units that follow a number,
 and names (capitalised words within a sentence) as typed placeholders. Windows of five words of the benchmark are
 hash-joined with the windows of the documents, so that a question stays recognisable when its numbers, names or
-units are replaced. For matched windows with placeholders the fillings are compared: each filling of the item must
-map to one filling in the document throughout (a consistent re-parameterisation), and windows that break the
-mapping don't count. A document holds an item if at least ``share`` of the item's distinct windows match, or
+units are replaced. For matched windows with placeholders the fillings are compared within one occurrence (matches
+whose position in the document less that in the item is nearly the same): each filling of the item must map to one
+filling in the document (a consistent re-parameterisation), and windows that break the mapping don't count. Windows
+that are filled as in the item always count; beside them, those of the fullest occurrence do. A document holds an item if at least ``share`` of the item's distinct windows match, or
 ``passage`` of them (nine windows of five are what a passage of thirteen words has).
 
 Only DataFrame functions run here. The benchmark is the query side: its window table is broadcast while it has at
@@ -45,7 +46,7 @@ def marked_text(text: Column) -> Column:
 
 
 def windows(rows: DataFrame, id_columns: list[str], size: int) -> DataFrame:
-    """The ids, h (hash of a window) and fill (its words with what placeholders stand for; null without placeholders)."""
+    """The ids, h (hash of a window), fill (its words with what placeholders stand for; null without placeholders) and at (its position)."""
     # one step for each form, so that none is made twice
     marked = rows.select(*id_columns, marked_text(F.col("text")).alias("canonical")).select(*id_columns, words(F.col("canonical")).alias("marked"))
 
@@ -60,41 +61,52 @@ def windows(rows: DataFrame, id_columns: list[str], size: int) -> DataFrame:
     def window(i: Column) -> Column:
         own = [F.get("hashes", i + k) for k in range(size)]
         filled = reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(0)).bitwiseAND(1) == 1 for x in own])
-        return F.struct(F.xxhash64(*own).alias("h"), F.when(filled, F.slice("marked", i + 1, size)).alias("fill"))
+        return F.struct(F.xxhash64(*own).alias("h"), F.when(filled, F.slice("marked", i + 1, size)).alias("fill"), i.alias("at"))
 
-    return both.filter(F.size("hashes") > 0).select(*id_columns, F.explode(F.transform(F.sequence(F.lit(0), n - 1), window)).alias("w")).select(*id_columns, "w.h", "w.fill")
+    return both.filter(F.size("hashes") > 0).select(*id_columns, F.explode(F.transform(F.sequence(F.lit(0), n - 1), window)).alias("w")).select(*id_columns, "w.h", "w.fill", "w.at")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, size: int = 5, broadcast_windows: int = 500_000) -> DataFrame:
-    """doc_id, row, item_id, h of each item's window that a document holds with consistent fillings, and n (the item's windows)."""
+    """doc_id, row, item_id, n_windows (of the item) and n_matched (of them, those a document holds with consistent fillings)."""
     items = windows(benchmark.select("item_id", text_or_empty().alias("text")), ["item_id"], size)
-    items = materialize(items.groupBy("item_id", "h").agg(F.min("fill").alias("item_fill")), "items")
-    if items.count() <= broadcast_windows:
-        items_side = F.broadcast(items)
-    else:
-        items_side = items
+    items = materialize(items.groupBy("item_id", "h", F.col("fill").alias("item_fill"), F.col("at").alias("item_at")).agg(F.lit(1).alias("one")).drop("one"), "items")
+    counted = items.groupBy(F.col("item_id").alias("item_id_")).agg(F.countDistinct("h").alias("n_windows"))
+    # as wide as half an item, so that two copies never share an occurrence; each match is in two that overlap
+    wide = items.join(counted, F.col("item_id").eqNullSafe(F.col("item_id_"))).select("item_id", "h", "item_fill", "item_at", "n_windows", F.greatest(F.lit(2), F.ceil((F.col("n_windows") + size - 1) / 2)).cast("int").alias("width"))
+    wide = materialize(wide, "items")
+    if wide.count() <= broadcast_windows:
+        wide = F.broadcast(wide)
     text = text_or_empty()
-    found = windows(docs.select("doc_id", F.xxhash64(text).alias("row"), text.alias("text")), ["doc_id", "row"], size).join(items_side, "h")
-    found = found.groupBy("doc_id", "row", "item_id", "h", "item_fill", "fill").agg(F.count(F.lit(1)).alias("times"))
-    found = materialize(found, "matches")
+    found = windows(docs.select("doc_id", F.xxhash64(text).alias("row"), text.alias("text")), ["doc_id", "row"], size).join(wide, "h")
+    shift = F.col("at") - F.col("item_at")
+    half = F.floor(F.col("width") / 2).cast("int")
+    low, high = F.floor(shift / F.col("width")).cast("int") * 2, F.floor((shift + half) / F.col("width")).cast("int") * 2 + 1
+    found = found.withColumn("low", F.when(F.col("fill").isNotNull(), low)).withColumn("high", F.when(F.col("fill").isNotNull(), high))
+    found = materialize(found.select("doc_id", "row", "item_id", "n_windows", "h", "item_fill", "fill", "low", "high").distinct(), "matches")
     key = ["doc_id", "row", "item_id"]
+    same_fill = F.col("fill").isNull() | (F.col("fill") == F.col("item_fill"))
+    # null: windows that count in any occurrence
+    always = found.filter(same_fill).select(*key, "n_windows", "h", F.lit(None).cast("int").alias("place"))
     slots = F.filter(F.arrays_zip(F.col("item_fill").alias("item"), F.col("fill").alias("doc")), lambda x: F.contains(x["item"], F.lit(END)))
-    filled = found.filter("fill is not null").select(*key, "h", "times", slots.alias("slots"))
-    votes = filled.select(*key, "times", F.explode("slots").alias("s")).groupBy(*key, "s.item", "s.doc").agg(F.sum("times").alias("votes"))
-    chosen = votes.groupBy(*key, "item").agg(F.max(F.struct("votes", "doc")).alias("best"))
+    filled = found.filter("fill is not null").select(*key, "n_windows", "h", slots.alias("slots"), F.explode(F.array("low", "high")).alias("place")).distinct()
+    # one vote for each of the item's windows, however often it stands there; of as many votes the item's own filling wins
+    votes = filled.select(*key, "place", "h", F.explode("slots").alias("s")).groupBy(*key, "place", "s.item", "s.doc").agg(F.countDistinct("h").alias("votes"))
+    chosen = votes.groupBy(*key, "place", "item").agg(F.max(F.struct("votes", (F.col("item") == F.col("doc")).alias("own"), "doc")).alias("best"))
     # at most one entry for each slot of an item
-    maps = chosen.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("item", "best.doc"))).alias("map"))
-    renamed = maps.select(*[F.col(k).alias(f"{k}_") for k in key], "map")
-    same = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("row") == F.col("row_")) & F.col("item_id").eqNullSafe(F.col("item_id_"))
-    held = filled.join(renamed, same).filter(F.forall("slots", lambda s: F.element_at("map", s["item"]) == s["doc"]))
-    return found.filter("fill is null").select(*key, "h").unionByName(held.select(*key, "h"))
+    maps = chosen.groupBy(*key, "place").agg(F.map_from_entries(F.collect_list(F.struct("item", "best.doc"))).alias("map"))
+    renamed = maps.select(*[F.col(k).alias(f"{k}_") for k in [*key, "place"]], "map")
+    same = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("row") == F.col("row_")) & F.col("item_id").eqNullSafe(F.col("item_id_")) & (F.col("place") == F.col("place_"))
+    held = filled.join(renamed, same).filter(F.forall("slots", lambda s: F.element_at("map", s["item"]) == s["doc"])).select(*key, "n_windows", "h", "place")
+    # an item has few windows, so that the sets are small
+    per = always.unionByName(held).groupBy(*key, "n_windows", "place").agg(F.collect_set("h").alias("hs"))
+    per = per.groupBy(*key, "n_windows").agg(F.coalesce(F.max(F.when(F.col("place").isNull(), F.col("hs"))), F.array().cast("array<bigint>")).alias("own"), F.collect_list(F.when(F.col("place").isNotNull(), F.col("hs"))).alias("places"))
+    most = F.array_max(F.transform("places", lambda x: F.size(F.array_except(x, F.col("own")))))
+    return per.select(*key, "n_windows", (F.size("own") + F.coalesce(most, F.lit(0))).cast("long").alias("n_matched"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.8, passage: int = 9, size: int = 5, broadcast_windows: int = 500_000) -> DataFrame:
     """doc_id, row, item_id, n_matched, n_windows, matched_share: one row per document (by text) and item that it holds."""
-    items = windows(benchmark.select("item_id", text_or_empty().alias("text")), ["item_id"], size).groupBy(F.col("item_id").alias("item")).agg(F.countDistinct("h").alias("n_windows"))
-    per = matches(docs, benchmark, size=size, broadcast_windows=broadcast_windows).groupBy("doc_id", "row", "item_id").agg(F.countDistinct("h").alias("n_matched"))
-    joined = per.join(items, F.col("item_id").eqNullSafe(F.col("item"))).withColumn("matched_share", F.col("n_matched") / F.col("n_windows"))
+    joined = matches(docs, benchmark, size=size, broadcast_windows=broadcast_windows).withColumn("matched_share", F.col("n_matched") / F.col("n_windows"))
     return joined.filter((F.col("matched_share") >= share) | (F.col("n_matched") >= passage)).select("doc_id", "row", "item_id", "n_matched", "n_windows", "matched_share")
 
 
