@@ -1,7 +1,7 @@
 """Benchmark decontamination by templates.
 
 Texts become words in canonical form: lower case without punctuation, with numbers, units that follow a number,
-and names (capitalised words within a sentence) as typed placeholders. Windows of five words of the benchmark are
+and names (capitalised words but function words, also where a sentence begins) as typed placeholders. Windows of five words of the benchmark are
 hash-joined with the windows of the documents, so that a question stays recognisable when its numbers, names or
 units are replaced. For matched windows with placeholders the fillings are compared within one occurrence (matches
 whose position in the document less that in the item is nearly the same): each filling of the item must map to one
@@ -29,8 +29,18 @@ from .common import materialize, text_or_empty, unused, words
 
 #: Marks of placeholders for names, numbers and units, and the mark that ends what they stand for.
 NAME, NUMBER, UNIT, END = "\x01", "\x02", "\x03", "\x04"
-#: The forms that become placeholders. A name follows a word, comma or semicolon and a space.
-NAME_FORM = r"\p{Lu}(?<=[\p{L}\p{Nd},;]\x20\p{Lu})\p{Ll}+"
+#: Capitalised words that are no names. What stands around a word plays no part, so that an item and its
+#: copies are always typed alike. Words that are names as well (Will, May, Mark) are not among them.
+FUNCTION_WORDS = (
+    "a an the this that these those there here he she it we you they his her its our your their my me him them us and or but nor so yet if when while where who whom whose which what why how "
+    "is are was were be been am do does did has have had can could shall should would might must not no yes of in on at by for from to into onto with without within over under after before during about above below between through "
+    "as than then all any both each every few many much more most some such other another only also just now once since until because although though however "
+    "der die das den dem des ein eine einer eines einem einen und oder aber wenn als ob weil dass ich du er sie es wir ihr sein seine ihre ist sind war waren hat haben hatte wird werden kann in im an am auf aus bei mit nach von vom zu zum zur wie was wer wo wann warum welche welcher welches nicht kein keine jeder jede jedes dieser diese dieses "
+    "le la les un une des du de et ou mais donc si quand comme que qui quoi dont où il elle on nous vous ils elles ce cet cette ces son sa ses leur leurs est sont était a ont dans sur sous avec sans pour par en au aux combien chaque tous toutes "
+    "el los las una unos unas y o pero cuando como cual cuanto cuantos cuantas quien donde yo tú él ella nosotros ellos ellas su sus es son era fue hay ha han con sin para por del al cada todos todas este esta estos estas si no"
+).split()
+#: The forms that become placeholders.
+NAME_FORM = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{Nd}}])(?!(?:{'|'.join(sorted({w.capitalize() for w in FUNCTION_WORDS}))})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+"
 NUMBER_FORM = r"[$]?[0-9][0-9.,:/]*%?"
 UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hrs hours minutes seconds days weeks months years meters metres miles feet inches dollars euros cents percent kph mph"
 UNIT_FORM = rf"(?<={END}\x20)(?:{UNITS.replace(' ', '|')})(?![\p{{L}}\p{{N}}])"
