@@ -1,28 +1,35 @@
 """Similarity join of documents by the Jaccard index of their word shingles, over a MinHash LSH forest.
 
-1. Every document's set of shingles (five words) gets a fingerprint and ``trees`` signatures. Documents with equal
-   sets are copies of one class and stand behind one representative from here on.
-2. Each tree is a prefix trie of signatures, kept as sorted prefixes. The prefix that must match is shortened
-   from ``max_depth`` until the expected recall at the threshold reaches ``recall``; the matching representatives
-   of a prefix are a bucket. Buckets that several trees make of the same members are kept once.
-3. Buckets are cut into blocks of bounded size, and each pair of blocks is a unit of work: a task streams over
-   sorted units and intersects the sets themselves, so every link is exact. A pair that meets in several buckets
-   counts in the first. A unit gives out one row a member (its links, and its root among the linked), never pairs.
+1. Every document's set of shingles (five words) gets a fingerprint and, for each tree, a label of ``max_depth``
+   values. Documents with equal sets are copies of one class and stand behind one representative from here on.
+2. Each tree is a trie of labels, kept as sorted labels: range partitions are streamed in order, and the common
+   prefix of neighbours tells the nodes. The matched prefix of a node starts at ``max_depth`` and is shortened until
+   the recall expected for the least similar partner that its rows can have (by the sizes of their sets) reaches
+   ``recall``; a node of at most ``small`` rows is shortened once more, as matching it costs next to nothing. So
+   sparse parts of a trie match on shorter prefixes than dense ones, and small sets on longer ones than large sets.
+   The rows of a node are a bucket. Buckets that several trees make of the same members are kept once.
+3. Buckets that share members make a family. A family is compared as a whole if that takes no more rows than its
+   buckets do one by one; else a pair that meets in several buckets counts in the first. What is compared is cut
+   into blocks of bounded size, and each pair of blocks is a unit of work: a task streams over sorted units and
+   intersects the sets themselves, so every link is exact. A unit gives out one row a member (its links, and its
+   root among the linked), never pairs.
 4. Roots are joined to components by rounds of star contraction, each written to the shared folder.
 
-Shuffled are signatures (a few hundred bytes a document), texts once, and the texts of representatives that share
+Shuffled are labels (some hundred bytes a document), texts once, and the texts of representatives that share
 a bucket. Work within one group of m different near copies grows with m squared, as the count of its links does,
 but is spread over block pairs; copies cost nothing.
 
 Defined results: documents without words (null and empty texts too) have no shingles and no links, and each is its
 own class; texts of fewer than five words are one shingle; rows that repeat an id are documents of their own in
-the counts; null ids come before all others and are their class's id; an empty table gives no rows; other columns
-are ignored.
+the counts, and stand behind one another if their texts are equal too; of classes that could take several ids the
+least is taken, and null comes before all others; texts are taken whole at any length; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +54,22 @@ def prefix_depth(trees: int, max_depth: int, threshold: float, recall: float) ->
     return depth
 
 
+def least_index(n: int, threshold: float) -> float | None:
+    """The least index, of those at or above the threshold, of a set of ``n`` with any other set; None if there is none."""
+    found = []
+    for m in range(math.ceil(threshold * n - 1e-9), math.floor(n / threshold + 1e-9) + 1):
+        common = math.ceil(threshold * (n + m) / (1 + threshold) - 1e-9)
+        if common <= min(n, m) - (n == m):
+            found.append(common / (n + m - common))
+    return min(found, default=None)
+
+
+def depths_by_size(trees: int, max_depth: int, threshold: float, recall: float, *, largest: int = 512) -> np.ndarray:
+    """Prefix length by the size of a set (the last entry: that size and above); 0 for sizes that no other set can match."""
+    least = [least_index(n, threshold) for n in range(largest)]
+    return np.array([0 if x is None else prefix_depth(trees, max_depth, x, recall) for x in least] + [prefix_depth(trees, max_depth, threshold, recall)])
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * MIX1
     x = (x ^ (x >> np.uint64(27))) * MIX2
@@ -78,12 +101,9 @@ def signature(shingles: np.ndarray, xor: np.ndarray, times: np.ndarray) -> np.nd
     return out
 
 
-def tree_keys(sig: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """One 64-bit key for the prefix in each tree."""
-    key = np.arange(trees, dtype=np.uint64)
-    for column in sig.reshape(trees, depth).T:
-        key = mixed(key + column)
-    return key.view(np.int64)
+def labels_of(sig: np.ndarray) -> bytes:
+    """Two bytes of each value, the first byte leading, so that labels sort as bytes."""
+    return (mixed(sig) >> np.uint64(48)).astype(">u2").tobytes()
 
 
 def _word_hashes() -> Column:
@@ -91,25 +111,85 @@ def _word_hashes() -> Column:
 
 
 def signed(docs: DataFrame, *, size: int, trees: int, depth: int, seed: int) -> DataFrame:
-    """doc_id, row (hash of the text), f1, f2 (fingerprint of the set), n (its size), keys; written once."""
-    names = ["doc_id", "row", "f1", "f2", "n", "keys"]
+    """doc_id, row (hash of the text), f1, f2 (fingerprint of the set), n (its size), labels (of all trees); written once."""
+    names = ["doc_id", "row", "f1", "f2", "n", "labels"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xor, times = constants(trees * depth, seed)
         for batch in batches:
             lists = batch.column("hashes")
             flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-            prints, n, keys = np.empty((batch.num_rows, 2), np.int64), [], []
+            prints, n, labels = np.empty((batch.num_rows, 2), np.int64), [], []
             for i in range(batch.num_rows):
                 s = shingle_set(flat[ends[i] - ends[0] : ends[i + 1] - ends[0]], size)
                 prints[i] = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64)
                 n.append(len(s))
-                keys.append(tree_keys(signature(s, xor, times), trees, depth))
-            k = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * trees), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(n, pa.int64()), k], names=names)
+                labels.append(labels_of(signature(s, xor, times)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(n, pa.int64()), pa.array(labels, pa.binary())], names=names)
 
     hashed = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("row"), _word_hashes().alias("hashes"))
-    return materialize(hashed.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, f1 long, f2 long, n long, keys array<long>"), "signatures")
+    return materialize(hashed.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, f1 long, f2 long, n long, labels binary"), "signatures")
+
+
+def matched_depths(tree: np.ndarray, labels: np.ndarray, wanted: np.ndarray, *, least: int, small: int) -> np.ndarray:
+    """Length of the prefix on which each row of a sorted run of labels is matched; 0 where it matches none.
+
+    ``wanted`` is the longest prefix that meets the recall for each row and ``least`` the least of these lengths. A
+    node at either end may go on beyond it, so its rows aren't counted: its prefix is ``least``.
+    """
+    count, depth = labels.shape
+    same = np.cumprod(labels[1:] == labels[:-1], axis=1).sum(axis=1) if count > 1 else np.empty(0, np.int64)
+    common = np.r_[-1, np.where(tree[1:] == tree[:-1], same, -1)]
+    out, open_ = np.zeros(count, dtype=np.int64), np.ones(count, dtype=bool)
+    for d in range(max(1, least - 1), depth + 1):
+        first = common < d
+        starts = np.flatnonzero(first)
+        node = np.cumsum(first) - 1
+        sizes = np.diff(np.r_[starts, count])
+        done = (sizes <= small) | (np.minimum.reduceat(wanted, starts) <= d) | (d == depth)
+        alone = sizes == 1
+        done[[0, -1]], alone[[0, -1]] = d >= least, False
+        here = open_ & done[node]
+        out[here] = np.where(alone[node[here]], 0, d)
+        open_ &= ~here
+    return out
+
+
+def _forest(depths: np.ndarray, trees: int, depth: int, small: int, *, chunk: int = 65_536, hot: int = 262_144):  # noqa: ANN202
+    """Streams over labels sorted by tree: rid, n and key (tree and matched prefix) of the rows that may match others."""
+    least = int(depths[-1])
+
+    def solve(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+        wanted = depths[np.minimum(rows["n"], len(depths) - 1)]
+        d = matched_depths(rows["tree"], rows["label"], wanted, least=least, small=small)
+        key = mixed((rows["tree"] * (depth + 1) + d).astype(np.uint64))
+        for i in range(depth):
+            key = np.where(d > i, mixed(key + rows["label"][:, i].astype(np.uint64) + np.uint64(1)), key)
+        met = d > 0
+        return pa.RecordBatch.from_arrays([pa.array(rows["rid"][met]), pa.array(rows["n"][met]), pa.array(key.view(np.int64)[met])], names=["rid", "n", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column("label")
+            flat = np.frombuffer(column.buffers()[2], dtype=">u2")[column.offset * depth : (column.offset + batch.num_rows) * depth]
+            new = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("tree", "rid", "n")} | {"label": flat.reshape(-1, depth).astype(np.uint16)}
+            held = new if held is None else {k: np.concatenate([held[k], new[k]]) for k in held}
+            if len(held["rid"]) < chunk:
+                continue
+            # cut where a subtree ends; one that is too large to be held is cut within
+            top = held["label"][:, : max(1, least - 1)]
+            ends = np.flatnonzero((top[1:] != top[:-1]).any(axis=1) | (held["tree"][1:] != held["tree"][:-1]))
+            cut = int(ends[-1]) + 1 if len(ends) else len(top) if len(top) >= hot else 0
+            if cut:
+                yield solve({k: v[:cut] for k, v in held.items()})
+                held = {k: v[cut:] for k, v in held.items()} if cut < len(top) else None
+        if held is not None:
+            yield solve(held)
+
+    return run
 
 
 def _linked(sets: list[np.ndarray], sizes: np.ndarray, threshold: float) -> np.ndarray:
@@ -230,31 +310,56 @@ def components(edges: DataFrame, *, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def join(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, trees: int = 24, max_depth: int = 8, recall: float = 0.9999, block_docs: int = 1000, block_shingles: int = 400_000, seed: int = 1) -> DataFrame:
+def buckets_of(reps: DataFrame, *, threshold: float, trees: int, max_depth: int, recall: float, small: int) -> DataFrame:
+    """rid, n, key of the representatives (rid, n, labels) that share a node of the forest with others; written once."""
+    depths = depths_by_size(trees, max_depth, threshold, recall)
+    width = 2 * max_depth
+    label = lambda i: F.struct(i.cast("int").alias("tree"), F.substring(F.col("labels"), i * width + 1, F.lit(width)).alias("label"))
+    matchable = reps.filter(F.get(F.array(*map(F.lit, depths.tolist())), F.least("n", F.lit(len(depths) - 1)).cast("int")) > 0)
+    members = matchable.select("rid", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), label)).alias("l")).select("l.tree", "l.label", "rid", "n")
+    order = ["tree", "label", "rid"]
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = members.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return materialize(ranged.mapInArrow(_forest(depths, trees, max_depth, small), "rid long, n long, key long"), "forest")
+
+
+def placed_rows(members: DataFrame, *, block_docs: int, block_shingles: int) -> DataFrame:
+    """rid, bid (what it is compared in) and blocks of the rows ``members`` (rid, n, key); bids of families are negative."""
+    blocks = lambda m, n: F.greatest(F.ceil(F.col(m) / block_docs), F.ceil(F.col(n) / block_shingles)).cast("int")
+    mark = F.xxhash64("rid")
+    full = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"), F.bit_xor(mark).alias("x"), F.sum(mark.cast("decimal(20,0)")).alias("s"), F.min("rid").alias("leader")).filter("m > 1")
+    once = full.groupBy("m", "shingles", "x", "s").agg(F.min("key").alias("key"), F.min("leader").alias("leader"))
+    buckets = materialize(once.select(F.monotonically_increasing_id().alias("bid"), "key", "m", "leader", blocks("m", "shingles").alias("blocks")), "buckets")
+    placed = materialize(members.join(buckets, "key").select("rid", "n", "bid", "leader", "blocks"), "members")
+    family = components(placed.filter("rid != leader").select(F.col("rid").alias("a"), F.col("leader").alias("b"))).toDF("rid", "family")
+    apart = buckets.join(family, F.col("leader") == F.col("rid")).groupBy("family").agg(F.sum(F.col("m") * F.col("blocks")).alias("apart"))
+    whole = placed.select("rid", "n").distinct().join(family, "rid").groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
+    whole = whole.join(apart, "family").select("family", blocks("m", "shingles").alias("whole"), F.when(F.col("m") * blocks("m", "shingles") <= F.col("apart"), True).otherwise(False).alias("at_once"))
+    dealt = placed.join(family, "rid").join(whole, "family")
+    at_once = dealt.filter("at_once").select("rid", (-1 - F.col("family")).alias("bid"), F.col("whole").alias("blocks")).distinct()
+    return materialize(at_once.unionByName(dealt.filter("not at_once").select("rid", "bid", "blocks")), "placed")
+
+
+def join(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, trees: int = 16, max_depth: int = 6, recall: float = 0.9995, small: int = 4, block_docs: int = 200, block_shingles: int = 400_000, seed: int = 1) -> DataFrame:
     """doc_id, row, n (shingles), class_id, copy_id, n_links of every row of ``docs`` (doc_id, text).
 
     class_id is the least id of the component, copy_id the least id with the same set of shingles, n_links the
     number of other documents whose index with this one is at least ``threshold``.
     """
-    depth = prefix_depth(trees, max_depth, threshold, recall)
-    rows = signed(docs, size=size, trees=trees, depth=depth, seed=seed)
+    rows = signed(docs, size=size, trees=trees, depth=max_depth, seed=seed)
     # representatives: the first row of each set
-    same = rows.filter("n > 0").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "row", "n", "keys")).alias("r"), F.count(F.lit(1)).alias("copies"))
-    reps = materialize(same.select(F.monotonically_increasing_id().alias("rid"), "f1", "f2", "copies", "r.doc_id", "r.row", "r.n", "r.keys"), "representatives")
-    members = reps.select("rid", "n", F.posexplode("keys").alias("tree", "key"))
-    mark = F.xxhash64("rid")
-    full = members.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"), F.bit_xor(mark).alias("x"), F.sum(mark.cast("decimal(20,0)")).alias("s")).filter("m > 1")
-    once = full.groupBy("m", "shingles", "x", "s").agg(F.min(F.struct("tree", "key")).alias("t"))
-    blocks = F.greatest(F.ceil(F.col("m") / block_docs), F.ceil(F.col("shingles") / block_shingles)).cast("int")
-    buckets = materialize(once.select(F.monotonically_increasing_id().alias("bid"), "t.tree", "t.key", blocks.alias("blocks")), "buckets")
-    placed = materialize(members.select("rid", "tree", "key").join(buckets, ["tree", "key"]).select("rid", "bid", "blocks"), "members")
+    same = rows.filter("n > 0").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "row", "n", "labels")).alias("r"), F.count(F.lit(1)).alias("copies"))
+    reps = materialize(same.select(F.monotonically_increasing_id().alias("rid"), "f1", "f2", "copies", "r.doc_id", "r.row", "r.n", "r.labels"), "representatives")
+    members = buckets_of(reps, threshold=threshold, trees=trees, max_depth=max_depth, recall=recall, small=small)
+    placed = placed_rows(members, block_docs=block_docs, block_shingles=block_shingles)
     own = placed.groupBy("rid").agg(F.sort_array(F.collect_list("bid")).alias("buckets"))  # one for each tree at most
     block = F.pmod(F.xxhash64("rid", "bid"), F.col("blocks")).cast("int")
     units = placed.withColumn("block", block).select("rid", "bid", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     units = units.select("rid", "bid", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    known = units.join(own, "rid").join(reps.select("rid", "doc_id", "row", "copies"), "rid")
-    text = docs.select(F.col("doc_id").alias("doc_id_"), text_or_empty().alias("text")).withColumn("row_", F.xxhash64("text"))
-    dealt = text.join(known, F.col("doc_id_").eqNullSafe(F.col("doc_id")) & (F.col("row_") == F.col("row")))
+    known = units.join(own, "rid").join(reps.select("rid", F.struct("doc_id", "row").alias("at"), "copies"), "rid")
+    # repeated rows are one here
+    text = docs.select("doc_id", text_or_empty().alias("text")).select(F.struct("doc_id", F.xxhash64("text").alias("row")).alias("at"), "text").dropDuplicates(["at"])
+    dealt = text.join(known, "at")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     streamed = dealt.select("bid", "i", "j", "rid", "block", "copies", "buckets", "text").repartition(parts, "bid", "i", "j").sortWithinPartitions("bid", "i", "j")
     hashed = streamed.select("bid", "i", "j", "rid", "block", "copies", "buckets", _word_hashes().alias("hashes"))
