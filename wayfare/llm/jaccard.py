@@ -323,6 +323,19 @@ def buckets_of(reps: DataFrame, *, threshold: float, trees: int, max_depth: int,
     return materialize(ranged.mapInArrow(_forest(depths, trees, max_depth, small), "rid long, n long, key long"), "forest")
 
 
+def join_by_group(rows: DataFrame, groups: DataFrame, key: str, *, most: int = 100_000) -> DataFrame:
+    """``rows`` joined with ``groups`` (key, m, ...), of which each holds m of the rows.
+
+    Groups of more than a share of 1 / ``most`` of all rows, at most ``most`` of them, are broadcast, so that no large
+    group comes to one task; the others are shuffled.
+    """
+    total = groups.agg(F.sum("m")).first()[0] or 0
+    large = F.col("m") > max(1000, total // most)
+    hot = F.broadcast(groups.filter(large))
+    rest = rows.join(F.broadcast(groups.filter(large).select(key)), key, "left_anti").join(groups.filter(~large), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def placed_rows(members: DataFrame, *, block_docs: int, block_shingles: int) -> DataFrame:
     """rid, bid (what it is compared in) and blocks of the rows ``members`` (rid, n, key); bids of families are negative."""
     blocks = lambda m, n: F.greatest(F.ceil(F.col(m) / block_docs), F.ceil(F.col(n) / block_shingles)).cast("int")
@@ -330,12 +343,12 @@ def placed_rows(members: DataFrame, *, block_docs: int, block_shingles: int) ->
     full = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"), F.bit_xor(mark).alias("x"), F.sum(mark.cast("decimal(20,0)")).alias("s"), F.min("rid").alias("leader")).filter("m > 1")
     once = full.groupBy("m", "shingles", "x", "s").agg(F.min("key").alias("key"), F.min("leader").alias("leader"))
     buckets = materialize(once.select(F.monotonically_increasing_id().alias("bid"), "key", "m", "leader", blocks("m", "shingles").alias("blocks")), "buckets")
-    placed = materialize(members.join(buckets, "key").select("rid", "n", "bid", "leader", "blocks"), "members")
+    placed = materialize(join_by_group(members, buckets, "key").select("rid", "n", "bid", "leader", "blocks"), "members")
     family = components(placed.filter("rid != leader").select(F.col("rid").alias("a"), F.col("leader").alias("b"))).toDF("rid", "family")
     apart = buckets.join(family, F.col("leader") == F.col("rid")).groupBy("family").agg(F.sum(F.col("m") * F.col("blocks")).alias("apart"))
     whole = placed.select("rid", "n").distinct().join(family, "rid").groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
-    whole = whole.join(apart, "family").select("family", blocks("m", "shingles").alias("whole"), F.when(F.col("m") * blocks("m", "shingles") <= F.col("apart"), True).otherwise(False).alias("at_once"))
-    dealt = placed.join(family, "rid").join(whole, "family")
+    whole = materialize(whole.join(apart, "family").select("family", "m", blocks("m", "shingles").alias("whole"), (F.col("m") * blocks("m", "shingles") <= F.col("apart")).alias("at_once")), "families")
+    dealt = join_by_group(placed.join(family, "rid"), whole, "family")
     at_once = dealt.filter("at_once").select("rid", (-1 - F.col("family")).alias("bid"), F.col("whole").alias("blocks")).distinct()
     return materialize(at_once.unionByName(dealt.filter("not at_once").select("rid", "bid", "blocks")), "placed")
 
