@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,19 +15,51 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
 
-    Where the setting is absent, as in local tests, a temporary folder takes its place and is removed at exit.
+    Where the setting is absent and Spark runs in this process alone, a temporary folder takes its place and is
+    removed at exit. Executors on other machines would not see it, so that on a cluster its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="wayfare-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Paths of tables written within each open :func:`scratch`.
+_open: list[list[str]] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/wayfare/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+def append(df: DataFrame, path: str) -> DataFrame:
+    """Add ``df`` to the table at a path and read what was added."""
+    part = f"{path}/part={uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(part)
+    return df.sparkSession.read.schema(df.schema).parquet(part)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wayfare/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are removed at its end: what is needed later is to be written elsewhere, not left lazy."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            found = spark._jvm.org.apache.hadoop.fs.Path(path)
+            found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,23 +32,22 @@ def cell(x: Column, size: float = CELL_DEG) -> Column:
     return F.floor(x / size).cast("long")
 
 
-def spatial_join(pings: DataFrame, pois: DataFrame, *, radius_m: float = POI_RADIUS_M, lat: str = "lat", lng: str = "lng", max_latitude: float = 60.0) -> DataFrame:
+def spatial_join(pings: DataFrame, pois: DataFrame, *, radius_m: float = POI_RADIUS_M, lat: str = "lat", lng: str = "lng") -> DataFrame:
     """Pairs of pings and points of interest within the radius, with ``distance_m``.
 
-    An equi-join on grid cells: the points are repeated over as many neighbouring cells as the radius can reach
-    (more of them east and west, up to ``max_latitude``), and the true distance is the rest of the condition. The
-    planner broadcasts the points while they are small and shuffles both sides by cell beyond that.
-    ``pois`` needs poi_lat and poi_lng, and may have its own poi_radius_m.
+    An equi-join on grid cells: each point is repeated over the cells that its own radius reaches from where it lies
+    (a degree of longitude is shorter at a higher latitude; at the poles all of them are reached), and the true
+    distance is the rest of the condition. The planner broadcasts the points while they are small and shuffles both
+    sides by cell beyond that. ``pois`` needs poi_lat and poi_lng, and may have its own poi_radius_m.
     """
-    from math import cos, radians
-
-    deg = radius_m / METERS_PER_DEG
-    up, side = ceil(deg / CELL_DEG), ceil(deg / cos(radians(max_latitude)) / CELL_DEG)
-    around = lambda n: F.explode(F.sequence(F.lit(-n), F.lit(n)))
-    spread = pois.withColumn("dy_", around(up)).withColumn("dx_", around(side)).withColumns({"cy_": cell(F.col("poi_lat")) + F.col("dy_"), "cx_": cell(F.col("poi_lng")) + F.col("dx_")}).drop("dy_", "dx_")
+    reach = F.coalesce(F.col("poi_radius_m"), F.lit(radius_m)) if "poi_radius_m" in pois.columns else F.lit(radius_m)
+    up = reach / METERS_PER_DEG
+    # the distance takes the cosine at the middle latitude, which is at most half the radius nearer to the pole
+    across = up / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("poi_lat")) + up, F.lit(90.0)))), F.lit(1e-3))
+    cells = lambda c, deg: F.explode(F.sequence(cell(F.col(c) - deg - 1e-9), cell(F.col(c) + deg + 1e-9)))
+    spread = pois.withColumn("cy_", cells("poi_lat", up)).withColumn("cx_", cells("poi_lng", across))
     celled = pings.withColumns({"py_": cell(F.col(lat)), "px_": cell(F.col(lng))})
     distance = planar_m(F.col(lat), F.col(lng), F.col("poi_lat"), F.col("poi_lng"))
-    reach = F.coalesce(F.col("poi_radius_m"), F.lit(radius_m)) if "poi_radius_m" in pois.columns else F.lit(radius_m)
     met = celled.join(spread, (F.col("py_") == F.col("cy_")) & (F.col("px_") == F.col("cx_")) & (distance <= reach))
     return met.withColumn("distance_m", distance).drop("py_", "px_", "cy_", "cx_")
 

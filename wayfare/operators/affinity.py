@@ -101,7 +101,7 @@ def source_zip_affinity(features: DataFrame, population: DataFrame, centroids: D
     rows = per.join(population, "zip", "left").join(centroids, "source", "left")
     share = F.col("devices") / F.sum("devices").over(Window.partitionBy("source"))
     d = haversine_km(F.col("lat"), F.col("lng"), F.col("poi_lat"), F.col("poi_lng"))
-    rows = rows.withColumns({"loyal": F.round(F.coalesce("dwell", F.lit(0.0)) * F.log1p(F.coalesce("visits", F.lit(0.0))), 9), "dense": F.when(F.col("population") >= min_population, F.col("devices") / F.col("population")), "over": F.round(share / F.exp(-d / decay_km), 12)})
+    rows = rows.withColumns({"loyal": F.round(F.coalesce("dwell", F.lit(0.0)) * F.log1p(F.coalesce("visits", F.lit(0.0))), 9), "dense": F.when(F.col("population") >= min_population, F.col("devices") / F.col("population")), "over": F.round(share / F.exp(-d / decay_km), 9)})
     src = (F.col("source"),)
     volume = half_up(_percentile(F.col("devices"), src))
     rows = rows.withColumns({"volume_pct": volume, "loyalty_pct": half_up(_percentile(F.col("loyal"), src)), "density_pct": F.when(F.col("dense").isNotNull(), half_up(_percentile(F.col("dense"), src, F.col("dense").isNotNull()))), "lift_pct": F.when(F.col("over").isNotNull(), half_up(_percentile(F.col("over"), src, F.col("over").isNotNull())))})

@@ -180,3 +180,8 @@ def cluster_ids(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p.select("ad_id"))
     return out.distinct()
+
+
+def contribution_count(ids: DataFrame) -> DataFrame:
+    """devices: how many different ids a contribution or a list of look-alikes has."""
+    return ids.agg(F.countDistinct("ad_id").alias("devices"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timeutil import in_hours, iso_day, local_time, seconds_between
+from ..functions.timeutil import in_hours, iso_day, local_time, minutes_between
 from ..sources.schema import HUMAN_DAYS, MAX_ACCURACY_M
 
 
@@ -62,15 +62,18 @@ def only_humans(pings: DataFrame, *, min_days: int = HUMAN_DAYS) -> DataFrame:
 
 
 def routine(pings: DataFrame, *, zone: str = "UTC") -> DataFrame:
-    """ad_id, days, avg_dwell (minutes a day), work_share (8-20h) and overnight_share (2-5h) of pings."""
+    """ad_id, days, avg_dwell (whole minutes a day), work_share and overnight_share of pings at places.
+
+    The work share is the mean over days of the share of pings from 8 to before 20h; the overnight share is the
+    share of days with a ping from 2 to before 5h.
+    """
     hour = F.hour(local_time(F.col("utc_timestamp"), zone))
     daily = pings.groupBy("ad_id", "date").agg(
-        (seconds_between(F.min("utc_timestamp"), F.max("utc_timestamp")) / 60.0).alias("dwell"),
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(hour.between(8, 20)).alias("work"),
-        F.count_if(hour.between(2, 5)).alias("overnight"),
+        minutes_between(F.min("utc_timestamp"), F.max("utc_timestamp")).alias("dwell"),
+        F.avg(((hour >= 8) & (hour < 20)).cast("double")).alias("work"),
+        F.max(((hour >= 2) & (hour < 5)).cast("double")).alias("overnight"),
     )
-    return daily.groupBy("ad_id").agg(F.count(F.lit(1)).alias("days"), F.avg("dwell").alias("avg_dwell"), (F.sum("work") / F.sum("n")).alias("work_share"), (F.sum("overnight") / F.sum("n")).alias("overnight_share"))
+    return daily.groupBy("ad_id").agg(F.count(F.lit(1)).alias("days"), F.avg("dwell").alias("avg_dwell"), F.round(F.avg("work"), 9).alias("work_share"), F.avg("overnight").alias("overnight_share"))
 
 
 def employee_ids(pings: DataFrame, *, min_days: int = 15, min_dwell: float = 240.0, work_share: float = 0.6, overnight_share: float = 0.3, zone: str = "UTC") -> DataFrame:

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from datetime import date
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import half_up
 from ..functions.timeutil import iso_day, local_time, week_start
 from .reports import first_by
 
 
+#: Days of a mean month, and the months that a device id lives.
+MONTH_DAYS = 30.44
+LIFESPAN_MONTHS = 12
+
+
 def detect(pings: DataFrame, *, min_nights: int = 3) -> DataFrame:
     """One home per device: the cell (2 decimals) of most weekday nights (19 to 7h UTC).
 
@@ -87,11 +94,23 @@ def residents(homes: DataFrame, pings: DataFrame, *, weeks: int, confidence: flo
     return sure.join(active, "ad_id", "left_semi")
 
 
-def audience_estimate(counts: DataFrame, *, churn: float = 1.35, kappa: float = 1.0, months: float = 0.0, lifespan_months: float = 12.0, population: float | None = None) -> DataFrame:
-    """Adds unique_users (ids less those renewed), users_today (those still reachable) and over_ceiling."""
-    users = F.col("maids") / churn * kappa
-    out = counts.withColumns({"unique_users": F.round(users, 4), "users_today": F.round(users * 0.5 ** (months / lifespan_months), 4)})
-    return out.withColumn("over_ceiling", F.lit(False) if population is None else F.col("unique_users") > population)
+def months_between(first: str, last: str) -> float:
+    """Days between two ISO dates over the mean month; 0 if the second is earlier."""
+    return max(0.0, (date.fromisoformat(last) - date.fromisoformat(first)).days / MONTH_DAYS)
+
+
+def audience_estimate(counts: DataFrame, *, first: str, last: str, now: str, kappa: float, ceiling_millions: float) -> DataFrame:
+    """Adds unique_users (ids less those renewed in a long span), users_today (those still reachable) and over_ceiling.
+
+    ``counts`` has maids, seen from ``first`` to ``last``. Ids live for a year: a longer span counts people several
+    times, and half of them are gone a year after it. The ceiling is compared with the ids themselves; counts of
+    none give null.
+    """
+    churn = 1 + max(0.0, months_between(first, last) - LIFESPAN_MONTHS) / LIFESPAN_MONTHS
+    decay = 0.5 ** (months_between(last, now) / LIFESPAN_MONTHS)
+    some, users = F.col("maids") > 0, F.col("maids") / churn * kappa
+    over = (F.lit(ceiling_millions) > 0) & (F.col("maids") > ceiling_millions * 1_000_000)
+    return counts.withColumns({"unique_users": F.when(some, half_up(users)), "users_today": F.when(some, half_up(users * decay)), "over_ceiling": F.when(some, over)})
 
 
 def catchment_methods(pings: DataFrame, at_poi: DataFrame, *, cells: int = 30) -> DataFrame:

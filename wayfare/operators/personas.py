@@ -7,31 +7,55 @@ from math import ceil
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.durable import materialize
-from ..functions.numbers import half_up
+from ..functions.numbers import at_places, clip, half_up, medians
 from ..functions.timeutil import iso_day, local_time
 from . import homes
 from .filters import human_ids
 from .visits import qualified_days
 
 HOUR_SHARES = ("morning_share", "midday_share", "afternoon_share", "evening_share", "night_share")
-#: Brands and the words that name them (contained, or the whole name after an equals sign).
+#: Brands, words that a name contains, and whole names.
 BRAND_RULES = {
-    "burger_king": ("burger king", "burger-king"), "mcdonalds": ("mcdonald", "mc donald"), "kfc": ("kfc", "kentucky fried chicken"), "telepizza": ("telepizza",), "dominos": ("domino",), "pizza_hut": ("pizza hut", "pizzahut"), "goiko": ("goiko",), "five_guys": ("five guys",),
-    "subway": ("subway",), "taco_bell": ("taco bell", "tacobell"), "starbucks": ("starbucks",), "tim_hortons": ("tim horton",), "foster_hollywood": ("foster",), "tgb": ("=tgb", "=the good burger"), "vips": ("vips",), "100_montaditos": ("100 montaditos", "cien montaditos"), "tagliatella": ("tagliatella",),
-}
+    "burger_king": {"contains": ("burger king", "burger-king")},
+    "mcdonalds": {"contains": ("mcdonald", "mc donald")},
+    "kfc": {"contains": ("kfc", "kentucky fried chicken")},
+    "telepizza": {"contains": ("telepizza",)},
+    "dominos": {"contains": ("domino",)},
+    "pizza_hut": {"contains": ("pizza hut", "pizzahut")},
+    "goiko": {"contains": ("goiko",)},
+    "five_guys": {"contains": ("five guys",)},
+    "subway": {"contains": ("subway",)},
+    "taco_bell": {"contains": ("taco bell", "tacobell")},
+    "starbucks": {"contains": ("starbucks",)},
+    "tim_hortons": {"contains": ("tim horton",)},
+    "foster_hollywood": {"contains": ("foster",)},
+    "tgb": {"exact": ("tgb", "the good burger")},
+    "vips": {"contains": ("vips",)},
+    "100_montaditos": {"contains": ("100 montaditos", "cien montaditos")},
+    "tagliatella": {"contains": ("tagliatella",)},
+}
 ACCENTS = ("áàâäãåéèêëíìîïóòôöõúùûüñçý", "aaaaaaeeeeiiiiooooouuuuncy")
-STOPWORDS = ("the", "and", "del", "las", "los", "calle", "avenida", "plaza", "centro", "comercial", "restaurante", "tienda")
+#: Words of names that name no brand.
+STOPWORDS = (
+    "el la los las un una unos unas de del al en y o u a an the and or of in on at to for by with sin "
+    "centro plaza avenida av calle c/ colonia col norte sur este oeste central esquina no street street. st road rd blvd boulevard "
+    "mall shopping center centre park parque piso local edif edificio galeria galería station estación estacion paseo rambla ronda "
+    "store tienda sucursal restaurant restaurante cafe cafetería cafeteria shop outlet office oficina branch agencia agency point punto "
+    "concesionario dealership dealer showroom service autorizado official oficial main principal nuevo nueva expo fair feria "
+    "big small mini mega super plus pro vip premium gold silver platinum company co ltd sa sl srl inc corp group grupo holding"
+).split()
 
 
 def visitor_pings(pings: DataFrame, at_poi: DataFrame) -> DataFrame:
     """All pings of devices seen at the places on two days or more, with ``is_at_poi``."""
-    humans = human_ids(at_poi)
-    here = at_poi.select("ad_id", "date", "utc_timestamp", F.lit(True).alias("is_at_poi")).distinct()
-    return pings.join(humans, "ad_id", "left_semi").join(here, ["ad_id", "date", "utc_timestamp"], "left").withColumn("is_at_poi", F.coalesce("is_at_poi", F.lit(False)))
+    key = ["ad_id", "date", "utc_timestamp", "lat", "lng"]
+    here = at_poi.select(*key, F.lit(True).alias("is_at_poi")).distinct()
+    return pings.join(human_ids(at_poi), "ad_id", "left_semi").join(here, key, "left").withColumn("is_at_poi", F.coalesce("is_at_poi", F.lit(False)))
 
 
 def visit_features(at_poi: DataFrame, last_date: str, *, zone: str = "UTC") -> DataFrame:
@@ -81,63 +105,77 @@ def plain_text(c: Column) -> Column:
     return F.translate(F.lower(F.trim(c)), *ACCENTS)
 
 
-def resolve_brand(name: Column, rules: dict[str, tuple[str, ...]] = BRAND_RULES) -> Column:
+def resolve_brand(name: Column, rules: dict[str, dict[str, tuple[str, ...]]] = BRAND_RULES) -> Column:
     """The first brand whose words the name holds, without regard to case and accents; else other."""
     n = plain_text(F.coalesce(name, F.lit("")))
     out = F.when(F.lit(False), F.lit(""))
-    for brand, parts in rules.items():
-        hit = F.lit(False)
-        for p in parts:
-            hit = hit | (n == p[1:] if p[0] == "=" else F.contains(n, F.lit(p)))
+    for brand, forms in rules.items():
+        hit = n.isin(*forms.get("exact", ())) if forms.get("exact") else F.lit(False)
+        for p in forms.get("contains", ()):
+            hit = hit | F.contains(n, F.lit(p))
         out = out.when(hit, brand)
     return out.otherwise("other")
 
 
-def name_tokens(name: Column, *, least_chars: int = 3) -> Column:
+def name_tokens(name: Column, *, least_chars: int = 2) -> Column:
     """Distinct words of a name, without numbers and filler words."""
     parts = F.split(plain_text(F.coalesce(name, F.lit(""))), r"[\s\-,/.()&·|]+")
     return F.array_distinct(F.filter(parts, lambda t: (F.char_length(t) >= least_chars) & ~t.rlike("^[0-9]+$") & ~t.isin(*STOPWORDS)))
 
 
-def discover_brands(pois: DataFrame, *, floor: int = 3, factor: float = 0.01, most: int = 200) -> DataFrame:
+def discover_brands(pois: DataFrame, *, floor: int = 3, factor: float = 0.005, most: int = 200) -> DataFrame:
     """id and brand: the rarest of a name's words among those that enough names hold; an own brand (override) comes first.
 
-    ``pois`` has id, name and brand_override.
+    ``pois`` has id, name and brand_override. Of equally rare words the first by the alphabet is taken.
     """
     n = pois.count()
     words = pois.select("id", F.explode(name_tokens(F.col("name"))).alias("token"))
     common = words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(floor, ceil(n * factor))).orderBy(F.desc("n"), "token").limit(most)
     slug = lambda c: F.regexp_replace(F.regexp_replace(c, "[^a-z0-9]+", "_"), "^_|_$", "")
     best = words.join(common, "token").groupBy("id").agg(F.min(F.struct("n", "token"))["token"].alias("token"))
-    own = F.when(F.trim("brand_override") != "", slug(plain_text(F.col("brand_override"))))
+    own = F.when(F.trim("brand_override") != "", F.coalesce(F.nullif(slug(plain_text(F.col("brand_override"))), F.lit("")), F.lit("other")))
     return pois.join(best, "id", "left").select("id", F.coalesce(own, slug(F.col("token")), F.lit("other")).alias("brand"))
 
 
-VECTOR = ("log_total_visits", "log_total_dwell_min", "recency", "log_avg_dwell_min", "morning", "midday", "evening", "night", "weekend", "log_gyration_km", "loyalty", "log_unique_h3_cells")
+#: The numbers that describe a device to the clustering.
+VECTOR = ("log_total_visits", "log_total_dwell_min", "recency_days", "log_avg_dwell_min", "morning_share", "midday_share", "evening_share", "night_share", "weekend_share", "log_gyration_km", "brand_loyalty_hhi", "log_unique_h3_cells")
+MEDIANS = ("total_visits", "avg_dwell_min", "recency_days", "weekend_share", "gyration_km", "brand_loyalty_hhi")
 
 
 def feature_vector(features: DataFrame) -> DataFrame:
-    """ad_id and twelve numbers, the long-tailed ones as logarithms."""
-    log = lambda c: F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0)))
-    values = [log("total_visits"), log("total_dwell_min"), F.col("recency_days").cast("double"), log("avg_dwell_min"), *[F.col(f"{x}_share") for x in ("morning", "midday", "evening", "night", "weekend")], log("gyration_km"), F.col("brand_loyalty_hhi"), log("unique_h3_cells")]
-    return features.select("ad_id", "total_visits", *[v.alias(k) for k, v in zip(VECTOR, values, strict=True)])
+    """ad_id, total_visits and twelve numbers, the long-tailed ones as logarithms."""
+
+    def value(c: str) -> Column:
+        return F.log1p(F.greatest(F.col(c.removeprefix("log_")).cast("double"), F.lit(0.0))) if c.startswith("log_") else F.col(c).cast("double")
+
+    return features.select("ad_id", "total_visits", *[value(c).alias(c) for c in VECTOR])
+
+
+def scale_of(vectors: DataFrame) -> dict[str, tuple[float, float]]:
+    """Median and median absolute deviation (1 where that is 0) of each number; two numbers a column reach the driver."""
+    mid = medians(vectors, list(VECTOR)).first()
+    mid = {c: float(mid[c] or 0) for c in VECTOR}
+    dev = medians(vectors.select(*[F.abs(F.col(c) - mid[c]).alias(c) for c in VECTOR]), list(VECTOR)).first()
+    return {c: (mid[c], float(dev[c]) if dev[c] and dev[c] > 1e-9 else 1.0) for c in VECTOR}
 
 
 def robust_scale(vectors: DataFrame, fit: DataFrame | None = None) -> DataFrame:
-    """Each number less its median, over the median absolute deviation (1 where that is 0); two exact passes over ``fit``."""
-    base = vectors if fit is None else fit
-    mid = base.agg(*[F.percentile(c, 0.5).alias(c) for c in VECTOR]).first()
-    dev = base.agg(*[F.percentile(F.abs(F.col(c) - float(mid[c] or 0)), 0.5).alias(c) for c in VECTOR]).first()
-    return vectors.select("ad_id", *[((F.col(c) - float(mid[c] or 0)) / (dev[c] if dev[c] and dev[c] > 1e-9 else 1.0)).alias(c) for c in VECTOR])
+    """ad_id and each number less its median, over the median absolute deviation, both of ``fit``."""
+    scale = scale_of(vectors if fit is None else fit)
+    return vectors.select("ad_id", *[((F.col(c) - scale[c][0]) / scale[c][1]).alias(c) for c in VECTOR])
+
+
+def most_active(vectors: DataFrame, n: int) -> DataFrame:
+    return vectors.orderBy(F.desc("total_visits"), "ad_id").limit(n)
 
 
 def cluster(features: DataFrame, *, ks: tuple[int, ...] = (5, 6, 7, 8), inits: int = 3, most_fit: int = 50_000, rounds: int = 50) -> tuple[DataFrame, int, float]:
-    """(ad_id and cluster of all devices, k, silhouette): the best of several k-means fits on the most active devices.
+    """(ad_id, cluster and squared distance from its centre of all devices, k, silhouette): the best of several k-means fits.
 
-    ``most_fit`` bounds the rows of the fit; every device is assigned.
+    The fit takes the ``most_fit`` most active devices, which bounds it; every device is assigned.
     """
     vectors = materialize(feature_vector(features), "vectors")
-    top = vectors.orderBy(F.desc("total_visits"), "ad_id").limit(most_fit)
+    top = most_active(vectors, most_fit)
     scaled = VectorAssembler(inputCols=list(VECTOR), outputCol="v").transform(robust_scale(vectors, top))
     scaled = materialize(scaled.select("ad_id", "v"), "scaled")
     fit = scaled.join(top.select("ad_id"), "ad_id", "left_semi").persist()
@@ -147,87 +185,143 @@ def cluster(features: DataFrame, *, ks: tuple[int, ...] = (5, 6, 7, 8), inits: i
     for k in [k for k in ks if k < n] or [min(2, n)]:
         for i in range(inits):
             model = KMeans(k=k, seed=k * 31 + i, maxIter=rounds, featuresCol="v", predictionCol="cluster", initMode="k-means||" if i == 0 else "random").fit(fit)
-            s = judge.evaluate(model.transform(fit)) if n > k > 1 else 0.0
+            said = model.transform(fit)
+            s = judge.evaluate(said) if said.select("cluster").distinct().limit(2).count() > 1 else 0.0
             if best is None or s > best[2]:
                 best = (model, k, s)
     fit.unpersist()
-    return best[0].transform(scaled).select("ad_id", F.col("cluster").cast("long").alias("cluster")), best[1], best[2]
+    centres = F.array(*[F.array(*map(F.lit, map(float, c))) for c in best[0].clusterCenters()])
+    off = F.zip_with(vector_to_array("v"), F.get(centres, F.col("cluster")), lambda a, b: (a - b) * (a - b))
+    assigned = best[0].transform(scaled).select("ad_id", F.col("cluster").cast("long").alias("cluster"), F.aggregate(off, F.lit(0.0), lambda x, y: x + y).alias("distance"))
+    return assigned, best[1], best[2]
+
+
+def _top_counts(rows: DataFrame, value: Column, n: int | None, name: str) -> DataFrame:
+    """cluster and ``name``: an array of (value, n), the most frequent first."""
+    per = rows.select("cluster", value.alias("value")).filter("value is not null").groupBy("cluster", "value").agg(F.count(F.lit(1)).alias("n"))
+    if n:
+        w = Window.partitionBy("cluster").orderBy(F.desc("n"), "value")
+        per = per.withColumn("rn_", F.row_number().over(w)).filter(F.col("rn_") <= n)
+    found = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "value")))
+    return per.groupBy("cluster").agg(F.transform(found, lambda x: F.struct(x["value"].alias("value"), (-x["n"]).alias("n"))).alias(name))
 
 
 def cluster_profiles(features: DataFrame, assigned: DataFrame) -> DataFrame:
-    """cluster, devices, medians of its main features, peak hour bucket and top zip."""
+    """cluster, devices, percent_of_base, medians, peak_hour and its share, top_zips (5), brand_mix (devices of each brand), nse_histogram and examples (the 5 devices nearest to the centre).
+
+    ``features`` may have nse_bracket; ``assigned`` has ad_id, cluster and, for the examples, distance.
+    """
     rows = features.join(assigned, "ad_id")
-    middle = [F.percentile(F.col(c).cast("double"), 0.5).alias(f"median_{c}") for c in ("total_visits", "avg_dwell_min", "recency_days", "weekend_share", "gyration_km", "brand_loyalty_hhi")]
-    peak = F.array_max(F.array(*[F.struct(F.avg(c).alias("v"), F.lit(c.removesuffix("_share")).alias("k")) for c in HOUR_SHARES]))["k"]
-    per = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("devices"), *middle, peak.alias("peak_hour"))
-    zips = rows.filter("home_zip is not null").groupBy("cluster", "home_zip").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "home_zip"))["home_zip"].alias("top_zip"))
-    return per.join(zips, "cluster", "left")
+    peak = F.array_max(F.array(*[F.struct(F.avg(c).alias("v"), F.lit(-i).alias("first"), F.lit(c.removesuffix("_share")).alias("k")) for i, c in enumerate(HOUR_SHARES)]))
+    per = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("devices"), peak.alias("p"), F.avg("evening_share").alias("evening"), F.avg("midday_share").alias("lunch"))
+    per = per.withColumn("percent_of_base", F.col("devices") / F.sum("devices").over(Window.partitionBy()) * 100)
+    per = per.select("cluster", "devices", "percent_of_base", F.col("p.k").alias("peak_hour"), F.col("p.v").alias("peak_share"), "evening", "lunch").join(medians(rows, list(MEDIANS), ("cluster",), prefix="median_"), "cluster", "left")
+    brands = rows.select("cluster", F.explode(F.map_entries(F.from_json("brand_visits_json", "map<string, bigint>"))).alias("b")).filter("b.value > 0")
+    bracket = F.coalesce(F.col("nse_bracket"), F.lit("unknown")) if "nse_bracket" in features.columns else F.lit("unknown")
+    for part in (_top_counts(rows, F.nullif(F.col("home_zip"), F.lit("")), 5, "top_zips"), _top_counts(brands, F.col("b.key"), None, "brand_mix"), _top_counts(rows, bracket, None, "nse_histogram")):
+        per = per.join(part, "cluster", "left")
+    if "distance" not in assigned.columns:
+        return per
+    w = Window.partitionBy("cluster").orderBy("distance", "ad_id")
+    near = assigned.withColumn("rn_", F.row_number().over(w)).filter("rn_ <= 5").groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn_", "ad_id"))), lambda x: x["ad_id"]).alias("examples"))
+    return per.join(near, "cluster", "left")
 
 
 def radar(profiles: DataFrame, features: DataFrame) -> DataFrame:
-    """cluster and axes from 0 to 1, between the global tenths; recency turned around."""
+    """cluster and eight axes from 0 to 1; counts and lengths between the tenths of all devices, recency turned around."""
     names = {"total_visits": "frequency", "avg_dwell_min": "dwell", "recency_days": "recency", "gyration_km": "mobility"}
-    ends = features.agg(*[F.percentile(F.col(c).cast("double"), p).alias(f"{c}_{i}") for c in names for i, p in enumerate((0.1, 0.9))]).first()
+    ends = at_places(features, list(names), {"low": (1, 10), "high": (9, 10)}).first()
+    unit = lambda x: clip(x, 0.0, 1.0)
 
     def axis(c: str) -> Column:
-        low, high = ends[f"{c}_0"], ends[f"{c}_1"]
-        return F.lit(0.0) if low is None or high <= low else F.least(F.greatest((F.col(f"median_{c}") - low) / (high - low), F.lit(0.0)), F.lit(1.0))
+        low, high = ends[f"{c}_low"], ends[f"{c}_high"]
+        return F.lit(0.0) if low is None or high <= low else unit((F.col(f"median_{c}") - low) / (high - low))
 
     axes = {n: 1 - axis(c) if n == "recency" else axis(c) for c, n in names.items()}
-    return profiles.select("cluster", *[v.alias(k) for k, v in axes.items()], F.col("median_weekend_share").alias("weekend"), F.col("median_brand_loyalty_hhi").alias("loyalty"))
-
-
-#: Words for a cluster that is high or low in a feature.
-PHRASES = {"total_visits": ("Heavy", "Casual"), "avg_dwell_min": ("Lingerer", "Speedy"), "recency_days": ("Lapsed", "Recent"), "weekend_share": ("Weekend", "Weekday"), "gyration_km": ("Road-Tripper", "Hyperlocal"), "brand_loyalty_hhi": ("Brand-Loyal", "Promiscuous")}
-
-
-def named(profiles: list[dict]) -> dict[int, str]:
-    """A name for each of a few clusters: up to three features that stand out from the clusters' mean; equal names get the next feature or a number."""
-    keys = list(PHRASES)
-    mean = {k: sum(p[f"median_{k}"] or 0 for p in profiles) / max(len(profiles), 1) for k in keys}
-    spread = {k: (sum(((p[f"median_{k}"] or 0) - mean[k]) ** 2 for p in profiles) / max(len(profiles), 1)) ** 0.5 for k in keys}
-    out: dict[int, str] = {}
-    for p in sorted(profiles, key=lambda x: x["cluster"]):
-        z = sorted(((((p[f"median_{k}"] or 0) - mean[k]) / spread[k] if spread[k] else 0.0, k) for k in keys), key=lambda x: (-abs(x[0]), x[1]))
-        words = [PHRASES[k][0 if v > 0 else 1] for v, k in z if abs(v) > 0.5]
-        name = " ".join(words[:3]) if len(words) > 2 else " ".join([*words, "Visitor"]) if words else "Casual Visitor"
-        if name in out.values() and len(words) > 3:
-            name = f"{name} ({words[3].lower()})"
-        n = 2
-        first = name
-        while name in out.values():
-            name, n = f"{first} {n}", n + 1
-        out[p["cluster"]] = name
-    return out
+    return profiles.select("cluster", *[v.alias(k) for k, v in axes.items()], unit(F.col("median_weekend_share")).alias("weekend"), unit(F.col("median_brand_loyalty_hhi")).alias("loyalty"), "evening", "lunch")
+
+
+#: Words for a cluster that is high or low in a feature, and the feature's name in descriptions.
+PHRASES = {
+    "log_total_visits": ("Heavy", "Casual", "frequency"),
+    "log_total_dwell_min": ("Long-stay", "Quick-stop", "dwell"),
+    "recency_days": ("Lapsed", "Recent", "recency"),
+    "log_avg_dwell_min": ("Lingerer", "Speedy", "avg dwell"),
+    "morning_share": ("Morning", "", "morning visits"),
+    "midday_share": ("Lunchtime", "", "lunchtime visits"),
+    "evening_share": ("Evening", "", "evening visits"),
+    "night_share": ("Late-Night", "", "night visits"),
+    "weekend_share": ("Weekend", "Weekday", "weekend tilt"),
+    "log_gyration_km": ("Road-Tripper", "Hyperlocal", "mobility radius"),
+    "brand_loyalty_hhi": ("Brand-Loyal", "Promiscuous", "brand loyalty"),
+    "log_unique_h3_cells": ("Wide-Roaming", "Neighborhood", "movement diversity"),
+}
+#: The median that must bear a feature out before it names a cluster.
+BORNE_OUT_BY = {"log_total_visits": "total_visits", "log_total_dwell_min": "avg_dwell_min", "recency_days": "recency_days", "log_avg_dwell_min": "avg_dwell_min", "log_gyration_km": "gyration_km", "weekend_share": "weekend_share", "brand_loyalty_hhi": "brand_loyalty_hhi"}
+
+
+def naming_inputs(features: DataFrame, assigned: DataFrame, profiles: DataFrame, *, most_fit: int = 50_000) -> tuple[list[dict], dict[str, tuple[float, float]]]:
+    """(for each cluster its medians and how far its mean vector stands out, quartiles of all devices): a few rows for :func:`named`.
+
+    As in the rule that is reproduced, cluster means are of plain numbers and the mean they are held against is of the
+    scaled numbers of the most active devices.
+    """
+    vectors = materialize(feature_vector(features), "vectors")
+    top = most_active(vectors, most_fit)
+    base = robust_scale(top, top).agg(*[F.avg(c).alias(c) for c in VECTOR]).first()
+    means = vectors.join(assigned.select("ad_id", "cluster"), "ad_id").groupBy("cluster").agg(*[F.avg(c).alias(c) for c in VECTOR])
+    rows = profiles.select("cluster", *[f"median_{m}" for m in MEDIANS]).join(means, "cluster").orderBy("cluster").collect()
+    bands = at_places(features, list(MEDIANS), {"p25": (1, 4), "p75": (3, 4)}).first()
+    found = [{"cluster": r["cluster"], "medians": {m: r[f"median_{m}"] for m in MEDIANS}, "stands_out": [(c, r[c] - base[c]) for c in VECTOR if r[c] is not None]} for r in rows]
+    return found, {m: (bands[f"{m}_p25"], bands[f"{m}_p75"]) for m in MEDIANS}
 
 
-CELLS = {("high", "high"): "Champions", ("high", "mid"): "Promising", ("high", "low"): "Promising", ("mid", "high"): "Loyal+", ("mid", "mid"): "Loyal", ("mid", "low"): "Need Attention", ("low", "high"): "Can't Lose", ("low", "mid"): "At Risk", ("low", "low"): "Lost"}
+def named(clusters: list[dict], bands: dict[str, tuple[float, float]]) -> dict[int, tuple[str, str]]:
+    """(name, description) of each of a few clusters.
+
+    Of the five features that stand out most, those that the cluster's median bears out (at or beyond the quartile)
+    give up to three words. A name that was taken gets the word of the fourth or fifth feature, or a number.
+    """
+    out: dict[int, tuple[str, str]] = {}
+    taken: dict[str, int] = {}
+    for c in sorted(clusters, key=lambda x: x["cluster"]):
+        top = sorted(c["stands_out"], key=lambda x: -abs(x[1]))[:5]
+        sides = []
+        for feature, z in top:
+            median = BORNE_OUT_BY.get(feature)
+            low, high = bands.get(median, (None, None))
+            borne = median is None or (c["medians"][median] >= high if z > 0 else c["medians"][median] <= low)
+            if borne:
+                sides.append((feature, z > 0))
+        words = [w for f, up in sides if (w := PHRASES[f][0 if up else 1])][:3]
+        name = "Casual Visitor" if not words else " ".join(words if len(words) == 3 else [*words, "Visitor"])
+        tags = [f"{'high' if up else 'low'} {PHRASES[f][2]}" for f, up in sides[:3] if PHRASES[f][0 if up else 1]]
+        taken[name] = taken.get(name, 0) + 1
+        if taken[name] > 1:
+            extra = next((w for f, z in top[3:] if (w := PHRASES[f][0 if z > 0 else 1])), None)
+            name = f"{name} ({extra})" if extra else f"{name} {taken[name]}"
+        out[c["cluster"]] = (name, f"Devices with {' + '.join(tags)}." if tags else "Average visitor profile.")
+    return out
 
 
-def tertile_cuts(rows: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
-    """The values at places n/3 and 2n/3 (whole) of each sorted column; two numbers a column reach the driver."""
-    n = rows.count()
-    if not n:
-        return dict.fromkeys(columns, (0.0, 0.0))
-    # the k-th value is the least whose share of rows is at least (k + 1) / n
-    share = lambda k: (k + 0.5) / n
-    got = rows.agg(*[F.expr(f"percentile_disc({share(k)!r}) WITHIN GROUP (ORDER BY {c})").alias(f"{c}_{i}") for c in columns for i, k in enumerate((n // 3, 2 * n // 3))]).first()
-    return {c: (got[f"{c}_0"], got[f"{c}_1"]) for c in columns}
+#: Names of the cells of recency against frequency and dwell.
+CELLS = {("high", "high"): "Champions", ("high", "mid"): "Promising", ("high", "low"): "Promising", ("mid", "high"): "Loyal+", ("mid", "mid"): "Loyal", ("mid", "low"): "Need Attention", ("low", "high"): "Can't Lose", ("low", "mid"): "At Risk", ("low", "low"): "Lost"}
 
 
 def rfm(features: DataFrame) -> DataFrame:
-    """Nine cells of recency against frequency and dwell: label, devices, percent and medians; all nine, in order."""
-    cuts = tertile_cuts(features, ["recency_days", "total_visits", "total_dwell_min"])
-    three = lambda c: F.when(F.col(c) <= F.lit(cuts[c][0]), 1).when(F.col(c) <= F.lit(cuts[c][1]), 2).otherwise(3)
+    """Nine cells of recency against frequency and dwell: label, devices, percent and medians; all nine, unless there are no devices."""
+    measures = ["recency_days", "total_visits", "total_dwell_min"]
+    cuts = at_places(features, measures, {"low": (1, 3), "high": (2, 3)}).first()
+    three = lambda c: F.when(F.col(c) <= F.lit(cuts[f"{c}_low"]), 1).when(F.col(c) <= F.lit(cuts[f"{c}_high"]), 2).otherwise(3)
     word = lambda n: F.when(n == 1, "low").when(n == 2, "mid").otherwise("high")
     both = (three("total_visits") + three("total_dwell_min")) / 2
-    rows = features.select(word(4 - three("recency_days")).alias("r"), F.when(both < 1.7, "low").when(both < 2.7, "mid").otherwise("high").alias("fm"), "recency_days", "total_visits", "total_dwell_min")
-    mid = lambda c: F.percentile(F.col(c).cast("double"), 0.5)
-    per = rows.groupBy("r", "fm").agg(F.count(F.lit(1)).alias("devices"), mid("recency_days").alias("median_recency"), mid("total_visits").alias("median_frequency"), mid("total_dwell_min").alias("median_dwell"))
-    grid = features.sparkSession.createDataFrame([(r, fm, CELLS[r, fm]) for r in ("high", "mid", "low") for fm in ("low", "mid", "high")], "r string, fm string, label string")
-    total = F.sum(F.coalesce("devices", F.lit(0))).over(Window.partitionBy())
-    zero = lambda c, kind="double": F.coalesce(F.col(c), F.lit(0).cast(kind)).alias(c)
-    return grid.join(per, ["r", "fm"], "left").select("r", "fm", "label", zero("devices", "long"), F.round(F.when(total > 0, F.coalesce("devices", F.lit(0)) / total * 100).otherwise(0.0), 6).alias("percent"), zero("median_recency"), zero("median_frequency"), F.round(F.coalesce("median_dwell", F.lit(0.0)), 4).alias("median_dwell"))
+    rows = features.select(word(4 - three("recency_days")).alias("r"), F.when(both < 1.7, "low").when(both < 2.7, "mid").otherwise("high").alias("fm"), *measures)
+    per = rows.groupBy("r", "fm").agg(F.count(F.lit(1)).alias("devices")).join(medians(rows, measures, ("r", "fm"), prefix="median_"), ["r", "fm"], "left")
+    cells = [(r, fm, CELLS[r, fm]) for r in ("high", "mid", "low") for fm in ("low", "mid", "high")] if cuts["recency_days_low"] is not None else []
+    grid = features.sparkSession.createDataFrame(cells, "r string, fm string, label string")
+    zero = lambda c, name: F.coalesce(F.col(c), F.lit(0.0)).alias(name)
+    n = F.coalesce("devices", F.lit(0))
+    return grid.join(per, ["r", "fm"], "left").select("r", "fm", "label", n.cast("long").alias("devices"), (n / F.sum(n).over(Window.partitionBy()) * 100).alias("percent"), zero("median_recency_days", "median_recency"), zero("median_total_visits", "median_frequency"), zero("median_total_dwell_min", "median_dwell"))
 
 
 def cohabitation(days: DataFrame, *, min_visitors: int = 50) -> DataFrame:
@@ -246,31 +340,56 @@ def cohabitation(days: DataFrame, *, min_visitors: int = 50) -> DataFrame:
 
 
 def scorecard(features: DataFrame) -> DataFrame:
-    """devices, high_quality, and the quartile places (whole n times q) of visits."""
-    n = features.count()
-    place = lambda q: f"percentile_disc({(min(int(n * q), n - 1) + 0.5) / n!r}) WITHIN GROUP (ORDER BY total_visits)" if n else "cast(null as bigint)"
-    return features.agg(F.count(F.lit(1)).alias("devices"), F.count_if("tier_high_quality").alias("high_quality"), *[F.expr(place(q)).cast("long").alias(f"visits_p{int(q * 100)}") for q in (0.25, 0.5, 0.75)])
+    """One row: devices, high_quality, tiers of frequency (3 and 8 visits) and dwell (5 and 30 minutes), means of the hour shares, and places of weekend share and radius."""
+    v, d = F.col("total_visits"), F.col("avg_dwell_min")
+    tiers = {"heavy": v >= 8, "regular": (v >= 3) & (v < 8), "light": v < 3, "long": d >= 30, "medium": (d >= 5) & (d < 30), "short": d < 5}
+    counts = features.agg(F.count(F.lit(1)).alias("devices"), F.count_if("tier_high_quality").alias("high_quality"), *[F.count_if(c).alias(k) for k, c in tiers.items()], *[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in HOUR_SHARES])
+    ends = at_places(features, ["weekend_share", "gyration_km"], {"p50": (1, 2), "p90": (9, 10)})
+    return counts.join(ends).fillna(0.0)
 
 
-def insights(features: DataFrame, grid: DataFrame, pairs: DataFrame) -> list[tuple[str, str, str]]:
-    """(id, title, value) of what stands out; counts are made in one pass, texts on the driver."""
+def insights(features: DataFrame, grid: DataFrame, pairs: DataFrame, personas: list[tuple[str, str, int]] = (), *, sources: int = 1) -> list[tuple[str, str, str, str, str]]:
+    """(id, title, value, detail, severity) of what stands out; counts are made in one pass, texts on the driver.
+
+    ``personas`` has name, description and devices of each cluster; ``pairs`` are brands that share visitors.
+    """
+    brands = F.size(F.map_keys(F.from_json("brand_visits_json", "map<string, bigint>")))
+    h = F.col("brand_loyalty_hhi")
     c = features.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("brand_loyalty_hhi") >= 0.7).alias("loyalty"), F.count_if((F.col("weekend_share") >= 0.6) & (F.col("total_visits") >= 3)).alias("weekend_warriors"), F.count_if(F.col("night_share") >= 0.4).alias("late_night"),
-        F.count_if((F.col("gyration_km") > 0) & (F.col("gyration_km") < 2)).alias("hyperlocal"), F.count_if(F.col("gyration_km") > 50).alias("road_trippers"), F.count_if("tier_high_quality").alias("high_quality"),
+        F.count(F.lit(1)).alias("n"), F.count_if(h >= 0.7).alias("loyalty"), F.count_if((F.col("weekend_share") >= 0.6) & (F.col("total_visits") >= 3)).alias("weekend_warriors"), F.count_if(F.col("night_share") >= 0.4).alias("late_night"),
+        F.count_if((F.col("gyration_km") > 0) & (F.col("gyration_km") < 2)).alias("hyperlocal"), F.count_if(F.col("gyration_km") > 50).alias("road_trippers"), F.count_if("tier_high_quality").alias("high_quality"), F.count_if((brands == 1) & (h > 0.95)).alias("exclusive"),
     ).first()
     if not c["n"]:
         return []
-    share = lambda k: f"{100 * k / c['n']:.1f}%"
-    cells = {r["label"]: r["devices"] for r in grid.groupBy("label").agg(F.sum("devices").alias("devices")).collect()}
+    share = lambda k, of=None: f"{100 * k / (of or c['n']):.1f}%"
     out = []
-    if cells.get("Champions"):
-        out.append(("rfm_champions", "Champions concentration", share(cells["Champions"])))
-    if lost := cells.get("At Risk", 0) + cells.get("Lost", 0):
-        out.append(("rfm_at_risk", "Lapsing audience", share(lost)))
-    if top := pairs.orderBy(F.desc("jaccard"), "brand_a", "brand_b").first():
-        out.append(("top_cohab", "Tightest brand overlap", f"{top['brand_a']} and {top['brand_b']} ({top['jaccard']:.2f})"))
-    titles = {"loyalty": "Brand-loyal segment", "weekend_warriors": "Weekend regulars", "late_night": "Late-night audience", "hyperlocal": "Hyperlocal segment", "road_trippers": "Road-trippers", "high_quality": "High-quality tier"}
-    return out + [(k, t, share(c[k])) for k, t in titles.items() if c[k]]
+    if personas:
+        name, description, devices = max(personas, key=lambda x: x[2])
+        out.append(("top_persona", "Largest persona", f"{name} ({share(devices)})", description or f"{brief(devices)} devices fall in this cluster.", "highlight"))
+    cells = {r["label"]: r for r in grid.filter("label = 'Champions'").collect()}
+    if (best := cells.get("Champions")) and best["devices"]:
+        out.append(("rfm_champions", "Champions concentration", share(best["devices"]), f"{brief(best['devices'])} devices are recent, frequent and stay long: median {best['median_frequency']:g} visits, {best['median_dwell']:.0f} min in all.", "positive"))
+    if lost := grid.filter(F.col("label").isin("At Risk", "Lost")).agg(F.sum("devices")).first()[0]:
+        out.append(("rfm_at_risk", "Lapsing audience", share(lost), f"{brief(lost)} devices haven't visited recently.", "warning"))
+    top = pairs.orderBy(F.desc("jaccard"), "brand_a", "brand_b").first()
+    if top:
+        a, b = (top[k].replace("_", " ") for k in ("brand_a", "brand_b"))
+        out.append(("top_cohab", "Tightest brand overlap", f"{a} ↔ {b} (Jaccard {top['jaccard']:.2f})", f"{100 * top['share_a_to_b']:.1f}% of {a} visitors also visit {b}.", "highlight"))
+    rules = {
+        "loyalty": ("Brand-loyal segment", "{} devices keep to one brand.", "positive"),
+        "weekend_warriors": ("Weekend warriors", "{} regulars come mostly at weekends.", "neutral"),
+        "late_night": ("Late-night audience", "{} devices come after 22h or before 5h.", "neutral"),
+        "hyperlocal": ("Hyperlocal segment", "{} devices stay within two kilometres.", "neutral"),
+        "road_trippers": ("Road-trippers", "{} devices range beyond fifty kilometres.", "neutral"),
+        "high_quality": ("High-quality tier", "{} devices have satellite positions of narrow circles.", "positive"),
+    }
+    if sources >= 2 and top:
+        rules["exclusive"] = ("Brand-exclusive devices", "{} devices visit a single brand.", "positive")
+    return out + [(k, t, share(c[k]), d.format(brief(c[k])), s) for k, (t, d, s) in rules.items() if c[k]]
+
+
+def brief(n: float) -> str:
+    return f"{n / 1e6:.1f}M" if abs(n) >= 1e6 else f"{n / 1e3:.1f}k" if abs(n) >= 1e3 else f"{n:.0f}"
 
 
 def lookalike_zips(features: DataFrame, seed: DataFrame, zips: list[str]) -> DataFrame:

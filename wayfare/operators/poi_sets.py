@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.durable import materialize
+from ..functions.durable import append, materialize, new_path
 from ..functions.geo import cell, haversine_m, spatial_join
 from ..sources.schema import METERS_PER_DEG, POI_RADIUS_M
 
@@ -23,12 +23,13 @@ def target_coordinates(jobs: DataFrame) -> DataFrame:
     return points.groupBy("poi_lat", "poi_lng").agg(F.min("r").alias("poi_radius_m"))
 
 
-def greedy_distinct(pois: DataFrame, *, radius_m: float = 50.0, most_rounds: int = 200) -> DataFrame:
+def greedy_distinct(pois: DataFrame, *, radius_m: float = 50.0, most_rounds: int = 2000) -> DataFrame:
     """Places that stay when they are taken by ``position`` and each removes the later ones within the radius.
 
     Rounds of joins on pairs of near places: in each round a place that is first among its undecided neighbours
-    stays, and removes them. Only near pairs are kept, found by an equi-join on cells; the rounds needed grow with
-    the longest chain of neighbours in rising order.
+    stays, and removes them. Only near pairs are kept, found by an equi-join on cells. What is undecided is written
+    each round, so that no plan grows; the rounds needed grow with the longest chain of neighbours in rising order,
+    and more than ``most_rounds`` are an error.
     """
     size = radius_m / METERS_PER_DEG * 1.01
     deg = pois.select("id", "position", "latitude", "longitude")
@@ -38,18 +39,21 @@ def greedy_distinct(pois: DataFrame, *, radius_m: float = 50.0, most_rounds: int
     b = deg.select(F.col("id").alias("id2"), F.col("position").alias("p2"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lng2")).withColumns({"by": cell(F.col("lat2"), size), "bx": cell(F.col("lng2"), wide)})
     pairs = a.join(b, (F.col("cy") == F.col("by")) & (F.col("cx") == F.col("bx")) & (F.struct("position", "id") < F.struct("p2", "id2")))
     pairs = pairs.filter(haversine_m(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lng2")) <= radius_m).select("id", "id2").distinct()
-    pairs = materialize(pairs, "near")
-    removed = pairs.select(F.col("id2").alias("id")).filter(F.lit(False))
+    live, path, rounds = materialize(pairs, "near"), new_path(pois.sparkSession, "removed"), 0
     for _ in range(most_rounds):
-        # pairs whose earlier place is undecided or stays
-        live = pairs.join(removed, "id", "left_anti")
-        stays = live.select("id").distinct().join(live.select(F.col("id2").alias("id")).distinct(), "id", "left_anti")
-        new = live.join(stays, "id", "left_semi").select(F.col("id2").alias("id")).distinct().join(removed, "id", "left_anti")
-        new = materialize(new, "removed")
-        if new.isEmpty():
+        if live.isEmpty():
             break
-        removed = removed.unionByName(new)
-    return pois.join(removed, "id", "left_anti").select("id")
+        # the first of a pair stays if no undecided place comes before it; what it removes is decided
+        later = live.select(F.col("id2").alias("id")).distinct()
+        gone = append(live.join(later, "id", "left_anti").select(F.col("id2").alias("id")).distinct(), path)
+        rounds += 1
+        # pairs of a removed place, on either side, decide nothing any more; nor do those of one that stays
+        left = live.join(later, "id", "left_semi").join(gone, "id", "left_anti").join(gone.withColumnRenamed("id", "id2"), "id2", "left_anti")
+        live = materialize(left.select("id", "id2"), "near")
+    else:
+        raise RuntimeError(f"places were undecided after {most_rounds} rounds")
+    every = pois.sparkSession.read.schema(pois.select("id").schema).parquet(path) if rounds else pois.select("id").limit(0)
+    return pois.join(every, "id", "left_anti").select("id")
 
 
 def best_match(queries: DataFrame, candidates: DataFrame, *, radius_m: float = 100.0, bonus: float = 50.0) -> DataFrame:

@@ -175,10 +175,10 @@ def sankey_routes(t: Tables) -> DataFrame:
     return audiences.sankey(valid(t), at_gyms(t), catalogue(t))
 
 
-@query(GYMS_SQL.format(n=40) + """SELECT ad_id, date, direction, category, min(utc_timestamp) AS first_ts, round(CAST(date_sub('second', min(utc_timestamp), max(utc_timestamp)) AS DOUBLE) / 60, 1) AS dwell_minutes FROM met GROUP BY ALL
+@query(GYMS_SQL.format(n=1000) + """SELECT ad_id, date, direction, category, min(utc_timestamp) AS first_ts, round(CAST(date_sub('second', min(utc_timestamp), max(utc_timestamp)) AS DOUBLE) / 60, 1) AS dwell_minutes FROM met GROUP BY ALL
 UNION ALL SELECT ad_id, date, 'during', 'target', arrival, CAST(date_sub('minute', arrival, departure) AS DOUBLE) FROM stays""")
 def sample_routes(t: Tables) -> DataFrame:
-    return audiences.sample_routes(valid(t), at_gyms(t), catalogue(t), devices=40)
+    return audiences.sample_routes(valid(t), at_gyms(t), catalogue(t))
 
 
 # affinity

@@ -70,9 +70,11 @@ def resident_count(t: Tables) -> DataFrame:
     return homes.residents(detected(t), valid(t), weeks=5)
 
 
-@query("SELECT date, count(DISTINCT ad_id) AS maids, round(count(DISTINCT ad_id) / 1.35::DOUBLE * 0.8::DOUBLE, 4) AS unique_users, round(count(DISTINCT ad_id) / 1.35::DOUBLE * 0.8::DOUBLE * 0.5::DOUBLE, 4) AS users_today, round(count(DISTINCT ad_id) / 1.35::DOUBLE * 0.8::DOUBLE, 4) > 60 AS over_ceiling FROM pings GROUP BY 1")
+@query("""SELECT date, maids, CAST(floor(maids / churn * 0.8::DOUBLE + 0.5) AS BIGINT) AS unique_users, CAST(floor(maids / churn * 0.8::DOUBLE * pow(0.5::DOUBLE, 184 / 30.44::DOUBLE / 12) + 0.5) AS BIGINT) AS users_today, maids > 0.00005::DOUBLE * 1000000 AS over_ceiling
+FROM (SELECT date, count(DISTINCT ad_id) AS maids, 1 + (731 / 30.44::DOUBLE - 12) / 12 AS churn FROM pings GROUP BY 1)""")
 def audience_estimate(t: Tables) -> DataFrame:
-    return homes.audience_estimate(valid(t).groupBy("date").agg(F.countDistinct("ad_id").alias("maids")), kappa=0.8, months=12, population=60)
+    counts = valid(t).groupBy("date").agg(F.countDistinct("ad_id").alias("maids"))
+    return homes.audience_estimate(counts, first="2024-01-01", last="2026-01-01", now="2026-07-04", kappa=0.8, ceiling_millions=0.00005)
 
 
 @query(HOMES_SQL.replace("FROM raw_pings WHERE (accuracy IS NULL OR accuracy < 1000)", "FROM pings WHERE ad_id IN (SELECT ad_id FROM at_poi)") + "," + STARTS_SQL.format(d=4, src="pings WHERE ad_id IN (SELECT ad_id FROM at_poi)") + """,

@@ -21,7 +21,9 @@ def query(sql: str | None = None, *, base: bool = True) -> Callable[[Callable[[T
         QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
         if sql:
             body = sql.strip()
-            SQL[name] = (f"WITH {BASE.strip()}" + (",\n" if not body.upper().startswith("SELECT") else "\n") + body) if base else body
+            recursive = "RECURSIVE " if body.startswith("RECURSIVE ") else ""
+            body = body.removeprefix("RECURSIVE ")
+            SQL[name] = (f"WITH {recursive}{BASE.strip()}" + (",\n" if not body.upper().startswith("SELECT") else "\n") + body) if base else body
         return f
 
     return keep

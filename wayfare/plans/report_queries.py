@@ -228,14 +228,14 @@ def postal_normalised(t: Tables) -> DataFrame:
 
 @query("""
 z AS (SELECT zip, count(*) AS devices FROM (SELECT ad_id, arg_min(zip, utc_timestamp) AS zip FROM pings GROUP BY 1) GROUP BY 1)
-SELECT zip, devices, floor(devices / 200.0::DOUBLE * 10000 + 0.5) / 100 AS percent_of_total, floor(devices / CAST(sum(devices) OVER () AS DOUBLE) * 10000 + 0.5) / 100 AS percent_of_classified FROM z""")
+SELECT zip, devices, floor(devices / CAST((SELECT count(DISTINCT ad_id) FROM raw_pings) AS DOUBLE) * 10000 + 0.5) / 100 AS percent_of_total, floor(devices / CAST(sum(devices) OVER () AS DOUBLE) * 10000 + 0.5) / 100 AS percent_of_classified FROM z""")
 def zip_shares(t: Tables) -> DataFrame:
-    return reports.zip_shares(valid(t).groupBy("ad_id").agg(reports.first_by(F.col("zip")).alias("zip")), 200)
+    return reports.zip_shares(valid(t).groupBy("ad_id").agg(reports.first_by(F.col("zip")).alias("zip")), t.pings.agg(F.countDistinct("ad_id")).first()[0])
 
 
-@query("SELECT ad_id, date, utc_timestamp, lat, lng FROM pings WHERE ad_id IN (SELECT ad_id FROM pings GROUP BY ad_id ORDER BY md5(ad_id), ad_id LIMIT 50) QUALIFY row_number() OVER (PARTITION BY ad_id ORDER BY utc_timestamp, lat, lng) <= 30")
+@query("SELECT ad_id, date, utc_timestamp, lat, lng FROM pings WHERE ad_id IN (SELECT ad_id FROM pings GROUP BY ad_id ORDER BY md5(ad_id), ad_id LIMIT 50) QUALIFY row_number() OVER (PARTITION BY ad_id ORDER BY utc_timestamp, lat, lng) <= 2000")
 def movements_sample(t: Tables) -> DataFrame:
-    return reports.movements_sample(valid(t), devices=50, per_device=30)
+    return reports.movements_sample(valid(t), devices=50, per_device=2000)
 
 
 @query("""

@@ -32,13 +32,15 @@ def valid_pings(t: Tables) -> DataFrame:
 @query("""
 SELECT a.id AS a, b.id AS b, round(111320 * sqrt(pow(a.plat - b.plat, 2) + pow((a.plng - b.plng) * cos(radians((a.plat + b.plat) / 2)), 2)), 4) AS planar_m,
   round(2 * 6371000 * atan2(sqrt(h), sqrt(1 - h)), 4) AS haversine_m, round(2 * 6371 * asin(least(1, sqrt(h))), 6) AS haversine_km
-FROM (SELECT a, b, pow(sin(radians(b.plat - a.plat) / 2), 2) + cos(radians(a.plat)) * cos(radians(b.plat)) * pow(sin(radians(b.plng - a.plng) / 2), 2) AS h FROM pois a JOIN pois b ON a.category = b.category AND a.id < b.id)
+FROM (SELECT a, b, pow(sin(radians(b.plat - a.plat) / 2), 2) + cos(radians(a.plat)) * cos(radians(b.plat)) * pow(sin(radians(b.plng - a.plng) / 2), 2) AS h FROM pois a JOIN pois b ON CAST(substr(b.id, 5) AS BIGINT) = CAST(substr(a.id, 5) AS BIGINT) + 7)
 """)
 def poi_distances(t: Tables) -> DataFrame:
-    a = t.pois.select("category", F.col("id").alias("a"), F.col("latitude").alias("la"), F.col("longitude").alias("na"))
-    b = t.pois.select("category", F.col("id").alias("b"), F.col("latitude").alias("lb"), F.col("longitude").alias("nb"))
+    """Each place and the one seven places on."""
+    k = F.substring("id", 5, 20).cast("long")
+    a = t.pois.select((k + 7).alias("k"), F.col("id").alias("a"), F.col("latitude").alias("la"), F.col("longitude").alias("na"))
+    b = t.pois.select(k.alias("k"), F.col("id").alias("b"), F.col("latitude").alias("lb"), F.col("longitude").alias("nb"))
     at = [F.col(c) for c in ("la", "na", "lb", "nb")]
-    return a.join(b, "category").filter("a < b").select("a", "b", F.round(planar_m(*at), 4).alias("planar_m"), F.round(haversine_m(*at), 4).alias("haversine_m"), F.round(haversine_km(*at), 6).alias("haversine_km"))
+    return a.join(b, "k").select("a", "b", F.round(planar_m(*at), 4).alias("planar_m"), F.round(haversine_m(*at), 4).alias("haversine_m"), F.round(haversine_km(*at), 6).alias("haversine_km"))
 
 
 @query("SELECT * FROM at_poi")
@@ -118,8 +120,8 @@ def bot_filtered_daily(t: Tables) -> DataFrame:
 
 
 ROUTINE_SQL = """
-per_day AS (SELECT ad_id, date, CAST(date_sub('second', min(utc_timestamp), max(utc_timestamp)) AS DOUBLE) / 60 AS dwell, count(*) AS n, count(*) FILTER (hour(utc_timestamp) BETWEEN 8 AND 20) AS work, count(*) FILTER (hour(utc_timestamp) BETWEEN 2 AND 5) AS overnight FROM {rows} GROUP BY ALL),
-routine AS (SELECT ad_id, count(*) AS days, avg(dwell) AS avg_dwell, sum(work) / sum(n) AS work_share, sum(overnight) / sum(n) AS overnight_share FROM per_day GROUP BY ad_id)
+per_day AS (SELECT ad_id, date, date_sub('minute', min(utc_timestamp), max(utc_timestamp)) AS dwell, avg(CASE WHEN hour(utc_timestamp) >= 8 AND hour(utc_timestamp) < 20 THEN 1.0::DOUBLE ELSE 0 END) AS work, max(CASE WHEN hour(utc_timestamp) >= 2 AND hour(utc_timestamp) < 5 THEN 1 ELSE 0 END) AS overnight FROM {rows} GROUP BY ALL),
+routine AS (SELECT ad_id, count(*) AS days, avg(dwell) AS avg_dwell, round(avg(work), 9) AS work_share, avg(overnight) AS overnight_share FROM per_day GROUP BY ad_id)
 """
 
 
@@ -179,12 +181,37 @@ def visitor_filter(t: Tables) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("pings"), F.countDistinct("ad_id").alias("devices"))
 
 
-@query()
+@query("""RECURSIVE pos AS (SELECT id, plat, plng, row_number() OVER (ORDER BY id) AS n FROM pois),
+pairs AS (SELECT a.n AS a, b.n AS b FROM pos a JOIN pos b ON a.n < b.n AND abs(a.plat - b.plat) < 0.02 AND abs(a.plng - b.plng) < 0.02
+  WHERE 2 * 6371000 * asin(least(1, sqrt(pow(sin(radians(b.plat - a.plat) / 2), 2) + cos(radians(a.plat)) * cos(radians(b.plat)) * pow(sin(radians(b.plng - a.plng) / 2), 2)))) <= 1800),
+taken AS (SELECT 1::BIGINT AS n, CAST([1] AS BIGINT[]) AS kept UNION ALL
+  SELECT n + 1, CASE WHEN EXISTS (SELECT 1 FROM pairs WHERE b = n + 1 AND list_contains(kept, a)) THEN kept ELSE list_append(kept, n + 1) END FROM taken WHERE n < (SELECT count(*) FROM pos))
+SELECT id FROM pos WHERE n IN (SELECT unnest(kept) FROM taken WHERE n = (SELECT count(*) FROM pos))
+""")
 def distinct_places(t: Tables) -> DataFrame:
-    """Greedy removal of places within two cells' reach; depends on the order, so tested by brute force."""
+    """Greedy removal of places within a cell's reach, in the order of their ids."""
     return poi_sets.greedy_distinct(t.pois.select("id", "latitude", "longitude", F.col("id").alias("position")), radius_m=1800.0)
 
 
+@query("""
+own AS (SELECT id, category, plat, plng, CASE WHEN CAST(substr(id, 5) AS BIGINT) % 500 = 0 THEN 10000 WHEN CAST(substr(id, 5) AS BIGINT) % 3 = 0 THEN 150 ELSE 450 END AS r FROM pois)
+SELECT o.id AS poi_id, count(*) AS pings, count(DISTINCT ad_id) AS devices FROM pings p JOIN own o ON abs(p.lat - o.plat) < 0.1 AND abs(p.lng - o.plng) < 0.1 AND 111320 * sqrt(pow(p.lat - o.plat, 2) + pow((p.lng - o.plng) * cos(radians((p.lat + o.plat) / 2)), 2)) <= r GROUP BY 1""")
+def mixed_radius_join(t: Tables) -> DataFrame:
+    """Places of 150, 450 and 10000 m."""
+    k = F.substring("poi_id", 5, 20).cast("long")
+    own = targets(t).withColumn("poi_radius_m", F.when(k % 500 == 0, 10000.0).when(k % 3 == 0, 150.0).otherwise(450.0))
+    return spatial_join(valid(t), own).groupBy("poi_id").agg(F.count(F.lit(1)).alias("pings"), F.countDistinct("ad_id").alias("devices"))
+
+
+@query("""
+north AS (SELECT ad_id, utc_timestamp, lat + 50 AS lat, lng FROM pings), fjords AS (SELECT id, plat + 50 AS plat, plng FROM pois)
+SELECT ad_id, utc_timestamp, id AS poi_id FROM north JOIN fjords ON abs(lat - plat) < 0.02 AND abs(lng - plng) < 0.06 AND 111320 * sqrt(pow(lat - plat, 2) + pow((lng - plng) * cos(radians((lat + plat) / 2)), 2)) <= 900""")
+def northern_join(t: Tables) -> DataFrame:
+    """The same pings and places fifty degrees further north, where cells are narrow."""
+    north = valid(t).withColumn("lat", F.col("lat") + 50)
+    return spatial_join(north, targets(t).withColumn("poi_lat", F.col("poi_lat") + 50), radius_m=900.0).select("ad_id", "utc_timestamp", "poi_id")
+
+
 @query("SELECT category, count(*) AS pings, count(DISTINCT ad_id) AS devices FROM near WHERE distance <= 400 GROUP BY category")
 def wide_radius_join(t: Tables) -> DataFrame:
     return spatial_join(valid(t), targets(t), radius_m=400.0).groupBy("category").agg(F.count(F.lit(1)).alias("pings"), F.countDistinct("ad_id").alias("devices"))

@@ -47,7 +47,7 @@ class Tables:
     def pois(self) -> DataFrame:
         k = F.col("p_partkey")
         categories = F.array(*map(F.lit, ("restaurant", "cafe", "gym", "car_dealer", "supermarket")))
-        return self.read("part").filter(k < 100).select(
+        return self.read("part").select(
             F.concat(F.lit("poi_"), k.cast("string")).alias("id"),
             F.col("p_name").alias("name"),
             F.col("p_brand").alias("brand"),
@@ -90,7 +90,7 @@ raw_pings AS (SELECT 'u' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS ad_id, ts
   CASE WHEN event_type = 'view' THEN 'cell' ELSE 'gps' END AS origin_type, k / 50.0::DOUBLE AS circle, 'MX' AS country FROM ev2),
 pings AS (SELECT * FROM raw_pings WHERE accuracy IS NULL OR accuracy < 500),
 pois AS (SELECT 'poi_' || p_partkey AS id, p_name AS name, p_brand AS brand, ['restaurant','cafe','gym','car_dealer','supermarket'][CAST(p_partkey % 5 AS INTEGER) + 1] AS category,
-  19.25::DOUBLE + (p_partkey % 10) / 64.0::DOUBLE AS plat, -99.25::DOUBLE + (p_partkey // 10) / 64.0::DOUBLE AS plng, 200.0::DOUBLE AS radius FROM part WHERE p_partkey < 100),
+  19.25::DOUBLE + (p_partkey % 10) / 64.0::DOUBLE AS plat, -99.25::DOUBLE + (p_partkey // 10) / 64.0::DOUBLE AS plng, 200.0::DOUBLE AS radius FROM part),
 near AS (SELECT p.*, o.id AS poi_id, o.category, o.plat, o.plng, 111320 * sqrt(pow(p.lat - o.plat, 2) + pow((p.lng - o.plng) * cos(radians((p.lat + o.plat) / 2)), 2)) AS distance
   FROM pings p JOIN pois o ON abs(p.lat - o.plat) < 0.02 AND abs(p.lng - o.plng) < 0.03),
 at_poi AS (SELECT DISTINCT ad_id, date, utc_timestamp, lat, lng FROM near WHERE distance <= 200),
