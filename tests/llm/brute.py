@@ -16,6 +16,10 @@ def words(text: str | None) -> list[str]:
 
 
 def line_dedup(docs: list[tuple[int, str | None]], min_chars: int = 20, min_docs: int = 3) -> list[tuple]:
+    return [(d, n, lost, hashlib.sha256(kept.encode()).hexdigest()) for d, n, lost, kept in kept_lines(docs, min_chars, min_docs)]
+
+
+def kept_lines(docs: list[tuple[int, str | None]], min_chars: int = 20, min_docs: int = 3) -> list[tuple]:
     key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(SPACE))
     holders = defaultdict(set)
     for d, t in docs:
@@ -26,7 +30,7 @@ def line_dedup(docs: list[tuple[int, str | None]], min_chars: int = 20, min_docs
     for d, t in docs:
         lines = (t or "").split("\n")
         kept = [x for x in lines if len(holders.get(key(x), ())) < min_docs or d == max(holders[key(x)])]
-        out.append((d, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+        out.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return out
 
 
@@ -125,3 +129,70 @@ def near(docs: list[tuple[int, str | None]], threshold: float = 0.8) -> dict[int
                 p, q = sorted((top(a), top(b)))
                 root[q] = p
     return {d: (top(d), by_set[sets[d]] if d in sets else d, links[d]) for d, _ in docs}
+
+
+def canonical(text: str | None) -> list[tuple[str, str]]:
+    """(word, word with what its placeholder stands for) by the forms of the decontamination."""
+    import regex
+    from wayfare.llm import decontaminate as d
+
+    t = regex.sub(d.NAME_FORM, lambda m: f"{d.NAME}{m[0]}{d.END}", text or "")
+    t = regex.sub(d.NUMBER_FORM, lambda m: f"{d.NUMBER}{m[0]}{d.END}", t)
+    t = regex.sub(d.UNIT_FORM, lambda m: f"{d.UNIT}{m[0]}{d.END}", t)
+    marked = words("".join(c for c in t.lower() if c not in d.PUNCTUATION))
+    return [(re.sub(f"([{d.NAME}{d.NUMBER}{d.UNIT}])[^{d.END}]*{d.END}", r"\1", w), w) for w in marked]
+
+
+def template_windows(text: str | None, size: int = 5) -> list[tuple[tuple, tuple | None]]:
+    w = canonical(text)
+    out = []
+    for i in range(max(1, len(w) - size + 1) if w else 0):
+        part = w[i : i + size]
+        filled = any("\x04" in full for _, full in part)
+        out.append((tuple(x for x, _ in part), tuple(full for _, full in part) if filled else None))
+    return out
+
+
+def templates(docs: list[tuple], items: list[tuple], share: float = 0.8, passage: int = 9, size: int = 5) -> dict[tuple, int]:
+    """(doc, item): matched windows, of the documents that hold an item."""
+    known = defaultdict(list)
+    total = {}
+    for i, t in items:
+        ws = template_windows(t, size)
+        total[i] = len({k for k, _ in ws})
+        for at, (k, fill) in enumerate(ws):
+            known[k].append((i, fill, at))
+    out = {}
+    for d, t in docs:
+        per_item = defaultdict(list)
+        for at, (k, fill) in enumerate(template_windows(t, size)):
+            for i, item_fill, item_at in known.get(k, ()):
+                per_item[i].append((k, item_fill, fill, at - item_at))
+        for i, met in per_item.items():
+            width = max(2, -(-(total[i] + size - 1) // 2))
+            own = {k for k, a, b, _ in met if b is None or a == b}
+            places = defaultdict(set)
+            for k, a, b, shift in met:
+                if b is not None:
+                    places[shift // width * 2].add((k, a, b))
+                    places[(shift + width // 2) // width * 2 + 1].add((k, a, b))
+            most = 0
+            for rows in places.values():
+                votes = defaultdict(set)
+                for k, a, b in rows:
+                    for x, y in zip(a, b, strict=True):
+                        if "\x04" in x:
+                            votes[x, y].add(k)
+                best = {}
+                for (x, y), ks in votes.items():
+                    best[x] = max(best.get(x, (0, False, "")), (len(ks), x == y, y))
+                single = {}
+                for x, (n, same, y) in best.items():
+                    single[y] = max(single.get(y, (0, False, "")), (n, same, x))
+                mapping = {x: y for y, (_, _, x) in single.items()}
+                held = {k for k, a, b in rows if all(mapping.get(x) == y for x, y in zip(a, b, strict=True) if "\x04" in x)}
+                most = max(most, len(held - own))
+            n = len(own) + most
+            if n >= share * total[i] or n >= passage:
+                out[d, i] = n
+    return out

@@ -1,27 +1,34 @@
 """Benchmark decontamination by templates.
 
-Texts become words in canonical form: lower case without punctuation, with numbers, units that follow a number,
-and names (capitalised words but function words, also where a sentence begins) as typed placeholders. Windows of five words of the benchmark are
-hash-joined with the windows of the documents, so that a question stays recognisable when its numbers, names or
-units are replaced. For matched windows with placeholders the fillings are compared within one occurrence (matches
-whose position in the document less that in the item is nearly the same): each filling of the item must map to one
-filling in the document (a consistent re-parameterisation), and windows that break the mapping don't count. Windows
-that are filled as in the item always count; beside them, those of the fullest occurrence do. A document holds an item if at least ``share`` of the item's distinct windows match, or
+Texts become words in canonical form: lower case without punctuation, with numbers, units that follow a number, and
+names (capitalised words but function words, also where a sentence begins) as typed placeholders. Windows of five
+words of the benchmark are hash-joined with the windows of the documents, so that a question stays recognisable when
+its numbers, names or units are replaced. For matched windows with placeholders the fillings are compared within one
+occurrence (matches whose position in the document less that in the item is nearly the same): each filling of the
+item must map to one filling in the document and no two to the same one (a consistent re-parameterisation), and
+windows that break the mapping don't count. Windows that are filled as in the item always count; beside them, those
+of the fullest occurrence do. A document holds an item if at least ``share`` of the item's distinct windows match, or
 ``passage`` of them (nine windows of five are what a passage of thirteen words has).
 
-Only DataFrame functions run here. The benchmark is the query side: its window table is broadcast while it has at
-most ``broadcast_windows`` rows, which is counted first; beyond that both sides are shuffled by window hash.
-Documents' windows carry their fillings, never texts; matches are aggregated per document and item.
-
-Defined results: null or empty texts and items match nothing; an item shorter than a window is one window of its
-length and matches only documents as short; null ids are ids like any other; rows that repeat an id are told apart
-by their text; an empty table on either side gives no rows; other columns are ignored.
+Only DataFrame functions run here. A document's windows are made as an array of hashes; those that a small table of
+bits (made of the benchmark's hashes, of bounded size) doesn't rule out become rows, with their fillings. The
+benchmark is the query side: its window table is broadcast while it has at most ``broadcast_windows`` rows, which is
+counted first; beyond that both sides are shuffled by window hash. Documents' windows carry their fillings, never
+texts; matches are aggregated per document and item.
+
+Defined results: null or empty texts and items match nothing; texts are taken whole at any length; an item shorter
+than a window is one window of its length and matches only documents as short; of mappings with equally many windows
+the one to the item's own filling is taken, then the greatest filling, and of two fillings of the item that become
+one, the one with more windows keeps it, then the own, then the greatest; null ids are ids like any other; rows that
+repeat an id are told apart by their text; an empty table on either side gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,25 +62,55 @@ def marked_text(text: Column) -> Column:
     return F.translate(F.lower(marked), PUNCTUATION, "")
 
 
-def windows(rows: DataFrame, id_columns: list[str], size: int) -> DataFrame:
-    """The ids, h (hash of a window), fill (its words with what placeholders stand for; null without placeholders) and at (its position)."""
-    # one step for each form, so that none is made twice
-    marked = rows.select(*id_columns, marked_text(F.col("text")).alias("canonical")).select(*id_columns, words(F.col("canonical")).alias("marked"))
+def canonical_words(rows: DataFrame, id_columns: list[str]) -> DataFrame:
+    """The ids, marked (the canonical words with what placeholders stand for) and hashes (of the words without it)."""
 
     def hashed(word: Column) -> Column:
         """A word's hash; its lowest bit tells placeholders."""
         held = F.regexp_replace(word, f"([{NAME}{NUMBER}{UNIT}])[^{END}]*{END}", "$1")
         return F.when(F.contains(word, F.lit(END)), F.xxhash64(held).bitwiseOR(F.lit(1))).otherwise(F.xxhash64(word).bitwiseAND(F.lit(-2)))
 
-    both = marked.select(*id_columns, "marked", F.transform("marked", hashed).alias("hashes"))
-    n = F.greatest(F.size("hashes") - size + 1, F.lit(1))
+    # one step for each form, so that none is made twice
+    marked = rows.select(*id_columns, marked_text(F.col("text")).alias("canonical")).select(*id_columns, words(F.col("canonical")).alias("marked"))
+    return marked.select(*id_columns, "marked", F.transform("marked", hashed).alias("hashes"))
+
+
+def windows(rows: DataFrame, id_columns: list[str], size: int, *, met: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The ids, h (hash of a window), fill (its words with what placeholders stand for; null without placeholders) and at (its position).
+
+    Windows are made as hashes alone; only those for which ``met`` may hold become rows.
+    """
+    # no filter on what is made here: it would be pushed below, and arrays made once for each window
+    every = F.when(F.size("hashes") > 0, F.sequence(F.lit(0), F.greatest(F.size("hashes") - size, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    hashed = canonical_words(rows, id_columns).select("*", F.transform(every, lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(size)])).alias("h"))
+    places = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1)).otherwise(F.array().cast("array<int>"))
+    kept = hashed.select("*", (F.filter(places, lambda i: met(F.get("h", i))) if met else places).alias("places"))
 
     def window(i: Column) -> Column:
-        own = [F.get("hashes", i + k) for k in range(size)]
-        filled = reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(0)).bitwiseAND(1) == 1 for x in own])
-        return F.struct(F.xxhash64(*own).alias("h"), F.when(filled, F.slice("marked", i + 1, size)).alias("fill"), i.alias("at"))
+        filled = reduce(lambda a, b: a | b, [F.coalesce(F.get("hashes", i + k), F.lit(0)).bitwiseAND(1) == 1 for k in range(size)])
+        return F.struct(F.get("h", i).alias("h"), F.when(filled, F.slice("marked", i + 1, size)).alias("fill"), i.alias("at"))
+
+    return kept.select(*id_columns, F.explode(F.transform("places", window)).alias("w")).select(*id_columns, "w.h", "w.fill", "w.at")
+
+
+def may_hold(hashes: DataFrame, *, most_bits: int = 1 << 22) -> Callable[[Column], Column]:
+    """A test that every one of the hashes (h) passes, and few others: bits of a table of at most ``most_bits``.
 
-    return both.filter(F.size("hashes") > 0).select(*id_columns, F.explode(F.transform(F.sequence(F.lit(0), n - 1), window)).alias("w")).select(*id_columns, "w.h", "w.fill", "w.at")
+    The table is sized by the count of hashes; where that is larger than the bound, more of the others pass, and the
+    join that follows takes them out.
+    """
+    wanted = hashes.select("h").distinct()
+    bits = min(most_bits, max(1 << 14, 1 << (16 * wanted.count()).bit_length()))
+    slot = F.col("h").bitwiseAND(bits - 1)
+    rows = wanted.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.collect_set(slot.bitwiseAND(63)).alias("bits")).collect()
+    table = [0] * (bits // 64)
+    for r in rows:
+        table[r["word"]] = sum(1 << b for b in r["bits"])
+    signed = [x - (1 << 64) if x >> 63 else x for x in table]
+    # literals, so that nothing is parsed for each window
+    constant = lambda xs: F.lit(np.array(xs, dtype=np.int64))
+    words_of, masks = constant(signed), constant([1 << i for i in range(63)] + [-(1 << 63)])
+    return lambda h: F.get(words_of, F.shiftright(h.bitwiseAND(bits - 1), 6).cast("int")).bitwiseAND(F.get(masks, h.bitwiseAND(63).cast("int"))) != 0
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, size: int = 5, broadcast_windows: int = 500_000) -> DataFrame:
@@ -87,7 +124,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, size: int = 5, broadcast_w
     if wide.count() <= broadcast_windows:
         wide = F.broadcast(wide)
     text = text_or_empty()
-    found = windows(docs.select("doc_id", F.xxhash64(text).alias("row"), text.alias("text")), ["doc_id", "row"], size).join(wide, "h")
+    found = windows(docs.select("doc_id", F.xxhash64(text).alias("row"), text.alias("text")), ["doc_id", "row"], size, met=may_hold(items)).join(wide, "h")
     shift = F.col("at") - F.col("item_at")
     half = F.floor(F.col("width") / 2).cast("int")
     low, high = F.floor(shift / F.col("width")).cast("int") * 2, F.floor((shift + half) / F.col("width")).cast("int") * 2 + 1
@@ -102,8 +139,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, size: int = 5, broadcast_w
     # one vote for each of the item's windows, however often it stands there; of as many votes the item's own filling wins
     votes = filled.select(*key, "place", "h", F.explode("slots").alias("s")).groupBy(*key, "place", "s.item", "s.doc").agg(F.countDistinct("h").alias("votes"))
     chosen = votes.groupBy(*key, "place", "item").agg(F.max(F.struct("votes", (F.col("item") == F.col("doc")).alias("own"), "doc")).alias("best"))
+    # and no two fillings of the item become one of the document
+    single = chosen.groupBy(*key, "place", "best.doc").agg(F.max(F.struct("best.votes", "best.own", "item")).alias("best"))
     # at most one entry for each slot of an item
-    maps = chosen.groupBy(*key, "place").agg(F.map_from_entries(F.collect_list(F.struct("item", "best.doc"))).alias("map"))
+    maps = single.groupBy(*key, "place").agg(F.map_from_entries(F.collect_list(F.struct("best.item", "doc"))).alias("map"))
     renamed = maps.select(*[F.col(k).alias(f"{k}_") for k in [*key, "place"]], "map")
     same = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("row") == F.col("row_")) & F.col("item_id").eqNullSafe(F.col("item_id_")) & (F.col("place") == F.col("place_"))
     held = filled.join(renamed, same).filter(F.forall("slots", lambda s: F.element_at("map", s["item"]) == s["doc"])).select(*key, "n_windows", "h", "place")
