@@ -287,6 +287,21 @@ def _verify(size: int, threshold: float):  # noqa: ANN202
     return run
 
 
+def join_by_group(rows: DataFrame, groups: DataFrame, key: str, *, most: int = 100_000) -> DataFrame:
+    """``rows`` joined with ``groups`` (key, m, ...; written), of which each holds m of the rows.
+
+    Groups of more than a share of 1 / ``most`` of all rows, at most ``most`` of them, are broadcast, so that no large
+    group comes to one task; the others are shuffled.
+    """
+    total = groups.agg(F.sum("m")).first()[0] or 0
+    large = F.col("m") > max(1000, total // most)
+    hot = groups.filter(large)
+    if hot.isEmpty():
+        return rows.join(groups, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.filter(~large), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def components(edges: DataFrame, *, most_rounds: int = 50) -> DataFrame:
     """node, root for each node of the edges (a, b): root is the component's least node.
 
@@ -296,9 +311,9 @@ def components(edges: DataFrame, *, most_rounds: int = 50) -> DataFrame:
     e = materialize(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(most_rounds):
-        low = both(e).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = materialize(both(e).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least"), F.count(F.lit(1)).alias("m")), "neighbours")
         # large-star: each larger neighbour is tied to the least of the neighbourhood
-        large = both(e).filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        large = join_by_group(both(e).filter("v > u"), low, "u").select(F.col("v").alias("a"), F.col("least").alias("b")).filter("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         # small-star: each smaller neighbour, and the node, are tied to the least of the smaller ones
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -323,19 +338,6 @@ def buckets_of(reps: DataFrame, *, threshold: float, trees: int, max_depth: int,
     return materialize(ranged.mapInArrow(_forest(depths, trees, max_depth, small), "rid long, n long, key long"), "forest")
 
 
-def join_by_group(rows: DataFrame, groups: DataFrame, key: str, *, most: int = 100_000) -> DataFrame:
-    """``rows`` joined with ``groups`` (key, m, ...), of which each holds m of the rows.
-
-    Groups of more than a share of 1 / ``most`` of all rows, at most ``most`` of them, are broadcast, so that no large
-    group comes to one task; the others are shuffled.
-    """
-    total = groups.agg(F.sum("m")).first()[0] or 0
-    large = F.col("m") > max(1000, total // most)
-    hot = F.broadcast(groups.filter(large))
-    rest = rows.join(F.broadcast(groups.filter(large).select(key)), key, "left_anti").join(groups.filter(~large), key)
-    return rows.join(hot, key).unionByName(rest)
-
-
 def placed_rows(members: DataFrame, *, block_docs: int, block_shingles: int) -> DataFrame:
     """rid, bid (what it is compared in) and blocks of the rows ``members`` (rid, n, key); bids of families are negative."""
     blocks = lambda m, n: F.greatest(F.ceil(F.col(m) / block_docs), F.ceil(F.col(n) / block_shingles)).cast("int")
