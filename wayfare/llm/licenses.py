@@ -8,9 +8,10 @@ against ordered rules: a rule names the identifiers that must follow one another
 Only DataFrame functions run here. Both constant tables are bounded by this module's text, so they are broadcast;
 only documents' few known sentences are grouped.
 
-Defined results: null or empty texts hold no licence and give no row; a null id is an id like any other; rows that
-repeat an id are told apart by their text, and equal rows give equal results once; an empty table gives no rows;
-other columns are ignored. One row per document and licence.
+Defined results: null or empty texts hold no licence and give no row; texts are taken whole at any length; a null id
+is an id like any other; rows that repeat an id are told apart by their text, and equal rows give equal results once;
+of rules of a licence that hold, the one with most sentences counts, then the one that begins first; an empty table
+gives no rows; other columns are ignored. One row per document and licence.
 """
 
 from __future__ import annotations
@@ -166,9 +167,10 @@ def known_sentences(docs: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, license, n_sentences (in the fullest rule that holds), first_sentence (its position): one row per licence found."""
     spark = docs.sparkSession
-    rules = spark.createDataFrame([(name, list(rule)) for name, all_rules in RULES.items() for rule in all_rules], "license string, rule array<string>")
+    rules = spark.createDataFrame([(name, rule[0], list(rule)) for name, all_rules in RULES.items() for rule in all_rules], "license string, begins string, rule array<string>")
     per_doc = known_sentences(docs).groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("pos", "sentence_id"))).alias("seen"))
-    first = per_doc.join(F.broadcast(rules), F.array_contains(F.transform("seen", lambda x: x["sentence_id"]), F.col("rule")[0]))
+    known = F.explode(F.array_distinct(F.transform("seen", lambda x: x["sentence_id"])))
+    first = per_doc.withColumn("begins", known).join(F.broadcast(rules), "begins")
 
     def follow(at: Column, want: Column) -> Column:
         """Position of the first wanted sentence after ``at``; null once one is missing."""
@@ -176,7 +178,7 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.when(at.isNotNull() & (F.size(later) > 0), later[0]["pos"])
 
     start = F.array_min(F.transform(F.filter("seen", lambda x: x["sentence_id"] == F.col("rule")[0]), lambda x: x["pos"]))
-    held = first.withColumn("first_sentence", start).withColumn("end", F.aggregate(F.slice("rule", 2, 99), F.col("first_sentence"), follow)).filter("end is not null")
+    held = first.withColumn("first_sentence", start).withColumn("end", F.aggregate(F.slice("rule", F.lit(2), F.size("rule")), F.col("first_sentence"), follow)).filter("end is not null")
     # a text of three clauses holds those of two: two alone are a grant that no clause on names follows before the next grant
     clauses = F.array_join(F.transform(F.filter("seen", lambda x: x["sentence_id"].isin("bsd_grant", "bsd_names")), lambda x: x["sentence_id"]), " ")
     held = held.filter((F.col("license") != "BSD-2-Clause") | F.rlike(clauses, F.lit("bsd_grant(?! bsd_names)")))
