@@ -13,21 +13,40 @@ from ..functions.timeutil import in_hours, in_hours_half_open, local_time, minut
 from ..sources.schema import POI_RADIUS_M
 from .reports import first_by
 
-#: Groups of categories, and the words that put a category into one. Callers may pass their own.
+#: Groups of categories, and words that a category of the group is or holds. Callers may pass their own, such as :func:`groups_of` a catalogue.
 GROUPS = {
-    "food_and_beverage": ("restaurant", "cafe", "coffee", "bar", "bakery", "pizza", "food"),
-    "retail": ("store", "shop", "mall", "supermarket", "grocery", "market"),
-    "automotive": ("car_dealer", "car_repair", "gas_station", "parking", "tire"),
-    "sports": ("gym", "fitness", "sport", "stadium", "yoga"),
-    "healthcare": ("hospital", "clinic", "doctor", "pharmacy", "dentist"),
-    "finance": ("bank", "atm", "insurance"),
-    "accommodation": ("hotel", "hostel", "motel", "resort"),
-    "education": ("school", "university", "college", "library"),
-    "transport": ("airport", "train_station", "bus_station", "metro"),
-    "entertainment": ("cinema", "theater", "museum", "casino", "zoo"),
+    k: tuple(v.split())
+    for k, v in {
+        "food_and_beverage": "restaurant cafe coffee bar pub bakery fast_food food pizza ice_cream juice deli brewery winery donut bagel sandwich burrito sushi ramen thai chinese italian mexican indian steak seafood bbq brunch breakfast lunch dinner tapas bistro brasserie cerveceria tavern",
+        "retail": "store shop mall supermarket grocery market boutique outlet clothing fashion shoe jewel gift book toy hardware florist department_store convenience discount thrift antique retail",
+        "automotive": "gas_station fuel car_wash car_dealer car_repair auto parking ev_charging tire motor vehicle",
+        "beauty": "beauty salon spa barber hair nail cosmetic tattoo massage wellness",
+        "healthcare": "hospital clinic doctor dentist pharmacy optician veterinar medical health urgent_care lab",
+        "finance": "bank atm insurance accounting tax financial credit_union money",
+        "sports": "gym fitness sport yoga swimming tennis golf stadium arena athletic",
+        "entertainment": "cinema movie theater theatre museum gallery amusement zoo aquarium nightclub karaoke bowling arcade escape_room concert casino",
+        "accommodation": "hotel motel hostel resort inn bed_and_breakfast lodging campground airbnb",
+        "education": "school university college library tutor academy kindergarten preschool training",
+        "transport": "airport train_station bus_station subway metro ferry taxi transit rail port",
+        "attractions": "park garden beach monument landmark temple church mosque synagogue cathedral castle palace fountain plaza square viewpoint trail national_park",
+        "government": "government post_office police fire_station courthouse embassy consulate city_hall municipal",
+    }.items()
 }
 
 
+def groups_of(catalogue: DataFrame) -> dict[str, tuple[str, ...]]:
+    """Groups from a catalogue (group, categories), in its order: a dimension of a few dozen rows."""
+    return {r["group"]: tuple(r["categories"]) for r in catalogue.select("group", "categories").collect()}
+
+
+def exact_group(category: Column, groups: dict[str, tuple[str, ...]]) -> Column:
+    """The first group that lists the category, else other."""
+    out = F.when(F.lit(False), F.lit(""))
+    for g, parts in groups.items():
+        out = out.when(category.isin(*parts), g)
+    return out.otherwise("other")
+
+
 def category_group(category: Column, groups: dict[str, tuple[str, ...]] = GROUPS) -> Column:
     """The group that names the category, else the first with a word within it, else other."""
     c = F.lower(F.trim(category))
@@ -102,24 +121,29 @@ class Recipe:
     ordered: bool = False
 
 
+def _parts(recipe: Recipe, prefix: str) -> tuple[list[Column], Column, Column, Column, Column]:
+    """(aggregates over a device's visits, matched steps, whether they are in order, whether the recipe holds, visits that match a step)."""
+    steps = recipe.steps
+    counts = [F.count_if(s.holds()).alias(f"{prefix}n{i}") for i, s in enumerate(steps)]
+    firsts = [F.min(F.when(s.holds(with_most=False), F.col("date"))).alias(f"{prefix}d{i}") for i, s in enumerate(steps)]
+    met = [F.col(f"{prefix}n{i}") >= s.min_frequency for i, s in enumerate(steps)]
+    order, every, some = F.lit(True), F.lit(True), F.lit(False)
+    for i, m in enumerate(met):
+        day = F.col(f"{prefix}d{i}")
+        order = order & day.isNotNull() & (F.lit(True) if i == 0 else day >= F.col(f"{prefix}d{i - 1}"))
+        every, some = every & m, some | m
+    holds = some if recipe.logic == "OR" else every & order if recipe.ordered else every
+    matched = sum((m.cast("long") for m in met), F.lit(0).cast("long"))
+    return [*counts, *firsts], matched, order, holds, sum((F.col(f"{prefix}n{i}") for i in range(len(steps))), F.lit(0).cast("long"))
+
+
 def step_counts(visits: DataFrame, recipe: Recipe) -> DataFrame:
     """ad_id, matched_steps, total_visits, avg_dwell, in_order and whether the recipe holds, in one aggregation.
 
     The order compares the first qualifying dates; it looks at the least dwell but not at the longest one.
     """
-    steps = recipe.steps
-    counts = [F.count_if(s.holds()).alias(f"n{i}") for i, s in enumerate(steps)]
-    firsts = [F.min(F.when(s.holds(with_most=False), F.col("date"))).alias(f"d{i}") for i, s in enumerate(steps)]
-    per = visits.groupBy("ad_id").agg(*counts, *firsts, F.count(F.lit(1)).alias("total_visits"), F.avg("dwell_minutes").alias("mean"))
-    met = [F.col(f"n{i}") >= s.min_frequency for i, s in enumerate(steps)]
-    order = F.lit(True)
-    for i in range(len(steps)):
-        order = order & F.col(f"d{i}").isNotNull() & (F.lit(True) if i == 0 else F.col(f"d{i}") >= F.col(f"d{i - 1}"))
-    every, some = F.lit(True), F.lit(False)
-    for m in met:
-        every, some = every & m, some | m
-    holds = some if recipe.logic == "OR" else every & order if recipe.ordered else every
-    matched = sum((m.cast("long") for m in met), F.lit(0).cast("long"))
+    parts, matched, order, holds, _ = _parts(recipe, "")
+    per = visits.groupBy("ad_id").agg(*parts, F.count(F.lit(1)).alias("total_visits"), F.avg("dwell_minutes").alias("mean"))
     return per.select("ad_id", matched.alias("matched_steps"), "total_visits", (half_up(F.col("mean") * 10) / 10).alias("avg_dwell"), order.alias("in_order"), holds.alias("holds"))
 
 
@@ -132,11 +156,53 @@ def audience_recipe(name: str, categories: tuple[str, ...], **step: object) -> R
     return Recipe(name, (Step(categories, **step),))
 
 
+#: Audiences, their categories, and what else a visit must be (hours, least dwell in minutes, visits).
+AUDIENCES = {
+    "moviegoers": ("cinema drive_in_theater outdoor_movies film_festival", {}),
+    "sports_event_attendees": ("stadium_arena", {}),
+    "nightlife": ("bar pub dance_club comedy_club karaoke casino", {"hours": (18, 6)}),
+    "live_music_fans": ("music_venue theatre", {}),
+    "gym_visitors": ("gym yoga_studio pilates_studio martial_arts_club rock_climbing_gym", {"min_dwell": 15}),
+    "golfers": ("golf_course", {"min_dwell": 30}),
+    "swimmers": ("swimming_pool", {"min_dwell": 15}),
+    "students": ("school college", {"min_dwell": 30}),
+    "fast_food_visitors": ("fast_food_restaurant", {}),
+    "fine_diners": ("wine_bar cocktail_bar champagne_bar", {"min_dwell": 45}),
+    "coffee_lovers": ("coffee_shop cafe", {"min_frequency": 3}),
+    "metro_users": ("metro_station", {}),
+    "bus_users": ("bus_station", {}),
+    "train_commuters": ("train_station", {}),
+    "air_travelers": ("airport", {"min_dwell": 30}),
+    "car_shoppers": ("car_dealer used_car_dealer", {}),
+    "ev_adopters": ("ev_charging_station", {}),
+    "luxury_shoppers": ("jewelry_store watch_store designer_clothing antique_store", {}),
+    "home_improvers": ("home_improvement_store furniture_store garden_center", {}),
+    "supermarket_shoppers": ("supermarket convenience_store", {}),
+    "spa_wellness": ("spa massage medical_spa day_spa health_spa", {}),
+    "pet_owners": ("pet_store pet_grooming pet_boarding dog_park", {}),
+    "family_entertainment": ("zoo aquarium amusement_park botanical_garden", {}),
+    "gamers": ("arcade esports_league esports_team virtual_reality_center internet_cafe video_game_store", {}),
+    "museum_goers": ("museum landmark_and_historical_building castle monument", {}),
+    "coworkers": ("coworking_space", {"min_dwell": 60}),
+}
+
+
+def catalogue_recipes(wanted: list[str] | None = None) -> list[Recipe]:
+    """Recipes of the catalogue's audiences, or of those that are wanted."""
+    return [audience_recipe(k, tuple(c.split()), **rest) for k, (c, rest) in AUDIENCES.items() if wanted is None or k in wanted]
+
+
+def all_categories(recipes: list[Recipe]) -> list[str]:
+    """Every category that a recipe names, once: what a shared join of many audiences needs."""
+    return list(dict.fromkeys(c for r in recipes for s in r.steps for c in s.categories))
+
+
 def audience_batch(visits: DataFrame, recipes: list[Recipe]) -> DataFrame:
-    """audience, devices, visits of many audiences over one table of visits, in one aggregation per device."""
-    per = visits.groupBy("ad_id").agg(*[F.struct(F.count_if(r.steps[0].holds()).alias("n"), F.lit(r.name).alias("audience"), F.lit(r.steps[0].min_frequency).alias("least")).alias(f"a{i}") for i, r in enumerate(recipes)])
-    each = per.select("ad_id", F.inline(F.array(*[F.col(f"a{i}") for i in range(len(recipes))]))).filter(F.col("n") >= F.col("least"))
-    return each.groupBy("audience").agg(F.count(F.lit(1)).alias("devices"), F.sum("n").alias("visits"))
+    """audience, devices, visits (that match a step) of many audiences over one table of visits, in one aggregation per device."""
+    parts = [_parts(r, f"a{i}_") for i, r in enumerate(recipes)]
+    per = visits.groupBy("ad_id").agg(*[c for p in parts for c in p[0]])
+    rows = F.array(*[F.struct(F.lit(r.name).alias("audience"), p[3].alias("holds"), p[4].alias("n")) for r, p in zip(recipes, parts, strict=True)])
+    return per.select(F.inline(rows)).filter("holds").groupBy("audience").agg(F.count(F.lit(1)).alias("devices"), F.sum("n").alias("visits"))
 
 
 def zip_category(visits: DataFrame) -> DataFrame:

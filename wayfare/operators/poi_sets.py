@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import date, timedelta
 from math import ceil
 
@@ -92,40 +91,51 @@ def split_plan(first: date, last: date, pois: int, *, most_days: int = 31, most_
 def points_in_polygons(points: DataFrame, polygons: DataFrame, *, step: float = 0.1) -> DataFrame:
     """point_id and the polygon (polygon_id, zip, country) that holds each point; of several the one of the smallest box.
 
-    Polygons are repeated over the grid cells of their boxes, and points meet them in an equi-join on cells; the
-    exact test runs in Arrow batches on these candidates alone. ``polygons`` has rings, an array of rings of
-    [lng, lat]: a point inside an odd number of rings is inside.
+    Boxes of polygons, without their rings, are repeated over the grid cells that they reach, and points meet them in
+    an equi-join on cells. The exact test takes these candidates together with one row of each polygon's rings: all
+    points of one polygon that come in a batch are tested at once, and a polygon with many points is dealt over
+    several tasks. ``polygons`` has rings, an array of rings of [lng, lat]: a point inside an odd number of rings is
+    inside.
     """
     flat = F.flatten("rings")
     low = lambda i: F.array_min(F.transform(flat, lambda p: p[i]))
     high = lambda i: F.array_max(F.transform(flat, lambda p: p[i]))
-    boxed = polygons.withColumns({"x0": low(0), "x1": high(0), "y0": low(1), "y1": high(1)})
+    boxed = polygons.select("polygon_id", low(0).alias("x0"), high(0).alias("x1"), low(1).alias("y0"), high(1).alias("y1"))
     span = lambda a, b: F.explode(F.sequence(cell(F.col(a), step), cell(F.col(b), step)))
     spread = boxed.withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
     celled = points.select("point_id", "lat", "lng", cell(F.col("lng"), step).alias("px"), cell(F.col("lat"), step).alias("py"))
     near = celled.join(spread, (F.col("px") == F.col("cx")) & (F.col("py") == F.col("cy")) & F.col("lng").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")))
-
-    @F.pandas_udf("boolean")
-    def inside(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for lat, lng, rings in parts:
-            yield pd.Series([_inside(y, x, r) for y, x, r in zip(lat, lng, rings, strict=True)])
-
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    held = near.withColumn("area", area).filter(inside("lat", "lng", "rings"))
-    best = held.groupBy("point_id").agg(F.min(F.struct("area", "polygon_id", "zip", "country")).alias("b"))
+    # points of a polygon, some thousand at a time, as one row each
+    near = materialize(near.select("polygon_id", "point_id", "lat", "lng", area.alias("area")), "candidates")
+    deals = near.groupBy("polygon_id").agg(F.ceil(F.count(F.lit(1)) / POINTS_AT_ONCE).alias("deals"))
+    dealt = near.join(deals, "polygon_id").withColumn("deal", F.pmod(F.xxhash64("point_id"), F.col("deals")))
+    grouped = dealt.groupBy("polygon_id", "deal").agg(F.first("area").alias("area"), F.collect_list(F.struct("point_id", "lat", "lng")).alias("points"))
+    tested = grouped.join(polygons.select("polygon_id", "zip", "country", "rings"), "polygon_id")
+
+    @F.pandas_udf("array<boolean>")
+    def inside(lats: pd.Series, lngs: pd.Series, rings: pd.Series) -> pd.Series:
+        return pd.Series([_inside(np.asarray(y, dtype=float), np.asarray(x, dtype=float), r) for y, x, r in zip(lats, lngs, rings, strict=True)])
+
+    marks = inside(F.transform("points", lambda p: p["lat"]), F.transform("points", lambda p: p["lng"]), F.col("rings"))
+    each = tested.select("polygon_id", "zip", "country", "area", F.explode(F.arrays_zip(F.transform("points", lambda p: p["point_id"]).alias("point_id"), marks.alias("held"))).alias("p")).filter("p.held")
+    best = each.groupBy("p.point_id").agg(F.min(F.struct("area", "polygon_id", "zip", "country")).alias("b"))
     return best.select("point_id", "b.polygon_id", "b.zip", "b.country")
 
 
-def _inside(y: float, x: float, rings: list) -> bool:
-    """Even-odd rule."""
-    odd = False
+#: So many points of one polygon, give or take, are tested together.
+POINTS_AT_ONCE = 4096
+
+
+def _inside(y: np.ndarray, x: np.ndarray, rings: list) -> np.ndarray:
+    """Even-odd rule for many points; sides are taken one by one, so that memory follows the points."""
+    odd = np.zeros(len(y), dtype=bool)
     for ring in rings:
         p = np.array([[c[0], c[1]] for c in ring], dtype=float)
-        q = np.roll(p, -1, axis=0)
-        across = (p[:, 1] > y) != (q[:, 1] > y)
-        if across.any():
-            a, b = p[across], q[across]
-            odd ^= bool(np.count_nonzero(x < (b[:, 0] - a[:, 0]) * (y - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0]) % 2)
+        for (ax, ay), (bx, by) in zip(p, np.roll(p, -1, axis=0), strict=True):
+            across = (ay > y) != (by > y)
+            if across.any():
+                odd[across] ^= x[across] < (bx - ax) * (y[across] - ay) / (by - ay) + ax
     return odd
 
 

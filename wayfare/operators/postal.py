@@ -15,11 +15,12 @@ def zip_devices(pings: DataFrame, visitors: DataFrame, zips: list[str], *, zone:
     """One row per visitor and requested zip where its days start: device-days, quality, position, hour buckets, weekend days."""
     known = pings.join(visitors.select("ad_id").distinct(), "ad_id", "left_semi").filter(F.coalesce("zip", F.lit("")) != "")
     hour = F.hour(local_time(F.col("utc_timestamp"), zone))
+    first = F.min(F.struct("utc_timestamp", "lat", "lng", "zip", "region", "city", "h3"))
     day = known.groupBy("ad_id", "date").agg(
-        *[first_by(F.col(c)).alias(c) for c in ("zip", "region", "city", "h3", "lat", "lng")],
-        F.min("utc_timestamp").alias("first_seen"), F.max(in_hours(hour, 22, 6).cast("int")).alias("overnight"), F.avg((F.coalesce("origin_type", F.lit("")) == "gps").cast("double")).alias("gps"), F.avg("circle").alias("circle"),
+        first.alias("first"), F.max(in_hours(hour, 22, 6).cast("int")).alias("overnight"), F.avg((F.coalesce("origin_type", F.lit("")) == "gps").cast("double")).alias("gps"), F.avg("circle").alias("circle"),
     )
-    at = local_time(F.col("first_seen"), zone)
+    day = day.select("ad_id", "date", "first.*", "overnight", "gps", "circle")
+    at = local_time(F.col("utc_timestamp"), zone)
     h = F.hour(at)
     parts = {"morning": h.between(5, 10), "midday": h.between(11, 13), "afternoon": h.between(14, 17), "evening": h.between(18, 21), "night": (h >= 22) | (h <= 4)}
     return day.filter(F.col("zip").isin(zips)).groupBy("ad_id", "zip").agg(

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from math import floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import spatial_join
-from ..functions.numbers import clip, half_up
-from ..functions.timeutil import in_hours, iso_day, local_time, minutes_between
+from ..functions.numbers import half_up
+from ..functions.timeutil import iso_day, local_time, minutes_between
 from ..sources.schema import POI_RADIUS_M
 
 
@@ -90,15 +93,20 @@ def best_home(homes: DataFrame) -> DataFrame:
 
 
 def mobility(pings: DataFrame, visit_times: DataFrame, catalogue: DataFrame, *, minutes: int = 120, radius_m: float = POI_RADIUS_M) -> DataFrame:
-    """timing (before/after), category, device_days, hits: what visitors are near within the window around their visit.
+    """timing (before/after), category, device_days, hits: what visitors are near within the window around their visit."""
+    met = around_visits(pings, visit_times, catalogue, minutes=minutes, radius_m=radius_m)
+    return met.groupBy("timing", "category").agg(F.count(F.lit(1)).alias("device_days"), F.count(F.lit(1)).alias("hits"))
+
+
+def around_visits(pings: DataFrame, visit_times: DataFrame, catalogue: DataFrame, *, minutes: int = 120, radius_m: float = POI_RADIUS_M) -> DataFrame:
+    """Distinct ad_id, date, timing and category of places near pings within the window around a visit.
 
     ``visit_times`` has ad_id, date, visit_time; pings within the visit's own minute don't count.
     """
     apart = minutes_between(F.col("visit_time"), F.col("utc_timestamp"))
     around = pings.join(visit_times, ["ad_id", "date"]).filter((F.abs(apart) > 0) & (F.abs(apart) <= minutes))
     around = around.select("ad_id", "date", "lat", "lng", F.when(F.col("utc_timestamp") < F.col("visit_time"), "before").otherwise("after").alias("timing")).distinct()
-    met = spatial_join(around, catalogue, radius_m=radius_m).select("ad_id", "date", "timing", "category").distinct()
-    return met.groupBy("timing", "category").agg(F.count(F.lit(1)).alias("device_days"), F.count(F.lit(1)).alias("hits"))
+    return spatial_join(around, catalogue, radius_m=radius_m).select("ad_id", "date", "timing", "category").distinct()
 
 
 def visit_times(at_poi: DataFrame) -> DataFrame:
@@ -284,29 +292,88 @@ def headline(hours: DataFrame, mob: DataFrame) -> DataFrame:
     """peak_hour and its share of pings, and the category of most device-days."""
     total = hours.agg(F.max_by("touch_hour", F.struct("pings", -F.col("touch_hour"))).alias("peak_hour"), F.round(F.max("pings") / F.sum("pings"), 6).alias("peak_share"))
     both = mob.groupBy("category").agg(F.sum("device_days").alias("n"))
-    # max_by of the pair with the name turned around is not needed: ties go to the later name
+    # ties go to the later name
     return total.join(both.agg(F.max(F.struct("n", "category"))["category"].alias("top_category")))
 
 
-def executive_summary(metrics: dict[str, float | str]) -> list[str]:
-    """Plain sentences about a report's headline numbers."""
-    out = []
-    if metrics.get("devices"):
-        out.append(f"{metrics['devices']:,} devices were seen, {metrics.get('visitors', 0):,} of them at the places.")
-        share = 100 * float(metrics.get("visitors", 0)) / float(metrics["devices"])
-        out.append(f"That is a visitor share of {share:.1f} percent.")
-    if "peak_hour" in metrics:
-        out.append(f"Activity peaks at {int(metrics['peak_hour']):02d}:00 with {100 * float(metrics.get('peak_share', 0)):.1f} percent of all pings.")
-    if metrics.get("top_category"):
-        out.append(f"Around their visits, devices are most often near {metrics['top_category']}.")
-    if metrics.get("avg_dwell") is not None:
-        out.append(f"Visitors stay {float(metrics['avg_dwell']):.1f} minutes a day on average.")
-    return out
-
-
-def visitors_in_hours(at_poi: DataFrame, first: int, last: int, *, zone: str = "UTC") -> DataFrame:
-    return at_poi.filter(in_hours(F.hour(local_time(F.col("utc_timestamp"), zone)), first, last))
-
-
-def score_0_100(x: Column) -> Column:
-    return clip(half_up(x), 0, 100)
+#: Days by their ISO number.
+DAYS = ("", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
+
+
+@dataclass(frozen=True)
+class SummaryInput:
+    """Headline numbers of a report, any of which may be missing; shares are in percent."""
+
+    subject: str = "This analysis"
+    devices: int | None = None
+    device_days: int | None = None
+    visit_days: int | None = None
+    pois: int | None = None
+    first: str | None = None
+    last: str | None = None
+    rings: dict[int, tuple[int, float]] | None = None  # for 70, 80 and 90: zip codes and their share
+    zips: int | None = None
+    top_zip: tuple[str, str, float] | None = None
+    peak_hour: tuple[int, float] | None = None
+    peak_day: tuple[int, float] | None = None
+    weekend_share: float | None = None
+    avg_dwell: float | None = None
+    median_frequency: float | None = None
+    repeat_share: float | None = None
+    top_category: tuple[str, float] | None = None
+    personas: tuple[int, str, float] | None = None
+
+
+def _percent(x: float) -> str:
+    return f"{floor(x + 0.5)}%" if x >= 10 else f"{x:.1f}%"
+
+
+def _hour(h: int) -> str:
+    return f"{h % 12 or 12}{'AM' if h < 12 else 'PM'} (local time)"
+
+
+def executive_summary(m: SummaryInput) -> dict[str, str | list[str]]:
+    """headline, bullets and paragraph about a report; what is not known is left out. Texts on the driver, from a few numbers."""
+    known = lambda *pairs: [text() for value, text in pairs if value is not None]
+    span = "" if not (m.first or m.last) else (m.first or "") if not m.last or m.first == m.last else f"{m.first} to {m.last}" if m.first else f" to {m.last}"
+    days = known((m.device_days, lambda: f"{m.device_days:,} device-days")) or known((m.visit_days, lambda: f"{m.visit_days:,} visit-days"))
+    scale = [*known((m.devices, lambda: f"{m.devices:,} unique devices")), *days]
+    bullets = []
+    if scale:
+        places = f" to {m.pois:,} POIs" if m.pois and m.pois > 1 else ""
+        bullets.append(f"**Scale**: {' across '.join(scale)}{places}{f' ({span})' if span else ''}.")
+    if m.rings and m.zips:
+        (core, held), (most, reach) = m.rings[70], m.rings[90]
+        bullets.append(f"**Addressable core**: the top {core:,} zip codes ({floor(core / m.zips * 100 + 0.5)}% of {m.zips:,} measured) hold {_percent(held)} of the catchment; the top {most:,} hold {_percent(reach)}.")
+    elif m.top_zip:
+        code, city, share = m.top_zip
+        bullets.append(f"**Top zip**: {code}{f' ({city})' if city else ''} delivers {_percent(share)} of the catchment.")
+    timing = known(
+        (m.peak_hour, lambda: f"peaks at {_hour(m.peak_hour[0])} ({_percent(m.peak_hour[1])} of daily traffic)"),
+        (m.peak_day, lambda: f"busiest day is {DAYS[m.peak_day[0]]} ({_percent(m.peak_day[1])} of weekly traffic)"),
+        (m.weekend_share, lambda: f"{_percent(m.weekend_share)} of visits fall on weekends"),
+    )
+    engaged = known(
+        (m.avg_dwell, lambda: f"average dwell {floor(m.avg_dwell + 0.5)} min"),
+        (m.median_frequency, lambda: f"median repeat frequency of {m.median_frequency:.1f} visits per device"),
+        (m.repeat_share, lambda: f"{_percent(m.repeat_share)} of devices return 3+ times"),
+    )
+    bullets += [f"**{title}**: {sep.join(parts)}." for title, sep, parts in (("Timing", "; ", timing), ("Engagement", ", ", engaged)) if parts]
+    if m.top_category:
+        bullets.append(f"**Adjacent behavior**: the top destination category within ±2h of the POIs is *{m.top_category[0]}* ({_percent(m.top_category[1])} of mobility traffic).")
+    if m.personas:
+        n, name, share = m.personas
+        bullets.append(f'**Personas**: {n} distinct audience segments identified; the dominant cluster "*{name}*" represents {_percent(share)} of the base.')
+    short = (scale[:1] if m.devices is not None or m.device_days is not None else []) + ([f"top {m.rings[80][0]:,} zips capture {_percent(m.rings[80][1])}"] if m.rings else [])
+    told = []
+    if scale:
+        told.append(f"{m.subject} reached {' ('.join(scale)}{')' if len(scale) > 1 else ''}{f' between {span}' if span else ''}.")
+    if m.rings:
+        told.append(f"The addressable trade area is highly concentrated: the top {m.rings[70][0]:,} zip codes cumulatively account for {_percent(m.rings[70][1])} of all device-days, and {m.rings[90][0]:,} zips for {_percent(m.rings[90][1])}.")
+    if m.peak_hour:
+        weekends = "" if m.weekend_share is None else f" with {_percent(m.weekend_share)} of traffic falling on weekends"
+        told.append(f"Visit timing peaks at {_hour(m.peak_hour[0])}{weekends}.")
+    signs = known((m.avg_dwell, lambda: f"an average dwell of {floor(m.avg_dwell + 0.5)} minutes"), (m.repeat_share, lambda: f"{_percent(m.repeat_share)} of devices returning 3+ times"))
+    if signs:
+        told.append(f"Engagement signals show {' and '.join(signs)}.")
+    return {"headline": f"{m.subject}: {'; '.join(short) if short else 'analysis ready'}.", "bullets": bullets, "paragraph": " ".join(told)}

@@ -147,6 +147,28 @@ def audience_batch(t: Tables) -> DataFrame:
     return audiences.audience_batch(lab_visits(t), wanted)
 
 
+@query(VISITS_SQL + """, each AS (SELECT ad_id, 'coffee_lovers' AS audience, count(*) FILTER (category = 'cafe') AS n, 3 AS least FROM visits GROUP BY 1
+UNION ALL SELECT ad_id, 'gym_visitors', count(*) FILTER (category = 'gym' AND dwell_minutes >= 15), 1 FROM visits GROUP BY 1 UNION ALL SELECT ad_id, 'car_shoppers', count(*) FILTER (category = 'car_dealer'), 1 FROM visits GROUP BY 1 UNION ALL SELECT ad_id, 'supermarket_shoppers', count(*) FILTER (category = 'supermarket'), 1 FROM visits GROUP BY 1)
+SELECT audience, count(*) AS devices, CAST(sum(n) AS BIGINT) AS visits FROM each WHERE n >= least GROUP BY 1
+UNION ALL SELECT 'both in order', count(*), CAST(sum(a + b) AS BIGINT) FROM (SELECT count(*) FILTER (category = 'cafe') AS a, count(*) FILTER (category = 'gym') AS b, min(date) FILTER (category = 'cafe') AS d, min(date) FILTER (category = 'gym') AS e FROM visits GROUP BY ad_id) WHERE a >= 1 AND b >= 2 AND e >= d""")
+def audience_catalogue(t: Tables) -> DataFrame:
+    """All audiences of the catalogue and one of two steps, over one table of visits."""
+    steps = Recipe("both in order", (Step(("cafe",)), Step(("gym",), min_frequency=2)), "AND", ordered=True)
+    return audiences.audience_batch(lab_visits(t), [*audiences.catalogue_recipes(), steps])
+
+
+@query("""names AS (SELECT unnest(['cafe', ' Barber', 'barber_shop', 'gas_station', 'used_car_dealer', 'car_dealer', 'parking', 'dog_park', 'metro_station', 'town_hall', 'city_hall', 'x', 'public_library', 'spa', 'gym']) AS category)
+SELECT category, CASE trim(lower(category)) WHEN 'cafe' THEN 'food_and_beverage' WHEN 'barber' THEN 'beauty' WHEN 'barber_shop' THEN 'food_and_beverage' WHEN 'gas_station' THEN 'automotive' WHEN 'used_car_dealer' THEN 'automotive' WHEN 'car_dealer' THEN 'automotive' WHEN 'parking' THEN 'automotive'
+  WHEN 'dog_park' THEN 'attractions' WHEN 'metro_station' THEN 'transport' WHEN 'city_hall' THEN 'government' WHEN 'public_library' THEN 'food_and_beverage' WHEN 'spa' THEN 'beauty' WHEN 'gym' THEN 'sports' ELSE 'other' END AS category_group,
+  CASE category WHEN 'cafe' THEN 'food' WHEN 'gym' THEN 'body' WHEN 'spa' THEN 'body' ELSE 'other' END AS catalogue_group FROM names""")
+def group_names(t: Tables) -> DataFrame:
+    """Groups of names by words, and by a catalogue that lists them."""
+    names = ("cafe", " Barber", "barber_shop", "gas_station", "used_car_dealer", "car_dealer", "parking", "dog_park", "metro_station", "town_hall", "city_hall", "x", "public_library", "spa", "gym")
+    own = audiences.groups_of(t.spark.createDataFrame([("food", ["cafe", "bar"]), ("body", ["gym", "spa"])], "group string, categories array<string>"))
+    c = F.col("category")
+    return t.spark.createDataFrame([(n,) for n in names], "category string").select(c, audiences.category_group(c).alias("category_group"), audiences.exact_group(c, own).alias("catalogue_group"))
+
+
 @query(CATEGORY_SQL + ", " + STARTS_SQL.format(d=1, src="pings") + """, tops AS (SELECT * FROM starts QUALIFY row_number() OVER (PARTITION BY ad_id ORDER BY days DESC, home_lat, home_lng) = 1),
 per AS (SELECT ad_id, avg(round(m, 1)) AS d, count(*) AS n FROM (SELECT ad_id, date, CAST(date_sub('second', min(utc_timestamp), max(utc_timestamp)) AS DOUBLE) / 60 AS m FROM (SELECT DISTINCT ad_id, date, utc_timestamp, lat, lng FROM near WHERE distance <= 200 AND category = 'cafe') GROUP BY ALL) GROUP BY 1)
 SELECT home_lat AS origin_lat, home_lng AS origin_lng, count(*) AS unique_devices, CAST(sum(n) AS BIGINT) AS total_visit_days, round(avg(d), 3) AS avg_dwell_minutes, round(avg(n), 6) AS avg_frequency FROM per JOIN tops USING (ad_id) GROUP BY 1, 2""")
@@ -247,3 +269,11 @@ def affinity_v2(t: Tables) -> DataFrame:
     key = F.concat(F.lit("z"), F.round(F.col("origin_lat") * 20).cast("int").cast("string"), F.lit("_"), F.round(F.col("origin_lng") * 20).cast("int").cast("string"))
     rows = affinity_rows(t).groupBy(key.alias("zip")).agg(F.sum("total_visits").alias("total_visits"), F.sum("unique_devices").alias("unique_devices"), F.round(F.avg("avg_dwell"), 2).alias("avg_dwell"), F.round(F.avg("avg_frequency"), 2).alias("avg_frequency"))
     return affinity.index_v2(rows)
+
+
+@query(AFFINITY_INPUT_SQL + "," + V2_SQL + """,
+v1 AS (SELECT *, CAST(floor(least(100, total_visits / 2.0) + 0.5) AS BIGINT) AS affinity_index, CAST(greatest(1, least(100, floor((rank() OVER (ORDER BY m) - 1 + (count(*) OVER (PARTITION BY m) - 1) / 2.0::DOUBLE) / n1 * 100 + 0.5))) AS BIGINT) AS affinity_index_v2 FROM q)
+SELECT zip AS zip_code, '' AS city, 'MX' AS country, affinity_index, affinity_index_v2, avg_dwell AS avg_dwell_min, avg_frequency, unique_devices, total_visits AS total_visit_days FROM v1""")
+def affinity_export(t: Tables) -> DataFrame:
+    rows = affinity_v2(t).withColumns({"city": F.lit(None).cast("string"), "country": F.lit("MX"), "affinity_index": F.floor(F.least(F.lit(100.0), F.col("total_visits") / 2) + 0.5)})
+    return affinity.export_columns(rows)

@@ -243,17 +243,21 @@ UNION ALL SELECT ad_id, 'category', category, dwell_minutes, NULL FROM cat_dwell
 UNION ALL SELECT ad_id, 'category_and', 'cafe,gym', dwell_minutes, NULL FROM cat_dwell WHERE ad_id IN (SELECT ad_id FROM cat_dwell GROUP BY 1 HAVING count(DISTINCT category) = 2)
 UNION ALL SELECT DISTINCT ad_id, 'nse', '20-39', NULL, zip FROM pings WHERE zip IN ('10000', '11000')
 UNION ALL SELECT DISTINCT ad_id, 'catchment', '', NULL, NULL FROM at_poi
+UNION ALL SELECT ad_id, 'persona', 'Weekend Visitor', NULL, NULL FROM dwell GROUP BY 1 HAVING count(*) >= 10
+UNION ALL SELECT ad_id, 'persona_lookalike', 'Weekend Visitor', NULL, NULL FROM dwell GROUP BY 1 HAVING count(*) < 10
 UNION ALL SELECT 'x1', 'category', 'gym', 12.5::DOUBLE, NULL UNION ALL SELECT 'x2', 'plain', '', NULL, NULL UNION ALL SELECT 'x3', 'category', 'cafe', 4::DOUBLE, '00001')
 """
 
 
 def master_list(t: Tables) -> DataFrame:
     both, cats = compare.contribution, cafe_gym(t)
+    days = at_poi(t).select("ad_id", "date").distinct().groupBy("ad_id").agg(F.count(F.lit(1)).alias("n"))
     old = t.spark.createDataFrame([("x1", "gym", "12.5", None, ""), ("x2", "", None, "", ""), ("x3", "category", "cafe", "4", "00001"), ("ad_id", "attr_type", "attr_value", "dwell_minutes", "postal_code")], "ad_id string, attr_type string, attr_value string, dwell_minutes string, postal_code string")
     return compare.consolidate([
         both(filters.human_ids(valid(t)), "plain"), both(cats, "category"), both(with_all_categories(cats, 2), "category_and", "cafe,gym"),
         both(valid(t).filter(F.col("zip").isin("10000", "11000")).select("ad_id", F.col("zip").alias("postal_code"), F.lit("20-39").alias("nse_bracket")).distinct(), "nse"),
         both(at_poi(t).select("ad_id").distinct(), "catchment"), compare.legacy_contribution(old),
+        both(days.filter("n >= 10"), "persona", "Weekend Visitor"), both(days.filter("n < 10"), "persona_lookalike", "Weekend Visitor"),
     ])
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import as_targets
-from ..operators import filters, homes, reports, visits
+from ..functions.numbers import medians
+from ..operators import homes, reports, visits
 from ..sources.fixtures import Tables
 from .homes_queries import HOMES_SQL
 from .registry import query
@@ -97,9 +98,11 @@ def mobility_2h(t: Tables) -> DataFrame:
     return mob(t)
 
 
-@query()
+@query(MOBILITY_SQL.replace("FROM pings p JOIN dwell d", "FROM pings p JOIN marked d").replace("\naround", """
+marked AS (SELECT ad_id, date, make_timestamp(quantile_disc(epoch_us(utc_timestamp) // 1000000, 0.5) * 1000000) AS arrival FROM pings WHERE len(poi_ids) > 0 GROUP BY ALL),
+around""") + "SELECT * FROM mobility")
 def mobility_median(t: Tables) -> DataFrame:
-    """Visit time by an approximate median, which differs between engines."""
+    """Visit time by the middle ping; so few pings a day have an exact one."""
     marked = valid(t).filter(F.size("poi_ids") > 0)
     return reports.mobility(valid(t), reports.median_visit_times(marked), catalogue(t))
 
@@ -263,11 +266,44 @@ def catchment_polygons(t: Tables) -> DataFrame:
     return reports.catchment_polygons(rings, shapes)
 
 
-@query()
+PCT = "CASE WHEN {x} >= 10 THEN CAST(CAST(floor({x} + 0.5) AS BIGINT) AS VARCHAR) || '%' ELSE printf('%.1f%%', {x}) END"
+
+
+def _summary_sql() -> str:
+    hour = "CASE WHEN h % 12 = 0 THEN 12 ELSE h % 12 END || CASE WHEN h < 12 THEN 'AM' ELSE 'PM' END || ' (local time)'"
+    return f"""
+n AS (SELECT count(DISTINCT ad_id) AS devices, count(DISTINCT ad_id || date) AS days, min(date) AS a, max(date) AS b, count(*) AS pings, count(*) FILTER (isodow(utc_timestamp) >= 6) * 100.0::DOUBLE / count(*) AS weekend FROM at_poi),
+hours AS (SELECT CAST(hour(utc_timestamp) AS BIGINT) AS h, count(*) * 100.0::DOUBLE / (SELECT pings FROM n) AS share FROM at_poi GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
+dows AS (SELECT isodow(utc_timestamp) AS d, count(*) * 100.0::DOUBLE / (SELECT pings FROM n) AS share FROM at_poi GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
+stay AS (SELECT avg(round(seconds / 60, 1)) AS dwell FROM dwell), often AS (SELECT count(*) FILTER (k >= 3) * 100.0::DOUBLE / count(*) AS share, quantile_cont(k::DOUBLE, 0.5) AS mid FROM (SELECT ad_id, count(*) AS k FROM dwell GROUP BY 1)),
+{MOBILITY_SQL.strip()},
+tops AS (SELECT category, sum(hits) * 100.0::DOUBLE / (SELECT sum(hits) FROM mobility) AS share FROM mobility GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 1)
+SELECT 0 AS position, 'Places: ' || format('{{:,}}', devices) || ' unique devices.' AS sentence FROM n
+UNION ALL SELECT 1, '**Scale**: ' || format('{{:,}}', devices) || ' unique devices across ' || format('{{:,}}', days) || ' device-days to ' || format('{{:,}}', (SELECT count(*) FROM pois)) || ' POIs (' || a || ' to ' || b || ').' FROM n
+UNION ALL SELECT 2, '**Timing**: peaks at ' || {hour} || ' (' || {PCT.format(x='hours.share')} || ' of daily traffic); busiest day is ' || ['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'][d] || ' (' || {PCT.format(x='dows.share')} || ' of weekly traffic); ' || {PCT.format(x='weekend')} || ' of visits fall on weekends.' FROM n, hours, dows
+UNION ALL SELECT 3, '**Engagement**: average dwell ' || CAST(floor(dwell + 0.5) AS BIGINT) || ' min, median repeat frequency of ' || printf('%.1f', mid) || ' visits per device, ' || {PCT.format(x='share')} || ' of devices return 3+ times.' FROM stay, often
+UNION ALL SELECT 4, '**Adjacent behavior**: the top destination category within ±2h of the POIs is *' || category || '* (' || {PCT.format(x='share')} || ' of mobility traffic).' FROM tops"""
+
+
+@query(_summary_sql())
 def executive_summary(t: Tables) -> DataFrame:
     """Sentences made on the driver from a few numbers."""
-    rows, everyone = at_poi(t), valid(t)
-    h = reports.headline(reports.hourly(rows), mob(t)).first()
-    dwell = visits.device_day_dwell(rows).agg(F.avg("dwell_minutes")).first()[0]
-    metrics = {"devices": filters.human_ids(everyone, min_days=1).count(), "visitors": reports.total_devices(rows).first()[0], "avg_dwell": dwell, **h.asDict()}
-    return t.spark.createDataFrame(list(enumerate(reports.executive_summary(metrics))), "position long, sentence string")
+    rows = at_poi(t)
+    n = rows.agg(F.count(F.lit(1)).alias("pings"), F.countDistinct("ad_id").alias("devices"), F.countDistinct("ad_id", "date").alias("days"), F.min("date").alias("a"), F.max("date").alias("b"), F.count_if(F.weekday("utc_timestamp") >= 5).alias("weekend")).first()
+    share = lambda x: 100 * x / n["pings"]
+    top = lambda df, *order: df.orderBy(*order).first()
+    grid = reports.day_hour(rows)
+    h = top(grid.groupBy("hour").agg(F.sum("pings").alias("n")), F.desc("n"), "hour")
+    d = top(grid.groupBy("dow").agg(F.sum("pings").alias("n")), F.desc("n"), "dow")
+    days = visits.device_day_dwell(rows)
+    per = days.groupBy("ad_id").agg(F.count(F.lit(1)).alias("k"))
+    often = per.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") >= 3).alias("again")).first()
+    near = mob(t).groupBy("category").agg(F.sum("hits").alias("n"))
+    c = top(near, F.desc("n"), F.desc("category"))
+    summary = reports.executive_summary(
+        reports.SummaryInput(
+            subject="Places", devices=n["devices"], device_days=n["days"], pois=t.pois.count(), first=n["a"], last=n["b"], peak_hour=(h["hour"], share(h["n"])), peak_day=(d["dow"], share(d["n"])), weekend_share=share(n["weekend"]),
+            avg_dwell=days.agg(F.avg("dwell_minutes")).first()[0], median_frequency=medians(per, ["k"]).first()["k"], repeat_share=100 * often["again"] / often["n"], top_category=(c["category"], 100 * c["n"] / near.agg(F.sum("n")).first()[0]),
+        )
+    )
+    return t.spark.createDataFrame(list(enumerate([summary["headline"], *summary["bullets"]])), "position int, sentence string")

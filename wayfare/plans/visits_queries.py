@@ -93,6 +93,51 @@ def dwell_bucket_summary(t: Tables) -> DataFrame:
     return visits.bucket_summary(visits.dwell_table(at_poi(t)))
 
 
+BUCKETS_SQL = """
+dt AS (SELECT a.*, round(d.seconds / 60.0::DOUBLE, 1) AS m FROM at_poi a JOIN dwell d USING (ad_id, date)), b AS (SELECT CAST(unnest([0, 2, 5, 10, 15, 30, 60, 120, 180]) AS INTEGER) AS bucket),
+ends AS (SELECT ad_id, date, round(arg_min(lat, utc_timestamp), 4) AS olat, round(arg_min(lng, utc_timestamp), 4) AS olng, CAST(hour(min(utc_timestamp)) AS BIGINT) AS left_at, round(arg_max(lat, utc_timestamp), 4) AS dlat, round(arg_max(lng, utc_timestamp), 4) AS dlng FROM pings GROUP BY ALL),
+bd AS (SELECT DISTINCT bucket, ad_id, date FROM dt JOIN b ON m >= bucket)
+"""
+
+
+def bucketed(t: Tables) -> dict[str, DataFrame]:
+    return visits.bucket_reports(valid(t), at_poi(t), targets(t))
+
+
+@query(BUCKETS_SQL + "SELECT bucket, olat AS origin_lat, olng AS origin_lng, dlat AS dest_lat, dlng AS dest_lng, left_at AS departure_hour, CAST(hour(arrival) AS BIGINT) AS poi_arrival_hour, count(*) AS device_days FROM bd JOIN ends USING (ad_id, date) JOIN dwell USING (ad_id, date) GROUP BY ALL")
+def bucket_od(t: Tables) -> DataFrame:
+    return bucketed(t)["od"]
+
+
+@query(BUCKETS_SQL + "SELECT bucket, CAST(hour(utc_timestamp) AS BIGINT) AS touch_hour, count(*) AS pings, count(DISTINCT ad_id) AS devices FROM dt JOIN b ON m >= bucket GROUP BY ALL")
+def bucket_hourly(t: Tables) -> DataFrame:
+    return bucketed(t)["hourly"]
+
+
+@query(BUCKETS_SQL + "SELECT bucket, olat AS origin_lat, olng AS origin_lng, left_at AS departure_hour, count(*) AS device_days FROM (SELECT DISTINCT bucket, ad_id FROM bd) JOIN ends USING (ad_id) GROUP BY ALL")
+def bucket_catchment(t: Tables) -> DataFrame:
+    return bucketed(t)["catchment"]
+
+
+@query(BUCKETS_SQL + """,
+around AS (SELECT DISTINCT p.ad_id, p.date, p.lat, p.lng, CASE WHEN p.utc_timestamp < d.arrival THEN 'before' ELSE 'after' END AS timing FROM pings p JOIN dwell d USING (ad_id, date)
+  WHERE abs(date_sub('minute', d.arrival, p.utc_timestamp)) > 0 AND abs(date_sub('minute', d.arrival, p.utc_timestamp)) <= 120),
+hit AS (SELECT DISTINCT a.ad_id, a.date, a.timing, o.category FROM around a JOIN pois o ON abs(a.lat - o.plat) < 0.02 AND abs(a.lng - o.plng) < 0.03 AND 111320 * sqrt(pow(a.lat - o.plat, 2) + pow((a.lng - o.plng) * cos(radians((a.lat + o.plat) / 2)), 2)) <= 200)
+SELECT bucket, timing, category, count(*) AS device_days, count(*) AS hits FROM hit JOIN bd USING (ad_id, date) GROUP BY ALL""")
+def bucket_mobility(t: Tables) -> DataFrame:
+    return bucketed(t)["mobility"]
+
+
+@query(BUCKETS_SQL + "SELECT bucket, date, count(*) AS pings, count(DISTINCT ad_id) AS devices FROM dt JOIN b ON m >= bucket GROUP BY ALL")
+def bucket_temporal(t: Tables) -> DataFrame:
+    return bucketed(t)["temporal"]
+
+
+@query(BUCKETS_SQL + "SELECT bucket, count(DISTINCT ad_id) AS total_unique_devices FROM bd GROUP BY 1")
+def bucket_total(t: Tables) -> DataFrame:
+    return bucketed(t)["total"]
+
+
 VISITS_SQL = """
 closest AS (SELECT * FROM near WHERE distance <= 200 QUALIFY row_number() OVER (PARTITION BY ad_id, utc_timestamp ORDER BY distance, poi_id) = 1),
 visits AS (SELECT ad_id, date, poi_id, category, count(*) AS ping_count, round(CAST(date_sub('second', min(utc_timestamp), max(utc_timestamp)) AS DOUBLE) / 60, 1) AS dwell_minutes, CAST(hour(min(utc_timestamp)) AS BIGINT) AS visit_hour FROM closest GROUP BY ALL)
