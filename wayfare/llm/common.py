@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.durable import materialize, shared_dir
+from ..functions.durable import materialize, scratch, shared_dir
 
-__all__ = ["SPACE", "SPACES", "materialize", "shared_dir", "text_or_empty", "unused", "words"]
+__all__ = ["SPACE", "SPACES", "materialize", "scratch", "shared_dir", "text_or_empty", "unused", "words"]
 
 #: ASCII white space, `[\x20\x09-\x0D]`.
 SPACE = " \t\n\x0b\f\r"

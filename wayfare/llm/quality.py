@@ -11,7 +11,8 @@ only calibrate the score, by one histogram for each class.
 
 Texts are read once; shuffled are the features (some 150 bytes a document) for the join with the labels.
 
-Defined results: a null or empty text is scored like a text without words; labels that are null are no labels, a
+Defined results: a null or empty text is scored like a text without words; texts are taken whole at any length; equal
+texts have equal scores, and a score of just the threshold passes; labels that are null are no labels, a
 document labelled both ways is a negative; null ids are never labelled; repeated rows each give their row; without
 any positive label every score is 0.5; an empty table gives no rows; other columns are ignored.
 """
@@ -22,12 +23,12 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize, text_or_empty
+from .common import materialize, text_or_empty, unused
 
 #: Character classes by byte: upper, lower, digit, space, line end, sentence marks, symbols, cries, other marks, the rest.
 _CLASS = np.full(256, 9, dtype=np.uint8)
@@ -67,18 +68,21 @@ def features(texts: pa.Array) -> np.ndarray:
     return np.hstack([*(np.minimum(shares, c) / c for c in CLIPS), np.log1p(n_words)[:, None] / 10, np.minimum(mean, 20)[:, None] / 20, np.ones((n, 1))])
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """doc_id and features of every document, written once."""
+def described(docs: DataFrame, *, keep: list[str] | None = None, name: str = "x") -> DataFrame:
+    """doc_id (or the columns to ``keep``) and features, as ``name``, of every document, written once."""
+    kept = keep or ["doc_id"]
+    (text,) = unused(docs, "text_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                x = features(part.column(1)).astype(np.float32)
+                x = features(part.column(len(kept))).astype(np.float32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * WIDTH), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], lists], names=[*kept, name])
 
-    return materialize(docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, x array<float>"), "features")
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(name, T.ArrayType(T.FloatType()))])
+    return materialize(docs.select(*kept, text_or_empty().alias(text)).mapInArrow(run, schema), "features")
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -129,10 +133,10 @@ def fit_nn(prior: float, p: np.ndarray, u: np.ndarray, *, ridge: float, steps: i
     return best
 
 
-def _decision(theta: np.ndarray) -> Column:
+def _decision(theta: np.ndarray, x: str = "x") -> Column:
     """theta . x as a column."""
     weights = F.array(*[F.lit(float(w)) for w in theta])
-    return F.aggregate(F.zip_with("x", weights, lambda x, w: x * w), F.lit(0.0), lambda a, b: a + b)
+    return F.aggregate(F.zip_with(x, weights, lambda x, w: x * w), F.lit(0.0), lambda a, b: a + b)
 
 
 def _histogram(rows: DataFrame, theta: np.ndarray) -> np.ndarray:
@@ -180,8 +184,8 @@ class Model(NamedTuple):
     a: float
     b: float
 
-    def of(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.a * (x @ self.theta) + self.b)))
+    def score(self, x: str = "x") -> Column:
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(self.a) * _decision(self.theta, x) + F.lit(self.b))))
 
 
 def fit(rows: DataFrame, labels: DataFrame) -> Model:
@@ -205,18 +209,13 @@ def score(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> Data
     """
     rows = described(docs)
     model = fit(rows, labels)
-    value = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(model.a) * _decision(model.theta) + F.lit(model.b))))
-    scored = rows.select("doc_id", held_out().alias("held_out"), value.alias("score"))
+    scored = rows.select("doc_id", held_out().alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> DataFrame:
-    """``docs`` without the rows that score below the threshold; rows are scored where they lie, without a join."""
-    model = fit(described(docs), labels)
-
-    @F.pandas_udf("double")
-    def value(text: pd.Series) -> pd.Series:
-        parts = [model.of(features(pa.array(text.iloc[i : i + 500], pa.string()))) for i in range(0, len(text), 500)]
-        return pd.Series(np.concatenate([np.empty(0), *parts]))
-
-    return docs.filter(value(text_or_empty()) >= threshold)
+    """``docs`` without the rows that score below the threshold; they are written with their features, without a join."""
+    (x,) = unused(docs, "x_")
+    rows = described(docs, keep=docs.columns, name=x)
+    model = fit(rows.select("doc_id", F.col(x).alias("x")), labels)
+    return rows.filter(model.score(x) >= threshold).select(*docs.columns)
