@@ -1,7 +1,13 @@
 """Corpus pipeline: quality classifier, line dedup, n-gram Jaccard join, benchmark decontamination, packing.
 
 Each stage calls one operator on all that the stage before kept. Stages are written as Parquet and read again, so
-that a later stage never repeats an earlier one.
+that a later stage never repeats an earlier one; what a stage writes on its way is removed when it is done.
+
+Defined results, beside those of the operators: null and empty texts go where the classifier scores them below its
+threshold; a document that loses all its lines stays with an empty text; n_chars follows the text where the table has
+it; documents without words are no near duplicates of each other, unless whole rows are equal; ties between copies go
+to the least id, null first; rows that repeat an id are told apart by their text; texts are taken whole at any
+length; an empty table gives no rows; other columns pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.llm import decontaminate, jaccard, line_dedup, packing, quality
-from wayfare.llm.common import shared_dir
+from wayfare.llm.common import scratch, shared_dir
 from wayfare.llm.queries import read, tokenizer_file
 
 
@@ -49,7 +55,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Trained, hashed and tokenized stages have no SQL form; tests hold the pipeline against brute force.
+#: Trained, hashed and tokenized stages have no SQL form; tests hold each stage's rows against a plain form of it.
 ORACLE_SQL = None
 
 
@@ -59,6 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/wayfare/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         out = f"{folder}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
     return docs
