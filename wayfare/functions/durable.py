@@ -12,19 +12,23 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder of this process, where none is set and none is needed by others.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
 
     Where the setting is absent and Spark runs in this process alone, a temporary folder takes its place and is
     removed at exit. Executors on other machines would not see it, so that on a cluster its absence is an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own.get("folder")
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="wayfare-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
+        _own["folder"] = found
     return found
 
 
