@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.durable import materialize, scratch, shared_dir
 
-__all__ = ["SPACE", "SPACES", "materialize", "scratch", "shared_dir", "text_or_empty", "unused", "words"]
+__all__ = ["LOWER", "SPACE", "SPACES", "materialize", "scratch", "shared_dir", "UPPER", "text_or_empty", "unused", "words"]
 
 #: ASCII white space, `[\x20\x09-\x0D]`.
 SPACE = " \t\n\x0b\f\r"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = r"[\x20\x09-\x0D]+"
 
 

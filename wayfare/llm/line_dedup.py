@@ -27,9 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, text_or_empty, unused
+from .common import LOWER, SPACE, UPPER, materialize, text_or_empty, unused
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What a row of the stream is: a line to drop, one to drop if its key is decided so, a witness of a document.
 DROP, OPEN, WITNESS = 0, 1, 2
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licenses, line_dedup, packing, pii, quality, rules, secrets, sharding
+from . import bpe, decontaminate, jaccard, licenses, line_dedup, packing, pii, quality, rules, secrets, sharding, spelling, whitening
 
 #: A folder of public tokenizers other than the installed one.
 TOKENIZERS_ENV = "WAYFARE_TOKENIZERS"
@@ -69,6 +69,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe.Vocabulary.read(tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = bpe.decode(bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_license_scan, op3_quality_classifier, op4_sharding, op5_decontamination, op6_line_dedup, op7_pii, op8_jaccard_join, op9_secret_scan, op10_quality_rules)
+    f.__name__: f for f in (op1_packing, op2_license_scan, op3_quality_classifier, op4_sharding, op5_decontamination, op6_line_dedup, op7_pii, op8_jaccard_join, op9_secret_scan, op10_quality_rules, op11_bpe, op12_whitening, op13_spelling_variants)
 }
