@@ -109,6 +109,7 @@ def test_heap_merges_as_plain_rounds(vocabulary):
 def test_memory_of_merges_changes_nothing(vocabulary, plain, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 2)
     vocabulary.remembered.clear()
+    vocabulary.older.clear()
     check(vocabulary, plain, ["qzxv wqzk zzqx qzxv vvkq"] * 5)
 
 

@@ -19,10 +19,10 @@ no rows; other columns pass through, those named like a result are replaced.
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from functools import cache
-from itertools import islice
+from heapq import heapify, heappop, heappush
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +34,9 @@ from .common import text_or_empty
 #: Bits of a level for each key that is still without a place.
 ROOM = 2
 #: Code points that are cut at once; also the most pre-tokens of a list.
-SLICE = 1 << 20
-#: Merged pieces that a worker remembers.
-REMEMBERED = 1 << 17
+SLICE = 1 << 22
+#: Merged pieces that a worker remembers in each of two generations.
+REMEMBERED = 1 << 18
 
 _PRIME, _STEP = np.uint64(0x100000001B3), 0x9E3779B97F4A7C15
 
@@ -99,21 +99,25 @@ class MinimalHash:
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of a piece: of all neighbouring pairs the one of least rank is joined, the first of equals, until none has a rank."""
-    n = len(piece)
+    n, get = len(piece), ranks.get
     end = list(range(1, n + 1))  # of the token that starts here; 0 where none does
     before = list(range(-1, n))  # where the token to the left starts
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-    heapq.heapify(heap)
+    # an entry is one number: rank, start, end
+    bits = n.bit_length()
+    mask = (1 << bits) - 1
+    heap = [((r << bits | i) << bits) + i + 2 for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
+    heapify(heap)
     while heap:
-        _, i, stop = heapq.heappop(heap)
+        entry = heappop(heap)
+        i, stop = entry >> bits & mask, entry & mask
         middle = end[i]
         if not middle or middle >= n or end[middle] != stop:
             continue  # one of the pair was joined to something else
         end[i], end[middle], before[stop] = stop, 0, i
-        if i and (r := ranks.get(piece[before[i] : stop])) is not None:
-            heapq.heappush(heap, (r, before[i], stop))
-        if stop < n and (r := ranks.get(piece[i : end[stop]])) is not None:
-            heapq.heappush(heap, (r, i, end[stop]))
+        if i and (r := get(piece[before[i] : stop])) is not None:
+            heappush(heap, ((r << bits | before[i]) << bits) + stop)
+        if stop < n and (r := get(piece[i : end[stop]])) is not None:
+            heappush(heap, ((r << bits | i) << bits) + end[stop])
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -142,6 +146,7 @@ class Vocabulary:
         self.by_id = pa.array(by_id, pa.large_binary())
         self.odd = disagreements()
         self.remembered: dict[bytes, list[int]] = {}
+        self.older: dict[bytes, list[int]] = {}
 
     @classmethod
     def read(cls, ranks_file: str, pattern: str) -> Vocabulary:
@@ -173,34 +178,33 @@ class Vocabulary:
         return out
 
     def merged(self, piece: bytes) -> list[int]:
-        """Tier 2, remembered."""
+        """Tier 2, remembered: what the last two generations haven't met is forgotten."""
         if (found := self.remembered.get(piece)) is None:
-            found = merge(piece, self.ranks)
+            if (found := self.older.get(piece)) is None:
+                found = merge(piece, self.ranks)
             if len(piece) <= 64:
                 if len(self.remembered) >= REMEMBERED:
-                    self.remembered.clear()
+                    self.older, self.remembered = self.remembered, {}
                 self.remembered[piece] = found
         return found
 
     def ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces one after the other, and their number for each."""
-        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
-        code = coded.indices.to_numpy()
-        _, offsets, buffer = coded.dictionary.buffers()
-        ends = np.frombuffer(offsets, dtype=np.int64, count=len(coded.dictionary) + 1)
-        data = np.frombuffer(buffer, dtype=np.uint8) if buffer else np.empty(0, dtype=np.uint8)
-        starts, lengths = ends[:-1], np.diff(ends)
+        codes = {piece: k for k, piece in enumerate(dict.fromkeys(pieces))}
+        code = np.fromiter(map(codes.__getitem__, pieces), dtype=np.int32, count=len(pieces))
+        distinct = [piece.encode() for piece in codes]
+        data, lengths = np.frombuffer(b"".join(distinct), dtype=np.uint8), np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct))
+        starts = np.cumsum(lengths) - lengths
         found = self.whole(data, starts, lengths)
         count = np.ones(len(found), dtype=np.int64)
         missed = np.flatnonzero(found < 0)
-        parts = [self.merged(data[starts[k] : ends[k + 1]].tobytes()) for k in missed.tolist()]
+        parts = [self.merged(distinct[k]) for k in missed.tolist()]
         count[missed] = [len(x) for x in parts]
         first = np.cumsum(count) - count
         flat = np.empty(int(count.sum()), dtype=np.int32)
         hit = np.flatnonzero(found >= 0)
         flat[first[hit]] = found[hit]
-        if parts:
-            flat[np.repeat(first[missed], count[missed]) + _within(count[missed])] = np.concatenate([np.asarray(x, dtype=np.int32) for x in parts])
+        flat[np.repeat(first[missed], count[missed]) + _within(count[missed])] = list(chain.from_iterable(parts))
         n = count[code]
         return flat[np.repeat(first[code], n) + _within(n)], n
 
@@ -242,11 +246,10 @@ class Cutter:
     def __init__(self, pattern: str, odd: dict[int, str]) -> None:
         import regex
 
-        self.pattern, self.odd = regex.compile(pattern), odd
-        self.any_odd = regex.compile("[" + "".join(f"\\U{c:08x}" for c in sorted(odd)) + "]") if odd else None
+        self.pattern, self.odd, self.any_odd = regex.compile(pattern), odd, frozenset(map(chr, odd))
 
     def _is_odd(self, text: str) -> bool:
-        return not (text.isascii() or self.any_odd is None or self.any_odd.search(text) is None)
+        return not (text.isascii() or self.any_odd.isdisjoint(text))
 
     def cuts(self, text: str) -> Iterator[str]:
         if self._is_odd(text):
