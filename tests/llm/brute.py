@@ -143,33 +143,43 @@ def canonical(text: str | None) -> list[tuple[str, str]]:
     return [(re.sub(f"([{d.NAME}{d.NUMBER}{d.UNIT}])[^{d.END}]*{d.END}", r"\1", w), w) for w in marked]
 
 
-def template_windows(text: str | None, size: int = 5) -> list[tuple[tuple, tuple | None]]:
+def template_windows(text: str | None, size: int = 5) -> list[tuple[tuple, tuple | None, bool]]:
+    """(key, filling to compare, open) of each window."""
     w = canonical(text)
     out = []
     for i in range(max(1, len(w) - size + 1) if w else 0):
         part = w[i : i + size]
-        filled = any("\x04" in full for _, full in part)
-        out.append((tuple(x for x, _ in part), tuple(full for _, full in part) if filled else None))
+        literal = {full for _, full in part if "\x04" not in full}
+        if all("\x04" not in full for _, full in part):
+            out.append((tuple(x for x, _ in part), None, True))
+        elif len(literal) < 2:
+            out.append((("closed", *(full for _, full in part)), None, False))
+        else:
+            out.append((tuple(x for x, _ in part), tuple(full for _, full in part), True))
     return out
 
 
 def templates(docs: list[tuple], items: list[tuple], share: float = 0.8, passage: int = 9, size: int = 5) -> dict[tuple, int]:
     """(doc, item): matched windows, of the documents that hold an item."""
-    known = defaultdict(list)
-    total = {}
+    known, times = defaultdict(list), {}
     for i, t in items:
         ws = template_windows(t, size)
-        total[i] = len({k for k, _ in ws})
-        for at, (k, fill) in enumerate(ws):
-            known[k].append((i, fill, at))
+        times[i] = Counter((k, is_open) for k, _, is_open in ws)
+        for at, (k, fill, is_open) in enumerate(ws):
+            known[k].append((i, fill, at, is_open))
     out = {}
     for d, t in docs:
         per_item = defaultdict(list)
-        for at, (k, fill) in enumerate(template_windows(t, size)):
-            for i, item_fill, item_at in known.get(k, ()):
-                per_item[i].append((k, item_fill, fill, at - item_at))
+        ws = template_windows(t, size)
+        doc_times = Counter(k for k, _, _ in ws)
+        for at, (k, fill, _) in enumerate(ws):
+            for i, item_fill, item_at, is_open in known.get(k, ()):
+                per_item[i].append(((k, is_open), item_fill, fill, at - item_at))
         for i, met in per_item.items():
-            width = max(2, -(-(total[i] + size - 1) // 2))
+            total = sum(times[i].values())
+            total_open = sum(n for (_, is_open), n in times[i].items() if is_open)
+            weight = lambda keys, i=i, n=doc_times: sum(min(times[i][k], n[k[0]]) for k in keys)
+            width = max(2, -(-(total + size - 1) // 2))
             own = {k for k, a, b, _ in met if b is None or a == b}
             places = defaultdict(set)
             for k, a, b, shift in met:
@@ -191,8 +201,60 @@ def templates(docs: list[tuple], items: list[tuple], share: float = 0.8, passage
                     single[y] = max(single.get(y, (0, False, "")), (n, same, x))
                 mapping = {x: y for y, (_, _, x) in single.items()}
                 held = {k for k, a, b in rows if all(mapping.get(x) == y for x, y in zip(a, b, strict=True) if "\x04" in x)}
-                most = max(most, len(held - own))
-            n = len(own) + most
-            if n >= share * total[i] or n >= passage:
+                most = max(most, weight(held - own))
+            n, n_open = weight(own) + most, weight(k for k in own if k[1]) + most
+            if n >= share * total or n >= passage or (2 * total_open >= total and n_open >= share * total_open):
                 out[d, i] = n
     return out
+
+
+def licences(docs) -> list[tuple[int, str, int, int]]:  # noqa: ANN001
+    """(doc, licence, sentences of the fullest rule, first sentence) by reading a text part by part."""
+    from wayfare.llm import licenses as m
+
+    known = {m.plain(x): name for name, forms in m.SENTENCES.items() for x in forms}
+    out = []
+    for d, t in docs:
+        t = re.sub(r"SPDX-License-Identifier[\x20\x09-\x0D]*:[\x20\t]*", "\nSPDX-License-Identifier ", t or "", flags=re.I)
+        # (part, whether only a line end divides it from the part before)
+        parts, at, soft = [], 0, False
+        for end in [*re.finditer(r"[\n;:!?]+|\.+(?=[\x20\x09-\x0D]|$)", t), None]:
+            parts.append((t[at : end.start() if end else len(t)], soft))
+            if end:
+                at, soft = end.end(), end[0] == "\n"
+                # a comment's mark after a single line end belongs to the line
+                if mark := re.fullmatch(r"\n[;!]+", end[0]):
+                    soft = t[mark.end() + end.start() : mark.end() + end.start() + 1] in (" ", "\t")
+        clean = [re.sub("^ ?(?:dnl|rem) ", "", re.sub("[^a-z0-9]+", " ", p.lower())).strip() for p, _ in parts]
+        seen = []
+        for i in range(len(parts)):
+            if not clean[i]:
+                continue
+            sentence, j = clean[i], i
+            tried = [sentence]
+            while j + 1 < len(parts) and parts[j + 1][1] and clean[j + 1] and len(tried) < 120 and len(sentence) < 600:
+                j += 1
+                sentence = f"{sentence} {clean[j]}".strip()
+                tried.append(sentence)
+            met = set()
+            for x in tried:
+                x = re.sub("^neither the name of .+ nor the names of its contributors", "neither the name of the copyright holder nor the names of its contributors", x)
+                if x.startswith(m.SPDX):
+                    met |= {known.get(f"{m.SPDX} {y}") for y in re.split(" (?:and|with|or(?! later)) ", x[len(m.SPDX) + 1 :])}
+                else:
+                    met.add(known.get(x))
+            seen += [(i, name) for name in met if name]
+        found = {}
+        for licence, rules in m.RULES.items():
+            for rule in rules:
+                first = end = min((p for p, name in seen if name == rule[0]), default=None)
+                for want in rule[1:]:
+                    end = None if end is None else min((p for p, name in seen if name == want and p > end), default=None)
+                if end is not None:
+                    found[licence] = max(found.get(licence, (0, 0)), (len(rule), -first))
+        clauses = [name for _, name in sorted(seen) if name in ("bsd_grant", "bsd_names", "bsd_advert")]
+        if not any(x == "bsd_grant" and y not in ("bsd_names", "bsd_advert") for x, y in zip(clauses, [*clauses[1:], ""])):
+            found.pop("BSD-2-Clause", None)
+        every = set(found)
+        out += [(d, x, n, -at) for x, (n, at) in found.items() if not every & set(m.YIELDS.get(x, ()))]
+    return out
