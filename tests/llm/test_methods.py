@@ -1,7 +1,9 @@
 """Parts of the operators by their own rules: permutation, risk, prior, checksums, padding, adaptive fences."""
 
+import math
 import random
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -141,14 +143,53 @@ def test_fences_follow_their_group(docs_of):
     assert sum(kept[r[0]] for r in rows) == len(rows)
 
 
-def test_fences_are_the_sketches_quartiles(docs_of):
-    """With all rows in one group the fences lie within the sketch's rank error of the plain quartiles."""
-    rng = random.Random(9)
-    rows = [(i, " ".join(rng.choice("ab") * 3 + "#" * rng.randrange(3) for _ in range(60)), "en", "web") for i in range(400)]
-    counted = rules.shares(rules.counts(docs_of(rows))).collect()
-    for name, least in rules.LEAST_SPREAD.items():
-        values = sorted(r[name] for r in counted)
-        got = rules.fences(rules.shares(rules.counts(docs_of(rows)))).first()[f"max_{name}"]
-        at = lambda q: values[min(len(values) - 1, max(0, int(q * len(values))))]  # noqa: B023, E731
-        bounds = [high + 6 * max(high - low, least) for low in (at(0.22), at(0.28)) for high in (at(0.72), at(0.78))]
-        assert min(bounds) - 1e-9 <= got <= max(bounds) + 1e-9
+def plain_fences(rows, reach=6.0, least_docs=100):
+    """{(lang, source): {share: fence}} from bins of 1/4096."""
+    groups = defaultdict(list)
+    for r in rows:
+        if r["n_words"]:
+            for key in ((r["lang"], r["source"]), (r["lang"],), ()):
+                groups[key].append(r)
+
+    def fence(key, name):
+        bins = sorted(math.floor(r[name] * 4096) for r in groups[key])
+        low, high = (bins[-(-len(bins) * k // 4) - 1] / 4096 for k in (1, 3))
+        return high + reach * max(high - low, rules.LEAST_SPREAD[name])
+
+    pick = lambda key: next((k for k in (key, key[:1]) if len(groups[k]) >= least_docs), ())
+    return {key: {c: fence(pick(key), c) for c in rules.LEAST_SPREAD} for key in groups if len(key) == 2}
+
+
+def test_fences_are_quartiles_of_bins(spark, data):
+    """On whole sf0.01, and the verdicts that follow from them."""
+    docs = spark.read.parquet(f"{data}/sf0.01/documents.parquet")
+    counted = rules.shares(rules.counts(docs)).collect()
+    want = plain_fences(counted)
+    got = rules.fences(rules.shares(rules.counts(docs))).collect()
+    assert {(r["lang"], r["source"]): {c: r[f"max_{c}"] for c in rules.LEAST_SPREAD} for r in got} == want
+    verdicts = {r["doc_id"]: r["kept"] for r in rules.judge(docs).collect()}
+    for r in counted:
+        failed = r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]
+        assert verdicts[r["doc_id"]] == (not failed and all(r[c] <= want[(r["lang"], r["source"])][c] for c in rules.LEAST_SPREAD))
+
+
+def test_fences_do_not_depend_on_partitions(spark, data):
+    docs = spark.read.parquet(f"{data}/sf0.1/documents.parquet").select("doc_id", "text", "lang", "source")
+    counted = rules.shares(rules.counts(docs)).persist()
+    row = lambda df: sorted(df.collect(), key=str)
+    first = row(rules.fences(counted))
+    assert len(first) > 20
+    for parts in (3, 17):
+        assert row(rules.fences(counted.repartition(parts))) == first
+    assert row(rules.fences(counted.orderBy(F.rand(4)))) == first
+    counted.unpersist()
+
+
+def test_a_share_at_its_fence_passes(docs_of):
+    """All documents of a group alike: the fence is the share and the least spread, and the share is below it; beyond it fails."""
+    words = " ".join(f"w{i}" for i in range(99))
+    rows = [(i, words + " " + "x" * 10, "en", "web") for i in range(120)]
+    for extra_marks, kept in ((60, True), (900, False)):
+        last = (500, words + " " + "#" * extra_marks, "en", "web")
+        got = {r["doc_id"]: r["kept"] for r in rules.judge(docs_of([*rows, last])).collect()}
+        assert got[500] == kept and all(got[r[0]] for r in rows)
