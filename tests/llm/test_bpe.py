@@ -116,6 +116,9 @@ def test_memory_of_merges_changes_nothing(vocabulary, plain, monkeypatch):
 def test_odd_rows(docs_of, vocabulary, plain):
     df = extra(docs_of(ROWS)).withColumn("ids", F.lit("extra"))
     rows = bpe.decode(bpe.encode(df, vocabulary), vocabulary).collect()
+    both = bpe.encode(df, vocabulary, with_decoded=True)
+    assert sorted(both.columns) == sorted([*df.columns, "decoded"])
+    assert sorted((r["ids"], r["decoded"]) for r in both.collect()) == sorted((r["ids"], r["decoded"]) for r in rows)
     assert sorted((r["doc_id"] or 0, r["text"] or "", r["ids"], bytes(r["decoded"])) for r in rows) == sorted((d or 0, t or "", plain.encode_ordinary(t or ""), (t or "").encode()) for d, t, *_ in ROWS)
     assert all(r["row_"] == "extra" for r in rows)
     empty = bpe.decode(bpe.encode(docs_of(ROWS).limit(0), vocabulary), vocabulary)

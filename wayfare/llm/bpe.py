@@ -26,17 +26,18 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, unused
 
 #: Bits of a level for each key that is still without a place.
 ROOM = 2
 #: Code points that are cut at once; also the most pre-tokens of a list.
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: Merged pieces that a worker remembers in each of two generations.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 
 _PRIME, _STEP = np.uint64(0x100000001B3), 0x9E3779B97F4A7C15
 
@@ -298,38 +299,44 @@ def encode_texts(vocabulary: Vocabulary, texts: list[str]) -> tuple[np.ndarray,
     return np.concatenate(ids), total
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids``, an array of the text's token ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
-        flat, n = encode_texts(shared.value, texts.to_pylist())
-        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat))
+def _lists(flat: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat))
 
-    return docs.withColumn("ids", ids(text_or_empty(text)))
 
+def decode_lists(vocabulary: Vocabulary, ids: pa.ListArray) -> pa.Array:
+    """The bytes that each list of ids stands for: tokens are taken one after the other, and cut where lists end."""
+    tokens = vocabulary.by_id.take(ids.flatten())
+    if tokens.null_count:
+        raise ValueError("an id outside the vocabulary")
+    n = np.asarray(ids.value_lengths().fill_null(0))
+    ends = np.frombuffer(tokens.buffers()[1], dtype=np.int64)[: len(tokens) + 1][np.r_[0, np.cumsum(n)]]
+    data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.copy()), tokens.buffers()[2]])
+    return pa.compute.if_else(ids.is_valid(), data, None).cast(pa.binary())
 
-def decoder(spark: SparkSession, vocabulary: Vocabulary):  # noqa: ANN201
-    """A function from a column of ids to a column of the bytes that they stand for."""
-    shared = spark.sparkContext.broadcast(vocabulary)
 
-    @F.arrow_udf("binary")
-    def decoded(ids: pa.Array) -> pa.Array:
-        tokens = shared.value.by_id.take(ids.flatten())
-        if tokens.null_count:
-            raise ValueError("an id outside the vocabulary")
-        n = np.asarray(ids.value_lengths().fill_null(0))
-        ends = np.frombuffer(tokens.buffers()[1], dtype=np.int64)[: len(tokens) + 1][np.r_[0, np.cumsum(n)]]
-        data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.copy()), tokens.buffers()[2]])
-        return pa.compute.if_else(ids.is_valid(), data, None).cast(pa.binary())
+def encode(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text", with_decoded: bool = False) -> DataFrame:
+    """``docs`` with ``ids``, an array of the text's token ids, and, if asked for, ``decoded``, the bytes of these ids."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def column(ids: str | Column) -> Column:
-        return decoded(ids)
+    @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    def run(texts: pa.Array) -> pa.Array:
+        ids = _lists(*encode_texts(shared.value, texts.to_pylist()))
+        decoded = decode_lists(shared.value, ids) if with_decoded else pa.nulls(len(ids), pa.binary())
+        return pa.StructArray.from_arrays([ids, decoded], ["ids", "decoded"])
 
-    return column
+    # marked so that no plan puts it into each projection that uses a part, which would run it once for each
+    names = ["ids", "decoded"][: 1 + with_decoded]
+    out = unused(docs, "out_")[0]
+    made = docs.withColumn(out, run.asNondeterministic()(text_or_empty(text)))
+    return made.select(*[docs[c] for c in docs.columns if c.lower() not in names], *[F.col(out)[c].alias(c) for c in names])
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, *, ids: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``, the bytes of its ids."""
-    return encoded.withColumn("decoded", decoder(encoded.sparkSession, vocabulary)(ids))
+    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
+
+    @F.arrow_udf("binary")
+    def decoded(column: pa.Array) -> pa.Array:
+        return decode_lists(shared.value, column)
+
+    return encoded.withColumn("decoded", decoded(ids))

@@ -73,7 +73,7 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = bpe.Vocabulary.read(tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    out = bpe.decode(bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
+    out = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, with_decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
