@@ -26,11 +26,10 @@ def side_ids(pings: DataFrame, *, min_visits: int = 2, low: float = 0, kept: Dat
 
 
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """total_a, total_b, overlap of two sets of ids, in one grouping."""
-    marked = a.select("ad_id", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select("ad_id", F.lit(0).alias("a"), F.lit(1).alias("b")))
-    per = marked.groupBy("ad_id").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    return per.agg(count("a").alias("total_a"), count("b").alias("total_b"), count(F.col("a") * F.col("b")).alias("overlap"))
+    """total_a, total_b, overlap of two sets of ids, in one join on ids, which tables bucketed by ad_id do without a shuffle."""
+    one = a.filter("ad_id is not null").select("ad_id").distinct().withColumn("a", F.lit(1))
+    met = one.join(b.filter("ad_id is not null").select("ad_id").distinct().withColumn("b", F.lit(1)), "ad_id", "full")
+    return met.agg(F.count("a").alias("total_a"), F.count("b").alias("total_b"), F.count(F.col("a") + F.col("b")).alias("overlap"))
 
 
 def overlap_ids(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.durable import materialize
@@ -18,13 +18,16 @@ def device_day_dwell(at_poi: DataFrame) -> DataFrame:
 
 
 def dwell_between(at_poi: DataFrame, *, low: float | None = None, high: float | None = None) -> DataFrame:
-    """Pings of device-days whose dwell is within the limits, with dwell_minutes."""
-    d = device_day_dwell(at_poi).select("ad_id", "date", "dwell_minutes")
+    """Pings of device-days whose dwell is within the limits, with dwell_minutes.
+
+    A window over each device-day, so that rows are dealt once, and not at all where they lie in buckets by ad_id.
+    """
+    day = Window.partitionBy("ad_id", "date")
+    seconds = seconds_between(F.min("utc_timestamp").over(day), F.max("utc_timestamp").over(day))
+    d = at_poi.withColumn("dwell_minutes", F.round(seconds / 60.0, 1))
     if low is not None:
         d = d.filter(F.col("dwell_minutes") >= low)
-    if high is not None:
-        d = d.filter(F.col("dwell_minutes") <= high)
-    return at_poi.join(d, ["ad_id", "date"])
+    return d if high is None else d.filter(F.col("dwell_minutes") <= high)
 
 
 def whole_minute_days(at_poi: DataFrame, *, low: int = 0, high: int | None = None) -> DataFrame:
