@@ -32,6 +32,31 @@ def cell(x: Column, size: float = CELL_DEG) -> Column:
     return F.floor(x / size).cast("long")
 
 
+def ring_cells(lng: Column, low: Column | float, high: Column | float, size: float) -> Column:
+    """Numbers of the meridian strips, about ``size`` degrees wide, that lie from ``low`` west to ``high`` east of a longitude, each once, around the globe."""
+    n = max(1, int(360 / size))
+    first, last = (F.floor((lng + 180 + d) * (n / 360)).cast("long") for d in (low, high))
+    return F.transform(F.sequence(first, F.least(last, first + (n - 1))), lambda c: F.pmod(c, F.lit(n).cast("long")))
+
+
+def near_cells(lat: Column, lng: Column, reach_km: float) -> tuple[Column, Column]:
+    """Arrays of the cells, south to north and west to east, that may hold what is within reach (on the sphere) of a point.
+
+    A degree of longitude is shorter at a higher latitude, and where the pole is within reach all of them are.
+    """
+    size = reach_km / 111.0
+    up = reach_km / (EARTH_M / 1000) * 180 / 3.141592653589793 * (1 + 1e-9)
+    top = F.abs(lat) + up
+    across = F.when(top >= 90, F.lit(360.0)).otherwise(up / F.cos(F.radians(F.least(top, F.lit(89.999999)))) + 1e-9)
+    return F.sequence(cell(lat - up, size), cell(lat + up, size)), ring_cells(lng, -across, across, size)
+
+
+def own_cell(lat: Column, lng: Column, reach_km: float) -> tuple[Column, Column]:
+    """The cell of a point, as :func:`near_cells` numbers them."""
+    size = reach_km / 111.0
+    return cell(lat, size), ring_cells(lng, 0.0, 0.0, size)[0]
+
+
 def spatial_join(pings: DataFrame, pois: DataFrame, *, radius_m: float = POI_RADIUS_M, lat: str = "lat", lng: str = "lng") -> DataFrame:
     """Pairs of pings and points of interest within the radius, with ``distance_m``.
 
@@ -80,15 +105,13 @@ def gaussian_field(points: DataFrame, sources: DataFrame, *, sigma_km: float, cu
     """``key`` and ``heat`` of each point (id, lat, lng): intensities of sources (lat, lng, intensity), weighted by distance.
 
     Sources further than ``cutoff`` sigmas don't count, so an equi-join on cells of that size, with the points
-    repeated over their neighbours, meets every pair that does. Valid up to 66 degrees of latitude.
+    repeated over the cells within reach at their latitude, meets every pair that does.
     """
     reach_km = sigma_km * cutoff
-    tall = reach_km / 111.0
-    wide = tall * 2.5
-    src = sources.select(F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"), F.col("intensity")).withColumns({"cy_": cell(F.col("s_lat"), tall), "cx_": cell(F.col("s_lng"), wide)})
-    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    pts = points.select(key, "lat", "lng").withColumn("dy_", near).withColumn("dx_", near)
-    pts = pts.withColumns({"py_": cell(F.col("lat"), tall) + F.col("dy_"), "px_": cell(F.col("lng"), wide) + F.col("dx_")})
+    cy, cx = own_cell(F.col("lat"), F.col("lng"), reach_km)
+    src = sources.select(F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"), F.col("intensity"), cy.alias("cy_"), cx.alias("cx_"))
+    ys, xs = near_cells(F.col("lat"), F.col("lng"), reach_km)
+    pts = points.select(key, "lat", "lng").withColumn("py_", F.explode(ys)).withColumn("px_", F.explode(xs))
     d = haversine_km(F.col("lat"), F.col("lng"), F.col("s_lat"), F.col("s_lng"))
     met = pts.join(src, (F.col("py_") == F.col("cy_")) & (F.col("px_") == F.col("cx_"))).withColumn("d_", d).filter(F.col("d_") <= reach_km)
     heat = met.groupBy(key).agg(F.sum(F.col("intensity") * F.exp(-(F.col("d_") * F.col("d_")) / (2 * sigma_km * sigma_km))).alias("heat"))

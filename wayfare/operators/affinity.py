@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import cell, gaussian_field, haversine_km
+from ..functions.geo import gaussian_field, haversine_km, near_cells, own_cell
 from ..functions.numbers import average_rank, clip, half_up
 
 
@@ -116,12 +116,11 @@ def source_zip_affinity(features: DataFrame, population: DataFrame, centroids: D
 def smoothed(rows: DataFrame, *, sigma_km: float = 12.0, cutoff: float = 3.0) -> DataFrame:
     """source, zip, score_smoothed: Gaussian field of devices among the zips of one source, log-normalised in it."""
     reach = sigma_km * cutoff
-    tall = reach / 111.0
-    wide = tall * 2.5
     have = rows.filter("lat is not null and lng is not null")
-    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    src = have.select("source", F.col("lat").alias("b"), F.col("lng").alias("m"), F.col("devices").alias("heat_of"), cell(F.col("lat"), tall).alias("cy"), cell(F.col("lng"), wide).alias("cx"))
-    pts = have.select("source", "zip", "lat", "lng").withColumn("dy", near).withColumn("dx", near).withColumns({"cy": cell(F.col("lat"), tall) + F.col("dy"), "cx": cell(F.col("lng"), wide) + F.col("dx")})
+    cy, cx = own_cell(F.col("lat"), F.col("lng"), reach)
+    src = have.select("source", F.col("lat").alias("b"), F.col("lng").alias("m"), F.col("devices").alias("heat_of"), cy.alias("cy"), cx.alias("cx"))
+    ys, xs = near_cells(F.col("lat"), F.col("lng"), reach)
+    pts = have.select("source", "zip", "lat", "lng").withColumn("cy", F.explode(ys)).withColumn("cx", F.explode(xs))
     met = pts.join(src, ["source", "cy", "cx"]).withColumn("d", haversine_km(F.col("lat"), F.col("lng"), F.col("b"), F.col("m"))).filter(F.col("d") <= reach)
     heat = met.groupBy("source", "zip").agg(F.sum(F.col("heat_of") * F.exp(-(F.col("d") * F.col("d")) / (2 * sigma_km * sigma_km))).alias("heat"))
     return heat.select("source", "zip", log_score(F.round("heat", 9), F.max(F.round("heat", 9)).over(Window.partitionBy("source"))).alias("score_smoothed"))

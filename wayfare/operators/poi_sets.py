@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.durable import append, materialize, new_path
-from ..functions.geo import cell, haversine_m, spatial_join
-from ..sources.schema import METERS_PER_DEG, POI_RADIUS_M
+from ..functions.geo import cell, haversine_m, near_cells, own_cell, spatial_join
+from ..sources.schema import POI_RADIUS_M
 
 
 def target_coordinates(jobs: DataFrame) -> DataFrame:
@@ -22,36 +22,87 @@ def target_coordinates(jobs: DataFrame) -> DataFrame:
     return points.groupBy("poi_lat", "poi_lng").agg(F.min("r").alias("poi_radius_m"))
 
 
-def greedy_distinct(pois: DataFrame, *, radius_m: float = 50.0, most_rounds: int = 2000) -> DataFrame:
+def _stars(edges: DataFrame, large: bool) -> DataFrame:
+    """One contraction step of edges (u > v): every node's larger (or smaller) neighbours are tied to its least one."""
+    flipped = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    sides = edges.unionByName(flipped) if large else edges
+    low = sides.groupBy("u").agg(F.min("v").alias("least")).withColumn("least", F.least("u", "least"))
+    tied = sides.join(low, "u")
+    out = tied.filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")) if large else tied.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(tied.select("u", F.col("least").alias("v")))
+    return out.filter("u > v").distinct()
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """id and component (its least id) of all ids in pairs (id, id2), in rounds that grow with the logarithm of the longest chain."""
+    edges = materialize(pairs.select(F.greatest("id", "id2").alias("u"), F.least("id", "id2").alias("v")).distinct(), "edges")
+    mark = None
+    while True:
+        edges = materialize(_stars(materialize(_stars(edges, True), "stars"), False), "edges")
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == mark:
+            break
+        mark = now
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def _swept(pairs: DataFrame) -> DataFrame:
+    """The removed ids of each component of pairs (component, rank, rank2, id2), taken in order, first before second."""
+    schema = pairs.select("id2").schema
+
+    def sweep(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["rank", "rank2"], kind="stable")
+        gone: dict[int, object] = {}
+        for first, second, name in zip(rows["rank"], rows["rank2"], rows["id2"], strict=True):
+            if first not in gone:
+                gone[second] = name
+        return pd.DataFrame({"id2": list(gone.values())}, dtype=object)
+
+    return pairs.groupBy("component").applyInPandas(sweep, schema).select(F.col("id2").alias("id"))
+
+
+def greedy_distinct(pois: DataFrame, *, radius_m: float = 50.0, rounds: int = 8, sweep_pairs: int = 500_000) -> DataFrame:
     """Places that stay when they are taken by ``position`` and each removes the later ones within the radius.
 
-    Rounds of joins on pairs of near places: in each round a place that is first among its undecided neighbours
-    stays, and removes them. Only near pairs are kept, found by an equi-join on cells. What is undecided is written
-    each round, so that no plan grows; the rounds needed grow with the longest chain of neighbours in rising order,
-    and more than ``most_rounds`` are an error.
+    Near pairs are found by an equi-join on cells. In a round a place that is first among its undecided neighbours
+    stays, and removes them; a few rounds decide nearly all. Long chains of neighbours in rising order would take a
+    round for each link: after ``rounds`` of them, what is undecided is contracted to connected components, and each
+    component of at most ``sweep_pairs`` pairs, which are counted, is swept in order by one task. Larger components go
+    through further rounds. What is undecided is written each round, so that no plan grows.
     """
-    size = radius_m / METERS_PER_DEG * 1.01
+    reach_km = radius_m / 1000 * 1.01
     deg = pois.select("id", "position", "latitude", "longitude")
-    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    wide = size * 2.5
-    a = deg.withColumn("dy", near).withColumn("dx", near).withColumns({"cy": cell(F.col("latitude"), size) + F.col("dy"), "cx": cell(F.col("longitude"), wide) + F.col("dx")})
-    b = deg.select(F.col("id").alias("id2"), F.col("position").alias("p2"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lng2")).withColumns({"by": cell(F.col("lat2"), size), "bx": cell(F.col("lng2"), wide)})
+    ys, xs = near_cells(F.col("latitude"), F.col("longitude"), reach_km)
+    cy, cx = own_cell(F.col("latitude"), F.col("longitude"), reach_km)
+    a = deg.withColumn("cy", F.explode(ys)).withColumn("cx", F.explode(xs))
+    b = deg.select(F.col("id").alias("id2"), F.col("position").alias("p2"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lng2"), cy.alias("by"), cx.alias("bx"))
     pairs = a.join(b, (F.col("cy") == F.col("by")) & (F.col("cx") == F.col("bx")) & (F.struct("position", "id") < F.struct("p2", "id2")))
-    pairs = pairs.filter(haversine_m(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lng2")) <= radius_m).select("id", "id2").distinct()
-    live, path, rounds = materialize(pairs, "near"), new_path(pois.sparkSession, "removed"), 0
-    for _ in range(most_rounds):
-        if live.isEmpty():
-            break
+    pairs = pairs.filter(haversine_m(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lng2")) <= radius_m).select("id", "position", "id2", "p2")
+    live, path, since = materialize(pairs, "near"), new_path(pois.sparkSession, "removed"), 0
+    removed = False
+    while not live.isEmpty():
+        if since == rounds:
+            told = live.join(components(live), "id")
+            sizes = told.groupBy("component").count().filter(F.col("count") <= sweep_pairs).select("component")
+            small = materialize(told.join(sizes, "component", "left_semi"), "small")
+            local = Window.partitionBy("component")
+            # places of a component are numbered in their order, so that a task compares numbers alone
+            places = small.select("component", "id", "position").unionByName(small.select("component", F.col("id2").alias("id"), F.col("p2").alias("position"))).distinct()
+            ranked = places.select("component", "id", F.row_number().over(local.orderBy("position", "id")).alias("rank"))
+            numbered = small.join(ranked, ["component", "id"]).join(ranked.select("component", F.col("id").alias("id2"), F.col("rank").alias("rank2")), ["component", "id2"])
+            append(_swept(numbered.select("component", "rank", "rank2", "id2")).distinct(), path)
+            removed = True
+            live = materialize(live.join(small.select("id").distinct(), "id", "left_anti"), "near")
+            since = 0
+            continue
         # the first of a pair stays if no undecided place comes before it; what it removes is decided
         later = live.select(F.col("id2").alias("id")).distinct()
         gone = append(live.join(later, "id", "left_anti").select(F.col("id2").alias("id")).distinct(), path)
-        rounds += 1
+        removed = True
         # pairs of a removed place, on either side, decide nothing any more; nor do those of one that stays
         left = live.join(later, "id", "left_semi").join(gone, "id", "left_anti").join(gone.withColumnRenamed("id", "id2"), "id2", "left_anti")
-        live = materialize(left.select("id", "id2"), "near")
-    else:
-        raise RuntimeError(f"places were undecided after {most_rounds} rounds")
-    every = pois.sparkSession.read.schema(pois.select("id").schema).parquet(path) if rounds else pois.select("id").limit(0)
+        live = materialize(left.select("id", "position", "id2", "p2"), "near")
+        since += 1
+    every = pois.sparkSession.read.schema(pois.select("id").schema).parquet(path) if removed else pois.select("id").limit(0)
     return pois.join(every, "id", "left_anti").select("id")
 
 
