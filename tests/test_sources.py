@@ -1,6 +1,7 @@
 """Readers and writers: what is written is read, partitions are pruned, columns that files lack are null."""
 
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +87,32 @@ def test_json_and_polygons(spark, tmp_path):
     assert readers.read_json(spark, str(config)).first().asDict() == {"country": "MX", "radius": 200}
 
 
+@pytest.mark.parametrize("split", [300, 1000, 1 << 20])
+@pytest.mark.parametrize("indent", [None, 1])
+def test_features_of_a_split_file(spark, tmp_path, split, indent):
+    """Every feature once, wherever the parts of a file begin: also within strings that hold braces, quotes and the word Feature."""
+    shape = lambda i: {"type": "Polygon", "coordinates": [[[i, 0], [i + 1, 0], [i + 1, 1], [i, 0]]]}
+    odd = ['x"}, {"type": "Feature", "a": [', "plain", "back\\slash\\", "é漢 {[", "}" * 9]
+    features = [{"type": "Feature", "properties": {"id": str(i), "name": odd[i % 5], "n": i}, "geometry": shape(i) if i % 7 else None} for i in range(60)]
+    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "name": "{\"features\": [", "features": features}, indent=indent, ensure_ascii=False))
+    (tmp_path / "b.geojson").write_text(json.dumps({"features": features[:1], "crs": {"type": "name"}}))
+    (tmp_path / "c.geojson").write_text('{"type": "FeatureCollection", "features": []}')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        assert split != 1000 or spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions() > 5
+        rows = readers.read_features(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(int(r["properties"]["id"]) for r in rows) == sorted([*range(60), 0])
+    for r in rows:
+        i = int(r["properties"]["id"])
+        assert r["properties"] == {"id": str(i), "name": odd[i % 5], "n": str(i)}
+        assert (r["geometry"] is None) == (i % 7 == 0) or i == 0
+        if r["geometry"]:
+            assert json.loads(r["geometry"]["coordinates"]) == shape(i)["coordinates"]
+
+
 def test_scratch_tables_are_removed(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(durable, "shared_dir", lambda _: str(tmp_path))
     with durable.scratch(spark):
@@ -96,13 +123,30 @@ def test_scratch_tables_are_removed(spark, tmp_path, monkeypatch):
     assert not list(tmp_path.joinpath("wayfare").iterdir())
 
 
-def test_a_cluster_needs_a_shared_folder():
+def test_scratch_of_another_thread(spark, tmp_path, monkeypatch):
+    """What a second query writes while the first one's scratch is open stays when the first one ends."""
+    monkeypatch.setattr(durable, "shared_dir", lambda _: str(tmp_path))
+    kept = []
+    with durable.scratch(spark):
+        durable.materialize(spark.range(3), "own")
+        other = threading.Thread(target=lambda: kept.append(durable.materialize(spark.range(5), "other")))
+        other.start()
+        other.join()
+    assert [p.name.split("-")[0] for p in tmp_path.joinpath("wayfare").iterdir()] == ["other"]
+    assert kept[0].count() == 5
+
+
+@pytest.mark.parametrize("master", ["spark://somewhere:7077", "local-cluster[3,2,1024]", "yarn"])
+def test_a_cluster_needs_a_shared_folder(master, monkeypatch):
+    monkeypatch.setattr(durable, "_own", {})
+
     class Session:
         class conf:  # noqa: N801
             get = staticmethod(lambda *_: None)
 
         class sparkContext:  # noqa: N801
-            master = "spark://somewhere:7077"
+            pass
 
+    Session.sparkContext.master = master
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         durable.shared_dir(Session)

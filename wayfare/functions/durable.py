@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or _own.get("folder")
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="wayfare-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
@@ -32,17 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Paths of tables written within each open :func:`scratch`.
-_open: list[list[str]] = []
+#: Paths of tables written within the innermost :func:`scratch` that is open in this thread or task.
+_open: ContextVar[list[str] | None] = ContextVar("open_scratch", default=None)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/wayfare/{name}-{uuid.uuid4().hex}"
-    if _open:
-        _open[-1].append(path)
+    if (paths := _open.get()) is not None:
+        paths.append(path)
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that is not needed any more."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def append(df: DataFrame, path: str) -> DataFrame:
     """Add ``df`` to the table at a path and read what was added."""
     part = f"{path}/part={uuid.uuid4().hex}"
@@ -59,11 +67,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables written within are removed at its end: what is needed later is to be written elsewhere, not left lazy."""
-    _open.append([])
+    """Tables that this thread writes within are removed at its end: what is needed later is to be written elsewhere, not left lazy."""
+    paths: list[str] = []
+    token = _open.set(paths)
     try:
         yield
     finally:
-        for path in _open.pop():
-            found = spark._jvm.org.apache.hadoop.fs.Path(path)
-            found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+        _open.reset(token)
+        for path in paths:
+            remove(spark, path)

@@ -26,15 +26,24 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
 
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """properties (strings by name) and geometry (type, and coordinates as JSON) of each feature of GeoJSON collections.
+
+    Large files are read by several tasks, see :mod:`wayfare.sources.geojson`.
+    """
+    from .geojson import features_text
+
+    schema = "type string, properties map<string, string>, geometry struct<type: string, coordinates: string>"
+    return features_text(spark, path).select(F.from_json("feature", schema).alias("f")).filter("f.type = 'Feature'").select("f.properties", "f.geometry")
+
+
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:
     """postal properties and rings (array of rings of [lng, lat]) of each outer shape of GeoJSON collections."""
     point = "array<array<double>>"
-    raw = spark.read.text(path, wholetext=True)
-    schema = "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
-    features = raw.select(F.explode(F.from_json("value", schema)["features"]).alias("f"))
-    one = F.array(F.from_json("f.geometry.coordinates", f"array<{point}>"))
-    many = F.from_json("f.geometry.coordinates", f"array<array<{point}>>")
-    return features.select("f.properties", F.explode(F.when(F.col("f.geometry.type") == "MultiPolygon", many).otherwise(one)).alias("rings"))
+    features = read_features(spark, path)
+    one = F.array(F.from_json("geometry.coordinates", f"array<{point}>"))
+    many = F.from_json("geometry.coordinates", f"array<array<{point}>>")
+    return features.select("properties", F.explode(F.when(F.col("geometry.type") == "MultiPolygon", many).otherwise(one)).alias("rings"))
 
 
 def union_datasets(parts: list[DataFrame]) -> DataFrame:
