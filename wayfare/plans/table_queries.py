@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.durable import new_path
-from ..operators import compare, filters, sketches, visits
+from ..operators import compare, filters, hot_cells, sketches, visits
 from ..sources import readers, tables
 from ..sources.fixtures import Tables
 from ..sources.schema import PINGS
@@ -109,3 +109,9 @@ def sketch_overlap(t: Tables) -> DataFrame:
     near = spatial_join(valid(t), targets(t))
     at = lambda rows: sketches.device_sketches(rows, "category")
     return sketches.set_sizes(at(near.filter(F.hour("utc_timestamp") < 12)), at(near.filter(F.hour("utc_timestamp") >= 12)), "category")
+
+
+@query("SELECT ad_id, utc_timestamp, poi_id, category FROM near WHERE distance <= 200")
+def hot_cell_join(t: Tables) -> DataFrame:
+    """Pings near places, with crowded cells split."""
+    return hot_cells.spatial_join_even(valid(t), targets(t)).select("ad_id", "utc_timestamp", "poi_id", "category")
