@@ -1,7 +1,8 @@
 """Corpus pipeline: quality classifier, line dedup, n-gram Jaccard join, benchmark decontamination, packing.
 
 Each stage calls one operator on all that the stage before kept. Stages are written as Parquet and read again, so
-that a later stage never repeats an earlier one; what a stage writes on its way is removed when it is done.
+that a later stage never repeats an earlier one; what a stage writes on its way is removed when it is done, and what
+it returned when the next one is.
 
 Defined results, beside those of the operators: null and empty texts go where the classifier scores them below its
 threshold; a document that loses all its lines stays with an empty text; n_chars follows the text where the table has
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.llm import decontaminate, jaccard, line_dedup, packing, quality
-from wayfare.llm.common import scratch, shared_dir
+from wayfare.llm.common import remove, scratch, shared_dir
 from wayfare.llm.queries import read, tokenizer_file
 
 
@@ -63,9 +64,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of ``documents``."""
     docs = read(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/wayfare/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         out = f"{folder}/{name}"
         with scratch(spark):
             stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            remove(spark, before)
+        before = out
     return docs

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.durable import materialize, scratch, shared_dir
+from ..functions.durable import materialize, remove, scratch, shared_dir
 
-__all__ = ["LOWER", "SPACE", "SPACES", "materialize", "scratch", "shared_dir", "UPPER", "text_or_empty", "unused", "words"]
+__all__ = ["LOWER", "SPACE", "SPACES", "materialize", "remove", "scratch", "shared_dir", "UPPER", "text_or_empty", "unused", "words"]
 
 #: ASCII white space, `[\x20\x09-\x0D]`.
 SPACE = " \t\n\x0b\f\r"
