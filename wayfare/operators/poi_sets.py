@@ -5,7 +5,6 @@ from __future__ import annotations
 from datetime import date, timedelta
 from math import ceil
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,14 +138,42 @@ def split_plan(first: date, last: date, pois: int, *, most_days: int = 31, most_
     return [(a, b, i * size, min((i + 1) * size, pois)) for a, b in spans for i in range(parts)]
 
 
+#: Edges that a border cell of a shape has, give or take; and how often the cells' width may be halved for that.
+EDGES_IN_CELL, MOST_HALVINGS = 64, 8
+#: Where in a cell its reference point lies: off the middle, where round coordinates are unlikely.
+_AT = 0.51370418
+
+
+def _edges(polygons: DataFrame, step: float) -> DataFrame:
+    """polygon_id, s (width of its cells) and e (ax, ay, bx, by) of each side of each ring."""
+    n_edges = F.aggregate("rings", F.lit(0), lambda n, r: n + F.size(r))
+    halvings = F.ceil(F.log2(F.greatest(n_edges, F.lit(1)) / EDGES_IN_CELL) / 2)
+    s = step / F.pow(F.lit(2.0), F.least(F.greatest(halvings, F.lit(0)), F.lit(MOST_HALVINGS)))
+    rings = polygons.select("polygon_id", s.alias("s"), F.explode("rings").alias("r"))
+    after = lambda r, i: F.element_at(r, F.when(i + 1 == F.size(r), 1).otherwise(i + 2))
+    side = lambda p, i: F.struct(p[0].alias("ax"), p[1].alias("ay"), after(F.col("r"), i)[0].alias("bx"), after(F.col("r"), i)[1].alias("by"))
+    return rings.select("polygon_id", "s", F.explode(F.transform("r", side)).alias("e"))
+
+
+def _x_at(e: Column, y: Column) -> Column:
+    return (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]
+
+
+def _y_at(e: Column, x: Column) -> Column:
+    return (e["by"] - e["ay"]) * (x - e["ax"]) / (e["bx"] - e["ax"]) + e["ay"]
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, *, step: float = 0.1) -> DataFrame:
     """point_id and the polygon (polygon_id, zip, country) that holds each point; of several the one of the smallest box.
 
+    ``polygons`` has rings, an array of rings of [lng, lat]: a point inside an odd number of rings is inside.
+
     Boxes of polygons, without their rings, are repeated over the grid cells that they reach, and points meet them in
-    an equi-join on cells. The exact test takes these candidates together with one row of each polygon's rings: all
-    points of one polygon that come in a batch are tested at once, and a polygon with many points is dealt over
-    several tasks. ``polygons`` has rings, an array of rings of [lng, lat]: a point inside an odd number of rings is
-    inside.
+    an equi-join on cells. For the exact test each polygon has cells of its own, the finer the more sides it has. Where its sides cross
+    the line through the cells' reference points tells whether such a point is inside; and a point is on the same
+    side as its cell's reference point unless an odd number of sides crosses the way between them, upright and then
+    level, which only sides that pass through the cell can. So a point meets the few sides of its own cell, or none,
+    and all of it is built-in functions on rows that are dealt by polygon and cell.
     """
     flat = F.flatten("rings")
     low = lambda i: F.array_min(F.transform(flat, lambda p: p[i]))
@@ -157,37 +184,33 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, *, step: float =
     celled = points.select("point_id", "lat", "lng", cell(F.col("lng"), step).alias("px"), cell(F.col("lat"), step).alias("py"))
     near = celled.join(spread, (F.col("px") == F.col("cx")) & (F.col("py") == F.col("cy")) & F.col("lng").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")))
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    # points of a polygon, some thousand at a time, as one row each
-    near = materialize(near.select("polygon_id", "point_id", "lat", "lng", area.alias("area")), "candidates")
-    deals = near.groupBy("polygon_id").agg(F.ceil(F.count(F.lit(1)) / POINTS_AT_ONCE).alias("deals"))
-    dealt = near.join(deals, "polygon_id").withColumn("deal", F.pmod(F.xxhash64("point_id"), F.col("deals")))
-    grouped = dealt.groupBy("polygon_id", "deal").agg(F.first("area").alias("area"), F.collect_list(F.struct("point_id", "lat", "lng")).alias("points"))
-    tested = grouped.join(polygons.select("polygon_id", "zip", "country", "rings"), "polygon_id")
-
-    @F.pandas_udf("array<boolean>")
-    def inside(lats: pd.Series, lngs: pd.Series, rings: pd.Series) -> pd.Series:
-        return pd.Series([_inside(np.asarray(y, dtype=float), np.asarray(x, dtype=float), r) for y, x, r in zip(lats, lngs, rings, strict=True)])
-
-    marks = inside(F.transform("points", lambda p: p["lat"]), F.transform("points", lambda p: p["lng"]), F.col("rings"))
-    each = tested.select("polygon_id", "zip", "country", "area", F.explode(F.arrays_zip(F.transform("points", lambda p: p["point_id"]).alias("point_id"), marks.alias("held"))).alias("p")).filter("p.held")
-    best = each.groupBy("p.point_id").agg(F.min(F.struct("area", "polygon_id", "zip", "country")).alias("b"))
-    return best.select("point_id", "b.polygon_id", "b.zip", "b.country")
-
 
-#: So many points of one polygon, give or take, are tested together.
-POINTS_AT_ONCE = 4096
-
-
-def _inside(y: np.ndarray, x: np.ndarray, rings: list) -> np.ndarray:
-    """Even-odd rule for many points; sides are taken one by one, so that memory follows the points."""
-    odd = np.zeros(len(y), dtype=bool)
-    for ring in rings:
-        p = np.array([[c[0], c[1]] for c in ring], dtype=float)
-        for (ax, ay), (bx, by) in zip(p, np.roll(p, -1, axis=0), strict=True):
-            across = (ay > y) != (by > y)
-            if across.any():
-                odd[across] ^= x[across] < (bx - ax) * (y[across] - ay) / (by - ay) + ax
-    return odd
+    edges = materialize(_edges(polygons, step), "edges")
+    e, s = F.col("e"), F.col("s")
+    row = lambda y: F.floor(y / s).cast("long")
+    rows = edges.withColumn("cy", F.explode(F.sequence(row(F.least(e["ay"], e["by"]) - 1e-12), row(F.greatest(e["ay"], e["by"]) + 1e-12))))
+    line = (F.col("cy") + _AT) * s
+    crossed = rows.filter((e["ay"] > line) != (e["by"] > line)).groupBy("polygon_id", "cy").agg(F.collect_list(_x_at(e, line)).alias("xs"))
+    # the part of a side within a row of cells, and the columns that it passes through
+    bottom, top = F.col("cy") * s, (F.col("cy") + 1) * s
+    clip = lambda y: F.when(e["ay"] == e["by"], y).otherwise(F.greatest(F.least(y, F.greatest(e["ay"], e["by"])), F.least(e["ay"], e["by"])))
+    ends = [F.when(e["ay"] == e["by"], e[x]).otherwise(_x_at(e, clip(y))) for x, y in (("ax", bottom), ("bx", top))]
+    columns = F.sequence(row(F.least(*ends) - 1e-9), row(F.greatest(*ends) + 1e-9))
+    sides = rows.withColumn("cx", F.explode(columns)).groupBy("polygon_id", "cy", "cx").agg(F.collect_list("e").alias("sides"))
+
+    widths = edges.groupBy("polygon_id").agg(F.first("s").alias("s"))
+    own = near.select("polygon_id", "point_id", "lat", "lng", area.alias("area")).join(widths, "polygon_id")
+    own = own.withColumns({"cy": row(F.col("lat")), "cx": row(F.col("lng"))})
+    met = own.join(crossed, ["polygon_id", "cy"], "left").join(sides, ["polygon_id", "cy", "cx"], "left")
+    x, y, xr, yr = F.col("lng"), F.col("lat"), (F.col("cx") + _AT) * s, (F.col("cy") + _AT) * s
+    beyond = F.size(F.filter(F.coalesce("xs", F.array().cast("array<double>")), lambda v: v > xr))
+    upright = lambda e: ((e["ax"] > xr) != (e["bx"] > xr)) & ((yr < _y_at(e, xr)) != (y < _y_at(e, xr)))
+    level = lambda e: ((e["ay"] > y) != (e["by"] > y)) & ((x < _x_at(e, y)) != (xr < _x_at(e, y)))
+    ways = lambda e: F.when((e["ax"] > xr) != (e["bx"] > xr), upright(e)).otherwise(F.lit(False)).cast("int") + F.when((e["ay"] > y) != (e["by"] > y), level(e)).otherwise(F.lit(False)).cast("int")
+    between = F.when(F.col("sides").isNull(), F.lit(0)).otherwise(F.aggregate("sides", F.lit(0), lambda n, e: n + ways(e)))
+    each = met.filter((beyond + between) % 2 == 1).select("polygon_id", "point_id", "area").join(polygons.select("polygon_id", "zip", "country"), "polygon_id")
+    best = each.groupBy("point_id").agg(F.min(F.struct("area", "polygon_id", "zip", "country")).alias("b"))
+    return best.select("point_id", "b.polygon_id", "b.zip", "b.country")
 
 
 def classified(points: DataFrame, polygons: DataFrame) -> DataFrame:
