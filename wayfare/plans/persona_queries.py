@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import medians
-from ..operators import affinity, compare, personas
+from ..operators import affinity, compare, personas, segments
 from ..sources.fixtures import Tables
 from .homes_queries import ZIP_SQL
 from .registry import query
@@ -175,6 +175,13 @@ def cluster_names(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(k, *v) for k, v in found.items()], "cluster long, name string, description string")
 
 
+@query()
+def persona_segments(t: Tables) -> DataFrame:
+    """Names, profiles and look-alikes of the fitted clusters; an iterative fit has no SQL form, tests hold its parts to plain ones."""
+    out = segments.segments(features(t))
+    return out.select("cluster", "name", "description", "devices", F.round("percent_of_base", 6).alias("percent_of_base"), "peak_hour", "examples", *[f"lookalike_{m}" for m in segments.METHODS])
+
+
 RFM_SQL = FEATURES_SQL + """,
 s AS (SELECT list_sort(list(recency_days)) AS r, list_sort(list(total_visits)) AS f, list_sort(list(total_dwell_min)) AS m, count(*) AS n FROM features),
 scored AS (SELECT CASE WHEN recency_days <= r[n // 3 + 1] THEN 'high' WHEN recency_days <= r[2 * n // 3 + 1] THEN 'mid' ELSE 'low' END AS r, (CASE WHEN total_visits <= f[n // 3 + 1] THEN 1 WHEN total_visits <= f[2 * n // 3 + 1] THEN 2 ELSE 3 END + CASE WHEN total_dwell_min <= m[n // 3 + 1] THEN 1 WHEN total_dwell_min <= m[2 * n // 3 + 1] THEN 2 ELSE 3 END) / 2.0 AS fm, recency_days, total_visits, total_dwell_min FROM features, s),
