@@ -348,6 +348,7 @@ def scorecard(features: DataFrame) -> DataFrame:
     return counts.join(ends).fillna(0.0)
 
 
+# The titles of insights are those of the rule that is reproduced.
 def insights(features: DataFrame, grid: DataFrame, pairs: DataFrame, personas: list[tuple[str, str, int]] = (), *, sources: int = 1) -> list[tuple[str, str, str, str, str]]:
     """(id, title, value, detail, severity) of what stands out; counts are made in one pass, texts on the driver.
 

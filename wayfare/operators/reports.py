@@ -332,6 +332,7 @@ def _hour(h: int) -> str:
     return f"{h % 12 or 12}{'AM' if h < 12 else 'PM'} (local time)"
 
 
+# The wording of the headline, the bullets and the paragraph is that of the report that is reproduced.
 def executive_summary(m: SummaryInput) -> dict[str, str | list[str]]:
     """headline, bullets and paragraph about a report; what is not known is left out. Texts on the driver, from a few numbers."""
     known = lambda *pairs: [text() for value, text in pairs if value is not None]

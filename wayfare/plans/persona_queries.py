@@ -293,7 +293,7 @@ PCT = "floor(greatest(0, least(100, (rank() OVER (PARTITION BY {p} ORDER BY {v})
 ZIP_AFFINITY_SQL = FEATURES_SQL + f""",
 src AS (SELECT * REPLACE ('s' || CAST(substr(ad_id, 2) AS BIGINT) % 2 AS source) FROM features),
 per AS (SELECT source, home_zip AS zip, count(*) AS devices, round(avg(total_dwell_min) * ln(1 + avg(total_visits)), 9) AS loyal, avg(home_lat) AS lat, avg(home_lng) AS lng FROM src WHERE trim(home_zip) <> '' GROUP BY 1, 2),
-far AS (SELECT p.*, population, 2 * 6371 * asin(least(1, sqrt(pow(sin(radians(19.3 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(19.3)) * pow(sin(radians(-99.2 - lng) / 2), 2)))) AS km, sum(devices) OVER (PARTITION BY source) AS every FROM per p LEFT JOIN (SELECT postal_code AS zip, population FROM nse WHERE population >= 5000) n USING (zip)),
+far AS (SELECT p.*, population, 2 * 6371 * asin(least(1, sqrt(pow(sin(radians(19.3 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(19.3)) * pow(sin(radians(-99.2 - lng) / 2), 2)))) AS km, sum(devices) OVER (PARTITION BY source) AS every FROM per p LEFT JOIN (SELECT postal_code AS zip, population FROM nse WHERE population >= 200) n USING (zip)),
 val AS (SELECT *, round(devices / CAST(population AS DOUBLE), 12) AS dense, round(devices / CAST(every AS DOUBLE) / exp(-km / 30), 9) AS over_ FROM far),
 pct AS (SELECT *, {PCT.format(p='source', v='devices')} AS volume_pct, {PCT.format(p='source', v='loyal')} AS loyalty_pct, {PCT.format(p='source', v='over_')} AS lift_pct, CASE WHEN dense IS NOT NULL THEN {PCT.format(p='source, dense IS NULL', v='dense')} END AS density_pct FROM val),
 raw AS (SELECT *, floor(exp((ln(greatest(0.5, volume_pct)) + ln(greatest(0.5, loyalty_pct)) + ln(greatest(0.5, lift_pct)) + CASE WHEN density_pct IS NULL THEN 0 ELSE ln(greatest(0.5, density_pct)) END) / CASE WHEN dense IS NULL THEN 3 ELSE 4 END) + 0.5) AS score_raw FROM pct),
@@ -309,7 +309,7 @@ PERCENTS = ("volume_pct", "density_pct", "loyalty_pct", "lift_pct", "score_raw",
 @query(ZIP_AFFINITY_SQL + "SELECT source, zip, devices, CAST(volume_pct AS BIGINT) AS volume_pct, CAST(density_pct AS BIGINT) AS density_pct, CAST(loyalty_pct AS BIGINT) AS loyalty_pct, CAST(lift_pct AS BIGINT) AS lift_pct, CAST(score_raw AS BIGINT) AS score_raw, CAST(score_smoothed AS BIGINT) AS score_smoothed FROM raw JOIN smooth USING (source, zip)")
 def persona_zip_affinity(t: Tables) -> DataFrame:
     rows = features(t).withColumn("source", F.concat(F.lit("s"), F.substring("ad_id", 2, 6).cast("long") % 2))
-    population = t.nse.filter("population >= 5000").select(F.col("postal_code").alias("zip"), "population")
+    population = t.nse.select(F.col("postal_code").alias("zip"), "population")
     centres = t.spark.createDataFrame([("s0", 19.3, -99.2), ("s1", 19.3, -99.2)], "source string, poi_lat double, poi_lng double")
     out = affinity.source_zip_affinity(rows, population, centres)
     return out.select("source", "zip", "devices", *[F.col(c).cast("long").alias(c) for c in PERCENTS])
