@@ -151,10 +151,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.8, passag
     text = text_or_empty()
     found = windows(docs.select("doc_id", F.xxhash64(text).alias("row"), text.alias("text")), ["doc_id", "row"], size, met=may_hold(cut))
     hits = keyed(found, "doc_id", "row").drop("open")
-    # equal rows give equal windows
-    hits = materialize(hits.filter(may_hold(keys.select(F.col("key").alias("h")))(F.col("key"))).distinct(), "hits")
+    hits = materialize(hits.filter(may_hold(keys.select(F.col("key").alias("h")))(F.col("key"))), "hits")
     pair = ["doc_id", "row", "item_id"]
-    per_key = hits.groupBy("doc_id", "row", "key").agg(F.count("*").alias("doc_times"))
+    # equal rows repeat their positions
+    per_key = hits.groupBy("doc_id", "row", "key").agg(F.size(F.collect_set("at")).cast("long").alias("doc_times"))
     met = per_key.join(bound(keys, n_items), "key").select(*pair, "open", "n_windows", "item_open", F.least("times", "doc_times").alias("n"))
     per_pair = met.groupBy(*pair, "n_windows", "item_open").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("open"), F.col("n"))), F.lit(0)).alias("n_open"))
     candidates = materialize(per_pair.filter(_enough(F.col("n"), F.col("n_open"), share, passage)).select(F.col("doc_id").alias("doc_id_"), F.col("row").alias("row_"), "item_id"), "candidates")
