@@ -1,10 +1,12 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
 import sys
+import zlib
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 from wayfare.llm import decontaminate, jaccard, licenses, line_dedup, packing, pii, quality, rules, secrets, sharding
 from wayfare.llm.queries import tokenizer_file
 
@@ -83,6 +85,35 @@ def test_odd_rows(docs_of, runs, name):
         assert all(r["row_"] == "extra" for r in clashing.collect())
 
 
+def test_values_of_odd_rows(docs_of, runs):
+    """The same rows against the plain forms, row by row."""
+    df = docs_of(ROWS)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0)
+    text = sorted(ROWS, key=lambda r: (r[0] is None, r[0] or 0))
+    counted = sorted(runs["rules"](df).collect(), key=key)
+    assert [tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) for r in counted] == [brute.counts(r[1]) for r in text]
+    dealt = sorted(runs["sharding"](df).collect(), key=key)
+    assert [r["size"] for r in dealt] == [len((r[1] or "").encode()) + 1 for r in text]
+    assert [r["text_crc32"] for r in dealt] == [zlib.crc32((r[1] or "").encode()) for r in text]
+    assert all(r["slot"] == 0 for r in dealt) and len({r["shard"] for r in dealt}) == len(ROWS)
+    tok = Tokenizer.from_file(tokenizer_file())
+    ids = sorted((r[0] is None, r[0] or 0, len(tok.encode(r[1] or "", add_special_tokens=False).ids) + 1) for r in ROWS)
+    pieces = runs["packing"](df).collect()
+    assert sorted((*key(r), r["doc_tokens"]) for r in pieces if r["start"] == 0) == ids
+    assert sum(r["length"] for r in pieces) == sum(n for *_, n in ids)
+    bench = [(i, t) for i, t in BENCH]
+    held = [*ROWS, (20, f"so {BENCH[0][1]} yes", "en", "web"), (20, f"so {BENCH[0][1]} yes", "en", "web"), (None, BENCH[2][1], None, None)]
+    found = {(r["doc_id"], r["item_id"]): r["n_matched"] for r in runs["decontaminate"](docs_of(held)).collect()}
+    assert found == brute.templates([r[:2] for r in held], bench)
+    assert set(found) == {(20, 1), (None, None)}
+    told = [(30, "Released under the MIT License."), (30, "Released under the MIT License."), (None, "Licensed under CC BY 4.0.\nAll rights reserved."), (31, LONG + "\nReleased under CC0 1.0.")]
+    got = sorted(map(tuple, runs["licenses"](docs_of([*ROWS, *told])).collect()), key=str)
+    assert got == sorted(brute.licences(dict.fromkeys([r[:2] for r in ROWS] + told)), key=str) and len(got) == 3
+    redacted = sorted(runs["redact"](df).collect(), key=key)
+    plain = [(r[1] or "") for r in text]
+    assert [r["text"] == t for r, t in zip(redacted, plain, strict=True)] == [not brute.pii(t) for t in plain]
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_empty_table(docs_of, runs, name):
     assert runs[name](docs_of(ROWS).limit(0)).collect() == []
