@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.durable import new_path
-from ..operators import compare, filters, hot_cells, sketches, visits
+from ..operators import compare, filters, hot_cells, semi, sketches, visits
 from ..sources import readers, tables
 from ..sources.fixtures import Tables
 from ..sources.schema import PINGS
@@ -115,3 +115,10 @@ def sketch_overlap(t: Tables) -> DataFrame:
 def hot_cell_join(t: Tables) -> DataFrame:
     """Pings near places, with crowded cells split."""
     return hot_cells.spatial_join_even(valid(t), targets(t)).select("ad_id", "utc_timestamp", "poi_id", "category")
+
+
+@query("SELECT ad_id, date, utc_timestamp FROM pings WHERE ad_id IN (SELECT ad_id FROM at_poi GROUP BY ad_id HAVING count(DISTINCT date) >= 3)")
+def filtered_visitor_pings(t: Tables) -> DataFrame:
+    """All pings of the devices that were at places on three days or more, behind a filter of their ids."""
+    ids = filters.human_ids(at_poi(t), min_days=3)
+    return semi.filtered_semi(valid(t), ids).select("ad_id", "date", "utc_timestamp")
