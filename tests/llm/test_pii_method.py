@@ -81,6 +81,9 @@ def test_calibration():
     assert pii.calibrated([(0.9, 1), (0.5, 1)], 0.9) == 0.5
     assert pii.calibrated([(0.9, 0)], 0.9) > 1
     assert pii.calibrated([], 0.9) > 1
+    rows = [(0.9, 1), (0.8, 1), (0.4, 0), (0.2, 1)]
+    assert pii.lowered(rows, pii.calibrated(rows, 0.9)) == pytest.approx(0.5)
+    assert pii.lowered([(0.9, 1)], 0.9) == 0.9 and pii.lowered([(0.9, 0)], 2.0) == 2.0
 
 
 def test_precision_and_recall_on_planted_spans(spark):
