@@ -94,3 +94,30 @@ def test_one_large_group_in_blocks(docs_of):
     for options in ({"block_docs": 20}, {"block_docs": 20, "small": 1, "max_depth": 4}, {"block_shingles": 500}):
         got = {r["doc_id"]: (r["class_id"], r["copy_id"], r["n_links"]) for r in jaccard.join(docs_of(rows), **options).collect()}
         assert got == want
+
+
+def test_links_by_what_sets_have_apart():
+    rng = np.random.default_rng(5)
+    lead = np.unique(rng.integers(0, 300, 120).astype(np.uint64))
+    sets = [lead] + [np.unique(np.r_[rng.permutation(lead)[: rng.integers(60, len(lead))], rng.integers(0, 400, rng.integers(0, 30)).astype(np.uint64)]) for _ in range(60)]
+    sizes = np.array([len(s) for s in sets], dtype=np.float64)
+    parts = [np.setxor1d(lead, s, assume_unique=True) for s in sets]
+    for threshold in (0.5, 0.7, 0.8):
+        want = {(a, b) for a in range(61) for b in range(a + 1, 61) if (n := len(np.intersect1d(sets[a], sets[b]))) >= threshold * (len(sets[a]) + len(sets[b]) - n) - 1e-9}
+        assert 0 < len(want) < 61 * 30
+        assert set(map(tuple, jaccard._linked_apart(parts, sizes, threshold).tolist())) == want
+        assert set(map(tuple, jaccard._linked(sets, sizes, threshold).tolist())) == want
+
+
+def test_blocks_that_hold_sets_unlike_their_leaders(docs_of):
+    # a chain, each text with another tenth of its words than the one before, so that its ends share nothing
+    rng = random.Random(6)
+    words, rows = [f"w{i}" for i in range(60)], []
+    for d in range(60):
+        words = words[2:] + [f"c{d}-{i}" for i in range(2)]
+        rows += [(2 * d, " ".join(words)), (2 * d + 1, " ".join(words[: rng.randrange(50, 60)]))]
+    rows += [(500, rows[7][1]), (501, rows[7][1]), (501, rows[7][1])]
+    want = brute.near([*rows[:-1]])
+    for options in ({"block_docs": 3}, {"block_shingles": 150}):
+        got = {r["doc_id"]: (r["class_id"], r["copy_id"]) for r in jaccard.join(docs_of(rows), **options).collect()}
+        assert got == {d: v[:2] for d, v in want.items()}

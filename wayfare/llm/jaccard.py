@@ -10,14 +10,16 @@
    The rows of a node are a bucket. Buckets that several trees make of the same members are kept once.
 3. Buckets that share members make a family. A family is compared as a whole if that takes no more rows than its
    buckets do one by one; else a pair that meets in several buckets counts in the first. What is compared is cut
-   into blocks of bounded size, and each pair of blocks is a unit of work: a task streams over sorted units and
-   intersects the sets themselves, so every link is exact. A unit gives out one row a member (its links, and its
-   root among the linked), never pairs.
+   into blocks of bounded size. A task streams over sorted blocks, intersects the sets themselves, so that every
+   link is exact, and passes on what each set has apart from that of the group's leader (or the set, where it is the
+   smaller of the two). Each pair of blocks of a group is then a unit of work on these parts. A unit gives out one row
+   a member (its links, and its root among the linked), never pairs.
 4. Roots are joined to components by rounds of star contraction, each written to the shared folder.
 
-Shuffled are labels (some hundred bytes a document), texts once, and the texts of representatives that share
-a bucket. Work within one group of m different near copies grows with m squared, as the count of its links does,
-but is spread over block pairs; copies cost nothing.
+Shuffled are labels (some hundred bytes a document) and the texts of representatives that share a bucket, once for
+each block they are in; other texts are left out by a broadcast table of bits. Work within one group of m different
+near copies grows with m squared, as the count of its links does, but is spread over block pairs, which move only what
+near copies have apart; copies cost nothing.
 
 Defined results: documents without words (null and empty texts too) have no shingles and no links, and each is its
 own class; texts of fewer than five words are one shingle; rows that repeat an id are documents of their own in
@@ -29,14 +31,17 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.semi import bit_table, may_be_in
 from .common import materialize, text_or_empty, unused, words
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -240,49 +245,135 @@ def _roots(m: int, pairs: np.ndarray) -> np.ndarray:
         root = low
 
 
-def _verify(size: int, threshold: float):  # noqa: ANN202
-    """Streams over units (bucket, i, j), sorted: rows rid, links, root of the members with links."""
-
-    def solve(bucket: int, cross: bool, rows: dict[int, tuple[int, int, list[int], np.ndarray]]) -> pa.RecordBatch:
-        rids = np.array(sorted(rows), dtype=np.int64)
-        block, copies, buckets, hashes = zip(*(rows[r] for r in rids.tolist()), strict=True)
-        sets = [shingle_set(h, size) for h in hashes]
-        pairs = _linked(sets, np.fromiter(map(len, sets), dtype=np.float64, count=len(sets)), threshold)
-        if cross and len(pairs):
-            side = np.array(block)
-            pairs = pairs[side[pairs[:, 0]] != side[pairs[:, 1]]]
-        root = _roots(len(rids), pairs)
-        earlier = [[b for b in own if b < bucket] for own in buckets]
-        if len(pairs) and any(earlier):
-            if len(rids) <= 6:
-                new = [set(earlier[a]).isdisjoint(earlier[b]) for a, b in pairs.tolist()]
-            else:
-                met = _shared([np.array(x, dtype=np.int64) for x in earlier])
-                new = met[pairs[:, 0], pairs[:, 1]] == 0
-            counted = pairs[np.array(new, dtype=bool)]
+def _linked_apart(parts: list[np.ndarray], sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Pairs (a < b) of sets whose index is at least the threshold, by what each set differs in from one and the same set."""
+    own = np.fromiter(map(len, parts), dtype=np.float64, count=len(parts))
+    apart = own[:, None] + own[None, :] - 2 * _shared(parts)
+    total = sizes[:, None] + sizes[None, :]
+    inter = (total - apart) / 2
+    return np.argwhere(np.triu(inter >= threshold * (total - inter) - 1e-9, 1))
+
+
+class Member(NamedTuple):
+    """A row in a unit: its set, or (``whole`` is false) the elements that are in either it or the leader's set but not both."""
+
+    block: int
+    copies: int
+    buckets: list[int]
+    n: int
+    whole: bool
+    part: np.ndarray
+
+
+def _compared(bucket: int, members: dict[int, Member], lead: np.ndarray | None, threshold: float, *, cross: bool) -> dict[str, np.ndarray]:
+    """rid, links and root of the members with links; a link counts in the first bucket in which its two members meet."""
+    rids = np.array(sorted(members), dtype=np.int64)
+    side, copies, buckets, n, whole, parts = zip(*(members[r] for r in rids.tolist()), strict=True)
+    sizes = np.array(n, dtype=np.float64)
+    if any(whole):
+        pairs = _linked([p if w else np.setxor1d(lead, p, assume_unique=True) for w, p in zip(whole, parts, strict=True)], sizes, threshold)
+    else:
+        pairs = _linked_apart(list(parts), sizes, threshold)
+    if cross and len(pairs):
+        at = np.array(side)
+        pairs = pairs[at[pairs[:, 0]] != at[pairs[:, 1]]]
+    root = _roots(len(rids), pairs)
+    earlier = [[b for b in own if b < bucket] for own in buckets]
+    if len(pairs) and any(earlier):
+        if len(rids) <= 6:
+            new = [set(earlier[a]).isdisjoint(earlier[b]) for a, b in pairs.tolist()]
         else:
-            counted = pairs
-        links, weight = np.zeros(len(rids), np.int64), np.array(copies, dtype=np.int64)
-        np.add.at(links, counted[:, 0], weight[counted[:, 1]])
-        np.add.at(links, counted[:, 1], weight[counted[:, 0]])
-        some = np.zeros(len(rids), dtype=bool)
-        some[pairs.ravel()] = True
-        return pa.RecordBatch.from_arrays([pa.array(rids[some]), pa.array(links[some]), pa.array(rids[root[some]])], names=["rid", "links", "root"])
+            met = _shared([np.array(x, dtype=np.int64) for x in earlier])
+            new = met[pairs[:, 0], pairs[:, 1]] == 0
+        counted = pairs[np.array(new, dtype=bool)]
+    else:
+        counted = pairs
+    links, weight = np.zeros(len(rids), np.int64), np.array(copies, dtype=np.int64)
+    np.add.at(links, counted[:, 0], weight[counted[:, 1]])
+    np.add.at(links, counted[:, 1], weight[counted[:, 0]])
+    some = np.zeros(len(rids), dtype=bool)
+    some[pairs.ravel()] = True
+    return {"rid": rids[some], "links": links[some], "root": rids[root[some]]}
+
+
+#: What a streamed block gives out: links found in it, and (of groups of several blocks) its members' parts. The leader's set has block -1.
+LINKS, PARTS = "rid long, links long, root long", "bid long, block int, blocks int, copies long, buckets array<long>, n long, whole boolean, part array<long>"
+
+
+def _lists(batch: pa.RecordBatch, column: str) -> Iterator[np.ndarray]:
+    lists = batch.column(column)
+    flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+    return (flat[a:b].copy() for a, b in itertools.pairwise(ends - ends[0]))
+
+
+def _within(size: int, threshold: float):  # noqa: ANN202
+    """Streams over blocks (bid, block), sorted: links within each one, and parts of the blocks that are to meet others."""
+    long, listed = pa.int64(), pa.list_(pa.int64())
+    kinds = {"rid": long, "links": long, "root": long, "bid": long, "block": pa.int32(), "blocks": pa.int32(), "copies": long, "buckets": listed, "n": long, "whole": pa.bool_(), "part": listed}
+
+    def rows_of(columns: dict[str, object], count: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(count, t) for k, t in kinds.items()], names=list(kinds))
+
+    def solve(unit: tuple[int, int, int], sets: dict[int, tuple[int, list[int], np.ndarray]], lead: tuple[int, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+        bid, block, blocks = unit
+        members = {}
+        for rid, (copies, buckets, s) in sets.items():
+            part = s if lead is None else np.setxor1d(lead[1], s, assume_unique=True)
+            whole = lead is None or len(part) > len(s)
+            members[rid] = Member(block, copies, buckets, len(s), whole, s if whole else part)
+        if len(members) > 1:
+            found = _compared(bid, members, None if lead is None else lead[1], threshold, cross=False)
+            yield rows_of(found, len(found["rid"]))
+        if lead is not None:
+            given = list(members.items())
+            if block == 0:
+                given.append((lead[0], Member(-1, 0, [], len(lead[1]), True, lead[1])))
+            if given:
+                columns = {k: [getattr(m, k) for _, m in given] for k in ("block", "copies", "buckets", "n", "whole")}
+                same = {"bid": [bid] * len(given), "blocks": [blocks] * len(given)}
+                yield rows_of({"rid": [rid for rid, _ in given], **same, **columns, "part": [m.part.view(np.int64) for _, m in given]}, len(given))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, rows = None, {}
+        unit, sets, lead = None, {}, None
         for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("bid", "i", "j", "rid", "block", "copies", "buckets")), strict=True)
-            lists = batch.column("hashes")
-            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-            for at, (bid, i, j, rid, block, copies, buckets) in enumerate(keys):
+            keys = zip(*(batch.column(c).to_pylist() for c in ("bid", "block", "blocks", "leads", "rid", "copies", "buckets")), strict=True)
+            for (bid, block, blocks, leads, rid, copies, buckets), hashes in zip(keys, _lists(batch, "hashes"), strict=True):
+                if (bid, block, blocks) != unit:
+                    if unit:
+                        yield from solve(unit, sets, lead)
+                    unit, sets, lead = (bid, block, blocks), {}, None
+                if leads:
+                    lead = (rid, shingle_set(hashes, size))
+                else:
+                    sets[rid] = (copies, buckets, shingle_set(hashes, size))
+        if unit:
+            yield from solve(unit, sets, lead)
+
+    return run
+
+
+def _across(threshold: float):  # noqa: ANN202
+    """Streams over pairs of blocks (bid, i, j), sorted: links between the two."""
+
+    def solve(bid: int, members: dict[int, Member], lead: np.ndarray) -> pa.RecordBatch:
+        found = _compared(bid, members, lead, threshold, cross=True)
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in found.values()], names=list(found))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, members, lead = None, {}, None
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("bid", "i", "j", "rid", "block", "copies", "buckets", "n", "whole")), strict=True)
+            for (bid, i, j, rid, *known), part in zip(keys, _lists(batch, "part"), strict=True):
                 if (bid, i, j) != unit:
-                    if len(rows) > 1:
-                        yield solve(unit[0], unit[1] != unit[2], rows)
-                    unit, rows = (bid, i, j), {}
-                rows[rid] = (block, copies, buckets, flat[ends[at] - ends[0] : ends[at + 1] - ends[0]].copy())
-        if len(rows) > 1:
-            yield solve(unit[0], unit[1] != unit[2], rows)
+                    if len(members) > 1:
+                        yield solve(unit[0], members, lead)
+                    unit, members, lead = (bid, i, j), {}, None
+                if known[0] < 0:
+                    lead = part.view(np.uint64)
+                else:
+                    members[rid] = Member(*known, part.view(np.uint64))
+        if len(members) > 1:
+            yield solve(unit[0], members, lead)
 
     return run
 
@@ -339,7 +430,7 @@ def buckets_of(reps: DataFrame, *, threshold: float, trees: int, max_depth: int,
 
 
 def placed_rows(members: DataFrame, *, block_docs: int, block_shingles: int) -> DataFrame:
-    """rid, bid (what it is compared in) and blocks of the rows ``members`` (rid, n, key); bids of families are negative."""
+    """rid, bid (what it is compared in), leader (one of its rows) and blocks of the rows ``members`` (rid, n, key); bids of families are negative."""
     blocks = lambda m, n: F.greatest(F.ceil(F.col(m) / block_docs), F.ceil(F.col(n) / block_shingles)).cast("int")
     mark = F.xxhash64("rid")
     full = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"), F.bit_xor(mark).alias("x"), F.sum(mark.cast("decimal(20,0)")).alias("s"), F.min("rid").alias("leader")).filter("m > 1")
@@ -351,8 +442,40 @@ def placed_rows(members: DataFrame, *, block_docs: int, block_shingles: int) ->
     whole = placed.select("rid", "n").distinct().join(family, "rid").groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
     whole = materialize(whole.join(apart, "family").select("family", "m", blocks("m", "shingles").alias("whole"), (F.col("m") * blocks("m", "shingles") <= F.col("apart")).alias("at_once")), "families")
     dealt = join_by_group(placed.join(family, "rid"), whole, "family")
-    at_once = dealt.filter("at_once").select("rid", (-1 - F.col("family")).alias("bid"), F.col("whole").alias("blocks")).distinct()
-    return materialize(at_once.unionByName(dealt.filter("not at_once").select("rid", "bid", "blocks")), "placed")
+    at_once = dealt.filter("at_once").select("rid", (-1 - F.col("family")).alias("bid"), F.col("family").alias("leader"), F.col("whole").alias("blocks")).distinct()
+    return materialize(at_once.unionByName(dealt.filter("not at_once").select("rid", "bid", "leader", "blocks")), "placed")
+
+
+def links_of(docs: DataFrame, reps: DataFrame, placed: DataFrame, *, size: int, threshold: float) -> DataFrame:
+    """rid, links, root of the representatives that have links, in a row for each unit that finds some.
+
+    Texts go once to the blocks they are in, with their group's leader. There they become sets, of which a group of
+    several blocks passes on only what is not as in the leader's; pairs of blocks compare these parts.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = placed.groupBy("rid").agg(F.sort_array(F.collect_list("bid")).alias("buckets"))  # one for each tree at most
+    block = F.pmod(F.xxhash64("rid", "bid"), F.col("blocks")).cast("int")
+    members = placed.join(own, "rid").select("rid", "bid", "blocks", block.alias("block"), "buckets", F.lit(False).alias("leads"))
+    none = F.array().cast("array<long>")
+    leaders = placed.filter("blocks > 1").select(F.col("leader").alias("rid"), "bid", "blocks").distinct().select("rid", "bid", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), none.alias("buckets"), F.lit(True).alias("leads"))
+    at = F.struct("doc_id", "row")
+    known = members.unionByName(leaders).join(reps.select("rid", at.alias("at"), "copies"), "rid")
+    # texts without a partner go before they are shuffled; repeated rows are one here
+    wanted = reps.join(placed.select("rid").distinct(), "rid").select(F.xxhash64(at).alias("mark"))
+    rows = docs.select("doc_id", text_or_empty().alias("text")).select(F.struct("doc_id", F.xxhash64("text").alias("row")).alias("at"), "text")
+    text = may_be_in(rows.withColumn("mark", F.xxhash64("at")), *bit_table(wanted, "mark"), "mark").select("at", "text").dropDuplicates(["at"])
+    dealt = text.join(known, "at").select("bid", "block", "blocks", "leads", "rid", "copies", "buckets", "text")
+    streamed = dealt.repartition(parts, "bid", "block").sortWithinPartitions("bid", "block")
+    hashed = streamed.select("bid", "block", "blocks", "leads", "rid", "copies", "buckets", _word_hashes().alias("hashes"))
+    found = materialize(hashed.mapInArrow(_within(size, threshold), f"{LINKS}, {PARTS}"), "links")
+    open_ = found.filter("part is not null").drop("links", "root")
+    pair = ["bid", "i", "j"]
+    first, second = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    met = open_.filter("block >= 0").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).filter("other != block").select("*", first, second).drop("other")
+    led = open_.filter("block < 0").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 2)).alias("i")).select("*", F.explode(F.sequence(F.col("i") + 1, F.col("blocks") - 1)).alias("j"))
+    units = met.unionByName(led).select(*pair, "rid", "block", "copies", "buckets", "n", "whole", "part")
+    across = units.repartition(parts, *pair).sortWithinPartitions(*pair).mapInArrow(_across(threshold), LINKS)
+    return found.filter("part is null").select("rid", "links", "root").unionByName(materialize(across, "links"))
 
 
 def join(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, trees: int = 16, max_depth: int = 6, recall: float = 0.9995, small: int = 4, block_docs: int = 200, block_shingles: int = 400_000, seed: int = 1) -> DataFrame:
@@ -367,18 +490,7 @@ def join(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, trees: int =
     reps = materialize(same.select(F.monotonically_increasing_id().alias("rid"), "f1", "f2", "copies", "r.doc_id", "r.row", "r.n", "r.labels"), "representatives")
     members = buckets_of(reps, threshold=threshold, trees=trees, max_depth=max_depth, recall=recall, small=small)
     placed = placed_rows(members, block_docs=block_docs, block_shingles=block_shingles)
-    own = placed.groupBy("rid").agg(F.sort_array(F.collect_list("bid")).alias("buckets"))  # one for each tree at most
-    block = F.pmod(F.xxhash64("rid", "bid"), F.col("blocks")).cast("int")
-    units = placed.withColumn("block", block).select("rid", "bid", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    units = units.select("rid", "bid", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    known = units.join(own, "rid").join(reps.select("rid", F.struct("doc_id", "row").alias("at"), "copies"), "rid")
-    # repeated rows are one here
-    text = docs.select("doc_id", text_or_empty().alias("text")).select(F.struct("doc_id", F.xxhash64("text").alias("row")).alias("at"), "text").dropDuplicates(["at"])
-    dealt = text.join(known, "at")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    streamed = dealt.select("bid", "i", "j", "rid", "block", "copies", "buckets", "text").repartition(parts, "bid", "i", "j").sortWithinPartitions("bid", "i", "j")
-    hashed = streamed.select("bid", "i", "j", "rid", "block", "copies", "buckets", _word_hashes().alias("hashes"))
-    found = materialize(hashed.mapInArrow(_verify(size, threshold), "rid long, links long, root long"), "links")
+    found = links_of(docs, reps, placed, size=size, threshold=threshold)
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))
     root = components(found.select(F.col("rid").alias("a"), F.col("root").alias("b")))
     grouped = reps.select("rid", "f1", "f2", "copies", F.col("doc_id").alias("copy_id")).join(links, "rid", "left").join(root, F.col("rid") == F.col("node"), "left")
