@@ -57,13 +57,13 @@ def own_cell(lat: Column, lng: Column, reach_km: float) -> tuple[Column, Column]
     return cell(lat, size), ring_cells(lng, 0.0, 0.0, size)[0]
 
 
-#: Rows of points by cell that are broadcast at most, some ten megabytes. They are counted, as the planner's estimate of a side doesn't know how many cells a point is repeated over.
+#: Rows of points by cell that may be broadcast, some ten megabytes. They are counted, as the planner's estimate of a side doesn't know how many cells a point is repeated over.
 MOST_BROADCAST = 100_000
 
 
-def broadcast_if_few(spread: DataFrame, n: int, *, most: int = MOST_BROADCAST) -> DataFrame:
-    """``spread``, of ``n`` rows, to be broadcast while these are few and to be shuffled beyond that, whatever the planner takes its size for."""
-    return F.broadcast(spread) if n <= most else spread.hint("merge")
+def shuffled_if_many(spread: DataFrame, n: int, *, most: int = MOST_BROADCAST) -> DataFrame:
+    """``spread``, of ``n`` rows: left to the planner while these are few, and shuffled beyond that, whatever the planner takes its size for."""
+    return spread if n <= most else spread.hint("merge")
 
 
 def spatial_join(pings: DataFrame, pois: DataFrame, *, radius_m: float = POI_RADIUS_M, lat: str = "lat", lng: str = "lng") -> DataFrame:
@@ -71,8 +71,8 @@ def spatial_join(pings: DataFrame, pois: DataFrame, *, radius_m: float = POI_RAD
 
     An equi-join on grid cells: each point is repeated over the cells that its own radius reaches from where it lies
     (a degree of longitude is shorter at a higher latitude; at the poles all of them are reached), and the true
-    distance is the rest of the condition. The points' cells are counted; up to :data:`MOST_BROADCAST` of them are
-    broadcast, beyond that both sides are shuffled by cell, so that what the driver holds is bounded. ``pois`` needs
+    distance is the rest of the condition. The points' cells are counted: beyond :data:`MOST_BROADCAST` of them both
+    sides are shuffled by cell, so that what the driver holds is bounded; below that the planner broadcasts small ones. ``pois`` needs
     poi_lat and poi_lng, and may have its own poi_radius_m.
     """
     reach = F.coalesce(F.col("poi_radius_m"), F.lit(radius_m)) if "poi_radius_m" in pois.columns else F.lit(radius_m)
@@ -82,7 +82,7 @@ def spatial_join(pings: DataFrame, pois: DataFrame, *, radius_m: float = POI_RAD
     cells = lambda c, deg: F.sequence(cell(F.col(c) - deg - 1e-9), cell(F.col(c) + deg + 1e-9))
     ys, xs = cells("poi_lat", up), cells("poi_lng", across)
     n = pois.agg(F.sum(F.size(ys) * F.size(xs))).first()[0] or 0
-    spread = broadcast_if_few(pois.withColumn("cy_", F.explode(ys)).withColumn("cx_", F.explode(xs)), n)
+    spread = shuffled_if_many(pois.withColumn("cy_", F.explode(ys)).withColumn("cx_", F.explode(xs)), n)
     celled = pings.withColumns({"py_": cell(F.col(lat)), "px_": cell(F.col(lng))})
     distance = planar_m(F.col(lat), F.col(lng), F.col("poi_lat"), F.col("poi_lng"))
     met = celled.join(spread, (F.col("py_") == F.col("cy_")) & (F.col("px_") == F.col("cx_")) & (distance <= reach))
