@@ -14,3 +14,16 @@ def test_many_cells_are_not_broadcast(spark):
     assert met.filter("own = poi_id").count() == 40
     few = geo.spatial_join(pings, pois.filter("poi_id < 1000"), radius_m=900.0)
     assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_chain_takes_a_round_for_each_block(spark, monkeypatch):
+    from wayfare.operators import poi_sets
+
+    # a street of places in rising order, each within reach of the next two, in eight blocks: it took a round for every third place
+    n = 3000
+    street = spark.range(n).select("id", F.col("id").alias("position"), F.lit(0.0).alias("latitude"), (F.col("id") * 0.0002).alias("longitude"))
+    rounds = []
+    monkeypatch.setattr(poi_sets, "append", lambda df, path, f=poi_sets.append: rounds.append(1) or f(df, path))
+    got = sorted(r["id"] for r in poi_sets.greedy_distinct(street, radius_m=50.0, sweep_pairs=750).collect())
+    assert got == list(range(0, n, 3))
+    assert len(rounds) <= 12

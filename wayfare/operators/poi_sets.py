@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import date, timedelta
 from math import ceil
 
@@ -21,88 +22,85 @@ def target_coordinates(jobs: DataFrame) -> DataFrame:
     return points.groupBy("poi_lat", "poi_lng").agg(F.min("r").alias("poi_radius_m"))
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One contraction step of edges (u > v): every node's larger (or smaller) neighbours are tied to its least one."""
-    flipped = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    sides = edges.unionByName(flipped) if large else edges
-    low = sides.groupBy("u").agg(F.min("v").alias("least")).withColumn("least", F.least("u", "least"))
-    tied = sides.join(low, "u")
-    out = tied.filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")) if large else tied.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(tied.select("u", F.col("least").alias("v")))
-    return out.filter("u > v").distinct()
+def shuffled(rows: DataFrame) -> DataFrame:
+    """``rows`` as a side of a join that is shuffled: written tables take far less than the planner's limit for broadcasts in files, and far more in the driver's memory."""
+    return rows.hint("merge")
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """id and component (its least id) of all ids in pairs (id, id2), in rounds that grow with the logarithm of the longest chain."""
-    edges = materialize(pairs.select(F.greatest("id", "id2").alias("u"), F.least("id", "id2").alias("v")).distinct(), "edges")
-    mark = None
-    while True:
-        edges = materialize(_stars(materialize(_stars(edges, True), "stars"), False), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-
-
-def _swept(pairs: DataFrame) -> DataFrame:
-    """The removed ids of each component of pairs (component, rank, rank2, id2), taken in order, first before second."""
-    schema = pairs.select("id2").schema
-
-    def sweep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["rank", "rank2"], kind="stable")
-        gone: dict[int, object] = {}
-        for first, second, name in zip(rows["rank"], rows["rank2"], rows["id2"], strict=True):
-            if first not in gone:
-                gone[second] = name
-        return pd.DataFrame({"id2": list(gone.values())}, dtype=object)
-
-    return pairs.groupBy("component").applyInPandas(sweep, schema).select(F.col("id2").alias("id"))
+def _swept(dealt: DataFrame, schema: str) -> DataFrame:
+    """The removed ids (id) that blocks of pairs (here, id, id2, first_here), sorted by block and by the order of the first, can tell.
 
+    What comes first and lies in another block may yet be removed, so that what it would remove is in doubt, and so is
+    what hangs on that. A block's task holds the ids that are removed or in doubt, not its pairs.
+    """
 
-def greedy_distinct(pois: DataFrame, *, radius_m: float = 50.0, rounds: int = 8, sweep_pairs: int = 500_000) -> DataFrame:
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, gone, doubt = None, set(), set()
+        for rows in batches:
+            found = []
+            for here, first, second, own in zip(rows["here"], rows["id"], rows["id2"], rows["first_here"], strict=True):
+                if here != block:
+                    block, gone, doubt = here, set(), set()
+                if first in gone:
+                    continue
+                if not own or first in doubt:
+                    doubt.add(second)
+                elif second not in gone:
+                    gone.add(second)
+                    found.append(second)
+            yield pd.DataFrame({"id": found}, dtype=object)
+
+    return dealt.mapInPandas(sweep, schema)
+
+
+def _blocks(live: DataFrame, sweep_pairs: int) -> tuple[DataFrame, int]:
+    """``live`` with the block of each side, which are ranges of cells with about ``sweep_pairs`` pairs each, and the number of blocks."""
+    n = max(1, ceil(live.count() / sweep_pairs))
+    spots = live.select("cx", "cy").unionByName(live.select(F.col("cx2").alias("cx"), F.col("cy2").alias("cy")))
+    cells = spots.repartitionByRange(n, "cx", "cy").select("cx", "cy", F.spark_partition_id().alias("block")).distinct()
+    cells = materialize(cells, "blocks")
+    second = cells.toDF("cx2", "cy2", "block2")
+    return materialize(live.join(shuffled(cells), ["cx", "cy"]).join(shuffled(second), ["cx2", "cy2"]).select("id", "position", "id2", "block", "block2"), "near"), n
+
+
+def greedy_distinct(pois: DataFrame, *, radius_m: float = 50.0, rounds: int = 1, sweep_pairs: int = 500_000) -> DataFrame:
     """Places that stay when they are taken by ``position`` and each removes the later ones within the radius.
 
     Near pairs are found by an equi-join on cells. In a round a place that is first among its undecided neighbours
-    stays, and removes them; a few rounds decide nearly all. Long chains of neighbours in rising order would take a
-    round for each link: after ``rounds`` of them, what is undecided is contracted to connected components, and each
-    component of at most ``sweep_pairs`` pairs, which are counted, is swept in order by one task. Larger components go
-    through further rounds. What is undecided is written each round, so that no plan grows.
+    stays, and removes them; a few rounds decide nearly all where the order is unlike the map. Chains of neighbours in
+    rising order would take a round for each link: after ``rounds`` of them, cells are put into blocks of about
+    ``sweep_pairs`` pairs, which are counted, and in each further round a task takes a block's pairs in order, as a
+    stream, and decides all that doesn't hang on another block. A chain then takes a round for each block that it
+    passes through. What is undecided is written each round, so that no plan grows. No side is broadcast: places and
+    removed ones are as many as the catalogue's rows.
     """
     reach_km = radius_m / 1000 * 1.01
     deg = pois.select("id", "position", "latitude", "longitude")
     ys, xs = near_cells(F.col("latitude"), F.col("longitude"), reach_km)
     cy, cx = own_cell(F.col("latitude"), F.col("longitude"), reach_km)
-    a = deg.withColumn("cy", F.explode(ys)).withColumn("cx", F.explode(xs))
-    b = deg.select(F.col("id").alias("id2"), F.col("position").alias("p2"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lng2"), cy.alias("by"), cx.alias("bx"))
-    pairs = a.join(b, (F.col("cy") == F.col("by")) & (F.col("cx") == F.col("bx")) & (F.struct("position", "id") < F.struct("p2", "id2")))
-    pairs = pairs.filter(haversine_m(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lng2")) <= radius_m).select("id", "position", "id2", "p2")
-    live, path, since = materialize(pairs, "near"), new_path(pois.sparkSession, "removed"), 0
-    removed = False
+    a = deg.withColumns({"cy": cy, "cx": cx}).withColumn("ny", F.explode(ys)).withColumn("nx", F.explode(xs))
+    b = deg.select(F.col("id").alias("id2"), F.col("position").alias("p2"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lng2"), cy.alias("cy2"), cx.alias("cx2"))
+    pairs = a.join(shuffled(b), (F.col("ny") == F.col("cy2")) & (F.col("nx") == F.col("cx2")) & (F.struct("position", "id") < F.struct("p2", "id2")))
+    pairs = pairs.filter(haversine_m(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lng2")) <= radius_m).select("id", "position", "id2", "cx", "cy", "cx2", "cy2")
+    live, path = materialize(pairs, "near"), new_path(pois.sparkSession, "removed")
+    schema, done, blocks = pois.select("id").schema, 0, 0
     while not live.isEmpty():
-        if since == rounds:
-            told = live.join(components(live), "id")
-            sizes = told.groupBy("component").count().filter(F.col("count") <= sweep_pairs).select("component")
-            small = materialize(told.join(sizes, "component", "left_semi"), "small")
-            local = Window.partitionBy("component")
-            # places of a component are numbered in their order, so that a task compares numbers alone
-            places = small.select("component", "id", "position").unionByName(small.select("component", F.col("id2").alias("id"), F.col("p2").alias("position"))).distinct()
-            ranked = places.select("component", "id", F.row_number().over(local.orderBy("position", "id")).alias("rank"))
-            numbered = small.join(ranked, ["component", "id"]).join(ranked.select("component", F.col("id").alias("id2"), F.col("rank").alias("rank2")), ["component", "id2"])
-            append(_swept(numbered.select("component", "rank", "rank2", "id2")).distinct(), path)
-            removed = True
-            live = materialize(live.join(small.select("id").distinct(), "id", "left_anti"), "near")
-            since = 0
-            continue
-        # the first of a pair stays if no undecided place comes before it; what it removes is decided
-        later = live.select(F.col("id2").alias("id")).distinct()
-        gone = append(live.join(later, "id", "left_anti").select(F.col("id2").alias("id")).distinct(), path)
-        removed = True
+        if done < rounds:
+            # the first of a pair stays if no undecided place comes before it; what it removes is decided
+            later = live.select(F.col("id2").alias("id")).distinct()
+            found = live.join(shuffled(later), "id", "left_anti").select(F.col("id2").alias("id"))
+        else:
+            if not blocks:
+                live, blocks = _blocks(live, sweep_pairs)
+            sides = live.withColumn("here", F.explode(F.array_distinct(F.array("block", "block2"))))
+            sides = sides.select("here", "position", "id", "id2", (F.col("here") == F.col("block")).alias("first_here"))
+            found = _swept(sides.repartition(blocks, "here").sortWithinPartitions("here", "position", "id"), schema)
+        gone = append(found.distinct(), path)
+        done += 1
         # pairs of a removed place, on either side, decide nothing any more; nor do those of one that stays
-        left = live.join(later, "id", "left_semi").join(gone, "id", "left_anti").join(gone.withColumnRenamed("id", "id2"), "id2", "left_anti")
-        live = materialize(left.select("id", "position", "id2", "p2"), "near")
-        since += 1
-    every = pois.sparkSession.read.schema(pois.select("id").schema).parquet(path) if removed else pois.select("id").limit(0)
-    return pois.join(every, "id", "left_anti").select("id")
+        live = materialize(live.join(shuffled(gone), "id", "left_anti").join(shuffled(gone.withColumnRenamed("id", "id2")), "id2", "left_anti").select(*live.columns), "near")
+    every = pois.sparkSession.read.schema(schema).parquet(path) if done else pois.select("id").limit(0)
+    return pois.join(shuffled(every), "id", "left_anti").select("id")
 
 
 def best_match(queries: DataFrame, candidates: DataFrame, *, radius_m: float = 100.0, bonus: float = 50.0) -> DataFrame:
