@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.durable import materialize
 from ..functions.geo import as_targets
 from ..functions.numbers import medians
 from ..operators import homes, reports, visits
@@ -288,7 +289,7 @@ UNION ALL SELECT 4, '**Adjacent behavior**: the top destination category within
 @query(_summary_sql())
 def executive_summary(t: Tables) -> DataFrame:
     """Sentences made on the driver from a few numbers."""
-    rows = at_poi(t)
+    rows = materialize(at_poi(t), "at_poi")  # met once, as each number is a job of its own
     n = rows.agg(F.count(F.lit(1)).alias("pings"), F.countDistinct("ad_id").alias("devices"), F.countDistinct("ad_id", "date").alias("days"), F.min("date").alias("a"), F.max("date").alias("b"), F.count_if(F.weekday("utc_timestamp") >= 5).alias("weekend")).first()
     share = lambda x: 100 * x / n["pings"]
     top = lambda df, *order: df.orderBy(*order).first()
@@ -298,7 +299,7 @@ def executive_summary(t: Tables) -> DataFrame:
     days = visits.device_day_dwell(rows)
     per = days.groupBy("ad_id").agg(F.count(F.lit(1)).alias("k"))
     often = per.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") >= 3).alias("again")).first()
-    near = mob(t).groupBy("category").agg(F.sum("hits").alias("n"))
+    near = materialize(reports.mobility(valid(t), reports.visit_times(rows), catalogue(t)).groupBy("category").agg(F.sum("hits").alias("n")), "near")
     c = top(near, F.desc("n"), F.desc("category"))
     summary = reports.executive_summary(
         reports.SummaryInput(
