@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.durable import materialize
 from ..functions.numbers import medians
 from ..operators import affinity, compare, personas, segments
 from ..sources.fixtures import Tables
@@ -37,7 +38,8 @@ def brand_table(t: Tables) -> DataFrame:
 
 
 def features(t: Tables) -> DataFrame:
-    return personas.device_features(valid(t), at_poi(t), brand_table(t), LAST_DAY, source="all", exact=True)
+    """Written once: what follows looks at them several times, and pings meet places a single time."""
+    return materialize(personas.device_features(valid(t), at_poi(t), brand_table(t), LAST_DAY, source="all", exact=True), "features")
 
 
 ROUNDED = ("total_dwell_min", "avg_dwell_min", "morning_share", "midday_share", "afternoon_share", "evening_share", "night_share", "weekend_share", "friday_evening_share", "gyration_km", "home_lat", "home_lng", "gps_share", "avg_circle_score", "brand_loyalty_hhi")
