@@ -143,6 +143,29 @@ def test_fences_follow_their_group(docs_of):
     assert sum(kept[r[0]] for r in rows) == len(rows)
 
 
+def test_each_fence_rejects_what_the_base_leaves(docs_of):
+    """A third of repeated words or lines is far out where none repeat, and usual where most do; the base rule takes both."""
+    rng = random.Random(9)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    def triples(share):
+        again = fresh(3)
+        return " ".join(w for _ in range(round(share * 100)) for w in [*again, *fresh(1)]) + " " + " ".join(fresh(300 - 4 * round(share * 100)))
+
+    def lines(share):
+        again = fresh(2)
+        return "\n".join([" ".join(again)] * (1 + round(share * 100)) + [" ".join(fresh(9)) for _ in range(99 - round(share * 100))])
+
+    rows = [(i, " ".join(fresh(300)), "en", "news") for i in range(120)]
+    rows += [(1000 + i, triples(rng.uniform(0.2, 0.35)), "en", "songs") for i in range(120)]
+    rows += [(2000 + i, lines(rng.uniform(0.2, 0.4)), "en", "lists") for i in range(120)]
+    odd = [(3000, triples(0.33), "en", "news"), (3001, lines(0.4), "en", "news"), (3002, triples(0.33), "en", "songs"), (3003, lines(0.4), "en", "lists")]
+    got = {r["doc_id"]: r for r in rules.judge(docs_of([*rows, *odd])).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert [got[i]["kept"] for i, *_ in odd] == [False, False, True, True]
+    assert all(got[r[0]]["kept"] for r in rows)
+
+
 def plain_fences(rows, reach=6.0, least_docs=100):
     """{(lang, source): {share: fence}} from bins of 1/4096."""
     groups = defaultdict(list)
