@@ -66,6 +66,33 @@ def shuffled_if_many(spread: DataFrame, n: int, *, most: int = MOST_BROADCAST) -
     return spread if n <= most else spread.hint("merge")
 
 
+def _reached(pois: DataFrame, radius_m: float) -> tuple[Column, Column, Column]:
+    """The radius of each point and the arrays of the cells, south to north and west to east, that it reaches."""
+    reach = F.coalesce(F.col("poi_radius_m"), F.lit(radius_m)) if "poi_radius_m" in pois.columns else F.lit(radius_m)
+    up = reach / METERS_PER_DEG
+    # the distance takes the cosine at the middle latitude, which is at most half the radius nearer to the pole
+    across = up / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("poi_lat")) + up, F.lit(90.0)))), F.lit(1e-3))
+    cells = lambda c, deg: F.sequence(cell(F.col(c) - deg - 1e-9), cell(F.col(c) + deg + 1e-9))
+    return reach, cells("poi_lat", up), cells("poi_lng", across)
+
+
+def among(pois: DataFrame, pings: DataFrame, *, radius_m: float = POI_RADIUS_M, lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """The points that may lie within reach of a ping: those that reach the box of the pings' cells.
+
+    Beyond :data:`MOST_BROADCAST` cells the pings are read once more for the box, which is four numbers; points that
+    lie elsewhere would else be shuffled and sorted with the pings. While there are fewer, all of them are returned.
+    """
+    _, ys, xs = _reached(pois, radius_m)
+    n = pois.agg(F.sum(F.size(ys) * F.size(xs))).first()[0] or 0
+    if n <= MOST_BROADCAST:
+        return pois
+    south, north, west, east = pings.select(cell(F.col(lat)).alias("y"), cell(F.col(lng)).alias("x")).agg(F.min("y"), F.max("y"), F.min("x"), F.max("x")).first()
+    if south is None or west is None:
+        return pois.limit(0)
+    meets = lambda cells, low, high: (F.get(cells, 0) <= high) & (F.get(cells, F.size(cells) - 1) >= low)
+    return pois.filter(meets(ys, south, north) & meets(xs, west, east))
+
+
 def spatial_join(pings: DataFrame, pois: DataFrame, *, radius_m: float = POI_RADIUS_M, lat: str = "lat", lng: str = "lng") -> DataFrame:
     """Pairs of pings and points of interest within the radius, with ``distance_m``.
 
@@ -75,12 +102,7 @@ def spatial_join(pings: DataFrame, pois: DataFrame, *, radius_m: float = POI_RAD
     sides are shuffled by cell, so that what the driver holds is bounded; below that the planner broadcasts small ones. ``pois`` needs
     poi_lat and poi_lng, and may have its own poi_radius_m.
     """
-    reach = F.coalesce(F.col("poi_radius_m"), F.lit(radius_m)) if "poi_radius_m" in pois.columns else F.lit(radius_m)
-    up = reach / METERS_PER_DEG
-    # the distance takes the cosine at the middle latitude, which is at most half the radius nearer to the pole
-    across = up / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("poi_lat")) + up, F.lit(90.0)))), F.lit(1e-3))
-    cells = lambda c, deg: F.sequence(cell(F.col(c) - deg - 1e-9), cell(F.col(c) + deg + 1e-9))
-    ys, xs = cells("poi_lat", up), cells("poi_lng", across)
+    reach, ys, xs = _reached(pois, radius_m)
     n = pois.agg(F.sum(F.size(ys) * F.size(xs))).first()[0] or 0
     spread = shuffled_if_many(pois.withColumn("cy_", F.explode(ys)).withColumn("cx_", F.explode(xs)), n)
     celled = pings.withColumns({"py_": cell(F.col(lat)), "px_": cell(F.col(lng))})
@@ -96,13 +118,13 @@ def as_targets(pois: DataFrame, *extra: str) -> DataFrame:
 
 def at_poi_pings(pings: DataFrame, targets: DataFrame, *, radius_m: float = POI_RADIUS_M) -> DataFrame:
     """Distinct ad_id, date, utc_timestamp, lat, lng of pings within reach of any target."""
-    return spatial_join(pings, targets, radius_m=radius_m).select("ad_id", "date", "utc_timestamp", "lat", "lng").distinct()
+    return spatial_join(pings, among(targets, pings, radius_m=radius_m), radius_m=radius_m).select("ad_id", "date", "utc_timestamp", "lat", "lng").distinct()
 
 
 def closest_poi(pings: DataFrame, targets: DataFrame, *, radius_m: float = POI_RADIUS_M) -> DataFrame:
     """The nearest target of each ping within reach; of equally near ones the first id."""
     best = Window.partitionBy("ad_id", "utc_timestamp").orderBy("distance_m", "poi_id")
-    return spatial_join(pings, targets, radius_m=radius_m).withColumn("rn_", F.row_number().over(best)).filter("rn_ = 1").drop("rn_")
+    return spatial_join(pings, among(targets, pings, radius_m=radius_m), radius_m=radius_m).withColumn("rn_", F.row_number().over(best)).filter("rn_ = 1").drop("rn_")
 
 
 def within_box(pings: DataFrame, targets: DataFrame, *, margin: float = BOX_MARGIN_DEG) -> DataFrame:

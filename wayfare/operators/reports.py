@@ -8,7 +8,7 @@ from math import floor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import spatial_join
+from ..functions.geo import among, spatial_join
 from ..functions.numbers import half_up
 from ..functions.timeutil import iso_day, local_time, minutes_between
 from ..sources.schema import POI_RADIUS_M
@@ -101,12 +101,14 @@ def mobility(pings: DataFrame, visit_times: DataFrame, catalogue: DataFrame, *,
 def around_visits(pings: DataFrame, visit_times: DataFrame, catalogue: DataFrame, *, minutes: int = 120, radius_m: float = POI_RADIUS_M) -> DataFrame:
     """Distinct ad_id, date, timing and category of places near pings within the window around a visit.
 
-    ``visit_times`` has ad_id, date, visit_time; pings within the visit's own minute don't count.
+    ``visit_times`` has ad_id, date, visit_time, a row for each; its other columns follow. Pings within the visit's own
+    minute don't count. Pings meet places first, so that only those near one are shuffled to their device-day's visit.
     """
     apart = minutes_between(F.col("visit_time"), F.col("utc_timestamp"))
-    around = pings.join(visit_times, ["ad_id", "date"]).filter((F.abs(apart) > 0) & (F.abs(apart) <= minutes))
-    around = around.select("ad_id", "date", "lat", "lng", F.when(F.col("utc_timestamp") < F.col("visit_time"), "before").otherwise("after").alias("timing")).distinct()
-    return spatial_join(around, catalogue, radius_m=radius_m).select("ad_id", "date", "timing", "category").distinct()
+    near = spatial_join(pings, among(catalogue, pings, radius_m=radius_m), radius_m=radius_m).select("ad_id", "date", "utc_timestamp", "category")
+    around = near.join(visit_times, ["ad_id", "date"]).filter((F.abs(apart) > 0) & (F.abs(apart) <= minutes))
+    timing = F.when(F.col("utc_timestamp") < F.col("visit_time"), "before").otherwise("after").alias("timing")
+    return around.select("ad_id", "date", timing, "category", *[c for c in visit_times.columns if c not in ("ad_id", "date", "visit_time")]).distinct()
 
 
 def visit_times(at_poi: DataFrame) -> DataFrame:

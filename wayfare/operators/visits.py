@@ -85,7 +85,7 @@ def bucket_reports(pings: DataFrame, at_poi: DataFrame, catalogue: DataFrame, *,
     flows = ends.join(days, ["ad_id", "date"]).select(*map(at, flow), hour("first_seen").alias("departure_hour"), hour("arrival").alias("poi_arrival_hour"), _fits(F.col("dwell_minutes"), buckets))
     longest = days.groupBy("ad_id").agg(F.max("dwell_minutes").alias("most"))
     starts = ends.join(longest, "ad_id").select(*map(at, flow[:2]), hour("first_seen").alias("departure_hour"), _fits(F.col("most"), buckets))
-    near = reports.around_visits(pings, days.select("ad_id", "date", F.col("arrival").alias("visit_time")), catalogue).join(days, ["ad_id", "date"]).select("timing", "category", _fits(F.col("dwell_minutes"), buckets))
+    near = reports.around_visits(pings, days.withColumnRenamed("arrival", "visit_time"), catalogue).select("timing", "category", _fits(F.col("dwell_minutes"), buckets))
     count = lambda df, *keys: df.groupBy("bucket", *keys).agg(F.count(F.lit(1)).alias("device_days"))
     return {
         "od": count(flows, *flow, "departure_hour", "poi_arrival_hour"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import as_targets, at_poi_pings, closest_poi, haversine_km, haversine_m, planar_m, spatial_join, within_box
+from ..functions.geo import among, as_targets, at_poi_pings, closest_poi, haversine_km, haversine_m, planar_m, spatial_join, within_box
 from ..functions.timeutil import local_time
 from ..operators import filters, poi_sets, visits
 from ..sources.fixtures import Tables
@@ -101,7 +101,8 @@ bd AS (SELECT DISTINCT bucket, ad_id, date FROM dt JOIN b ON m >= bucket)
 
 
 def bucketed(t: Tables) -> dict[str, DataFrame]:
-    return visits.bucket_reports(valid(t), at_poi(t), targets(t))
+    near = among(targets(t), valid(t))
+    return visits.bucket_reports(valid(t), at_poi_pings(valid(t), near), near)
 
 
 @query(BUCKETS_SQL + "SELECT bucket, olat AS origin_lat, olng AS origin_lng, dlat AS dest_lat, dlng AS dest_lng, left_at AS departure_hour, CAST(hour(arrival) AS BIGINT) AS poi_arrival_hour, count(*) AS device_days FROM bd JOIN ends USING (ad_id, date) JOIN dwell USING (ad_id, date) GROUP BY ALL")
