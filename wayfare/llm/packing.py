@@ -12,8 +12,10 @@ other; a text of any length is cut as it comes; an empty table gives no rows; ot
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,24 +36,29 @@ def _byte_ranks(vocab: dict[str, int], special: list[str]) -> dict[bytes, int]:
     return {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
 
 
+@lru_cache(maxsize=1)
 def byte_bpe_encoder(tokenizer_file: str) -> Encoder:
     """Texts to (ids of all, number of ids of each), as ``Tokenizer.encode(add_special_tokens=False)`` gives them.
 
     The vocabulary and ranks come from the given file, and tiktoken merges with them: the ids are the same (the
     tests compare both) in a fifth of the time. Texts that hold a special token's string, which the file's own
-    library reads as that token, go to that library.
+    library reads as that token, go to that library, which is loaded again for the first of them.
+
+    A Python worker builds it once and keeps it for its later tasks: what it would build and free for each of them
+    leaves its memory in pieces, which an idle worker goes on holding beside the stages that follow.
     """
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(tokenizer_file)
-    special = [t.content for t in tok.get_added_tokens_decoder().values()]
-    merge = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_byte_ranks(tok.get_vocab(), special), special_tokens={})
+    library = cache(lambda: Tokenizer.from_file(tokenizer_file))
+    special = [t.content for t in library().get_added_tokens_decoder().values()]
+    merge = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_byte_ranks(library().get_vocab(), special), special_tokens={})
+    library.cache_clear()
 
     def one(text: str) -> np.ndarray:
         if any(s in text for s in special):
-            return np.array(tok.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            return np.array(library().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return merge.encode_to_numpy(text, disallowed_special=())
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,28 +100,36 @@ def with_offsets(tokens: DataFrame) -> DataFrame:
     return tokens.join(F.broadcast(offsets), "part").withColumn("begin", F.col("start") + F.col("before")).drop("part", "start", "before")
 
 
-def pack(docs: DataFrame, tokenizer_file: str, *, length: int = 1024, separator: int = 0, with_ids: bool = True) -> DataFrame:
-    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids."""
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
+def _cut(length: int, slice_rows: int, *, with_ids: bool):  # noqa: ANN202
+    """Over documents' ids and places in the corpus (doc_id, begin, n, ids): their pieces."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            begin, n = (batch.column(k).to_numpy() for k in ("begin", "n"))
-            first = begin // length
-            pieces = (begin + n - 1) // length - first + 1
-            row = np.repeat(np.arange(len(n)), pieces)
-            sequence = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            start = np.maximum(sequence * length, begin[row]) - begin[row]
-            end = np.minimum((sequence + 1) * length - begin[row], n[row])
-            ids = batch.column("ids")
-            data = [memoryview(ids[i].as_buffer())[s * 4 : e * 4] for i, s, e in zip(row.tolist(), start.tolist(), end.tolist(), strict=True)]
-            crc = np.fromiter(map(zlib.crc32, data), dtype=np.int64, count=len(data))
-            cols = [batch.column("doc_id").take(pa.array(row)), start, end - start, crc, n[row], sequence, begin[row] + start - sequence * length]
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols] + [pa.array([bytes(x) for x in data], pa.binary())] * with_ids, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 7 + with_ids])
-
-    return with_offsets(tokenize(docs, tokenizer_file, separator=separator)).select("doc_id", "begin", "n", "ids").mapInArrow(cut, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, slice_rows):
+                batch = whole.slice(at, slice_rows)
+                begin, n = (batch.column(k).to_numpy() for k in ("begin", "n"))
+                first = begin // length
+                pieces = (begin + n - 1) // length - first + 1
+                row = np.repeat(np.arange(len(n)), pieces)
+                sequence = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = np.maximum(sequence * length, begin[row]) - begin[row]
+                end = np.minimum((sequence + 1) * length - begin[row], n[row])
+                # the pieces of a slice lie end to end in its ids, which are only looked at, not copied
+                ids = batch.column("ids").cast(pa.large_binary())
+                held, bounds = ids.buffers()[2], np.frombuffer(ids.buffers()[1], dtype=np.int64)[ids.offset : ids.offset + len(n) + 1]
+                cuts = np.r_[bounds[row] + start * 4, bounds[-1]]
+                crc = np.fromiter(map(zlib.crc32, (memoryview(held)[a:b] for a, b in itertools.pairwise(cuts.tolist()))), dtype=np.int64, count=len(row))
+                cols = [batch.column("doc_id").take(pa.array(row)), start, end - start, crc, n[row], sequence, begin[row] + start - sequence * length]
+                data = [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(cuts), held]).cast(pa.binary())] if with_ids else []
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols] + data, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 7 + with_ids])
+
+    return run
+
+
+def pack(docs: DataFrame, tokenizer_file: str, *, length: int = 1024, separator: int = 0, with_ids: bool = True, slice_rows: int = 1000) -> DataFrame:
+    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids. ``slice_rows`` bounds what is encoded or cut at once."""
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
+    return with_offsets(tokenize(docs, tokenizer_file, separator=separator, slice_rows=slice_rows)).select("doc_id", "begin", "n", "ids").mapInArrow(_cut(length, slice_rows, with_ids=with_ids), schema)
 
 
 def sequences(pieces: DataFrame, *, length: int = 1024, pad: int = 0) -> DataFrame:
