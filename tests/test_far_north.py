@@ -3,9 +3,12 @@
 import math
 import random
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 from wayfare.functions import geo
 from wayfare.operators import affinity, poi_sets
+from wayfare.plans import QUERIES, SQL
 
 
 def km(a, b, c, d):
@@ -76,3 +79,36 @@ def test_components_and_sweep_agree_with_rounds(spark):
     df = places(spark, rows)
     for options in ({}, {"rounds": 1}, {"rounds": 1, "sweep_pairs": 6}):
         assert sorted(r["id"] for r in poi_sets.greedy_distinct(df, radius_m=60.0, **options).collect()) == want
+
+
+def test_distinct_places_beyond_the_globe(spark, data, tmp_path):
+    """Longitudes of a large catalogue run beyond 180: the SQL compares them as numbers, so that places 360 degrees apart don't meet."""
+    turn = 360 * 64 * 10
+    parts = [(k, "small ring", "Brand#1") for k in [*range(40), *range(turn, turn + 40)]]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{data}/sf0.001/events.parquet'")
+    want = sorted(r[0] for r in con.execute(SQL["distinct_places"]).fetchall())
+    assert sorted(r["id"] for r in QUERIES["distinct_places"](spark, str(tmp_path)).collect()) == want
+    assert len(want) == 40
+
+
+def test_places_meet_across_the_date_line_unless_told(spark):
+    rows = places(spark, [("a", 0, 10.0, 179.9999), ("b", 1, 10.0, -179.9999), ("c", 2, 10.0, 539.9999)])
+    assert sorted(r["id"] for r in poi_sets.greedy_distinct(rows).collect()) == ["a"]
+    assert sorted(r["id"] for r in poi_sets.greedy_distinct(rows, globe=False).collect()) == ["a", "b", "c"]
+
+
+def test_rounds_take_only_blocks_that_learn_something(spark, monkeypatch):
+    """A chain through eight blocks: each is taken once at first, and once when the block before it is decided."""
+    n, taken = 3000, []
+    street = spark.range(n).select("id", F.col("id").alias("position"), F.lit(0.0).alias("latitude"), (F.col("id") * 0.0002).alias("longitude"))
+
+    def spy(sides, schema, f=poi_sets._swept):
+        taken.append(sides.select("here").distinct().count())
+        return f(sides, schema)
+
+    monkeypatch.setattr(poi_sets, "_swept", spy)
+    assert sorted(r["id"] for r in poi_sets.greedy_distinct(street, radius_m=50.0, sweep_pairs=750).collect()) == list(range(0, n, 3))
+    assert 7 <= taken[0] <= 9 and set(taken[1:]) == {1} and len(taken) <= taken[0]

@@ -39,22 +39,28 @@ def ring_cells(lng: Column, low: Column | float, high: Column | float, size: flo
     return F.transform(F.sequence(first, F.least(last, first + (n - 1))), lambda c: F.pmod(c, F.lit(n).cast("long")))
 
 
-def near_cells(lat: Column, lng: Column, reach_km: float) -> tuple[Column, Column]:
+def line_cells(lng: Column, low: Column | float, high: Column | float, size: float) -> Column:
+    """As :func:`ring_cells`, with longitudes as numbers on a line: no strip meets another one around the globe, and longitudes beyond 180 lie further east."""
+    return F.sequence(cell(lng + low, size), cell(lng + high, size))
+
+
+def near_cells(lat: Column, lng: Column, reach_km: float, *, globe: bool = True) -> tuple[Column, Column]:
     """Arrays of the cells, south to north and west to east, that may hold what is within reach (on the sphere) of a point.
 
-    A degree of longitude is shorter at a higher latitude, and where the pole is within reach all of them are.
+    A degree of longitude is shorter at a higher latitude, and where the pole is within reach all of them are. Without
+    ``globe`` longitudes don't meet across the date line.
     """
     size = reach_km / 111.0
     up = reach_km / (EARTH_M / 1000) * 180 / 3.141592653589793 * (1 + 1e-9)
     top = F.abs(lat) + up
     across = F.when(top >= 90, F.lit(360.0)).otherwise(up / F.cos(F.radians(F.least(top, F.lit(89.999999)))) + 1e-9)
-    return F.sequence(cell(lat - up, size), cell(lat + up, size)), ring_cells(lng, -across, across, size)
+    return F.sequence(cell(lat - up, size), cell(lat + up, size)), (ring_cells if globe else line_cells)(lng, -across, across, size)
 
 
-def own_cell(lat: Column, lng: Column, reach_km: float) -> tuple[Column, Column]:
+def own_cell(lat: Column, lng: Column, reach_km: float, *, globe: bool = True) -> tuple[Column, Column]:
     """The cell of a point, as :func:`near_cells` numbers them."""
     size = reach_km / 111.0
-    return cell(lat, size), ring_cells(lng, 0.0, 0.0, size)[0]
+    return cell(lat, size), (ring_cells if globe else line_cells)(lng, 0.0, 0.0, size)[0]
 
 
 #: Rows of points by cell that may be broadcast, some ten megabytes. They are counted, as the planner's estimate of a side doesn't know how many cells a point is repeated over.

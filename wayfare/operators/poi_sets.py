@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import date, timedelta
+from itertools import chain, groupby
 from math import ceil
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.durable import append, materialize, new_path
 from ..functions.geo import cell, haversine_m, near_cells, own_cell, spatial_join
@@ -27,82 +30,124 @@ def shuffled(rows: DataFrame) -> DataFrame:
     return rows.hint("merge")
 
 
-def _swept(dealt: DataFrame, schema: str) -> DataFrame:
-    """The removed ids (id) that blocks of pairs (here, id, id2, first_here), sorted by block and by the order of the first, can tell.
+#: What a row of a sweep says: an id is removed; a place that another block hangs on is decided; a block is done.
+REMOVED, TOLD, FINISHED = 0, 1, 2
 
-    What comes first and lies in another block may yet be removed, so that what it would remove is in doubt, and so is
-    what hangs on that. A block's task holds the ids that are removed or in doubt, not its pairs.
+
+def _swept(sides: DataFrame, schema: T.StructType) -> DataFrame:
+    """What blocks of pairs can tell of their places, see :data:`REMOVED`; ``sides`` are sorted by block and by the order of the first.
+
+    A side is a pair (``here`` is the block it is dealt to, ``own`` whether its first lies there, ``to`` the block of
+    its second), or, before the pairs of a place that lies elsewhere, what is known of it (``stays``: 1, 0 or, of
+    pairs, -1). What comes first and is not known may yet be removed, so that what it would remove is in doubt, and so
+    is what hangs on that. A block tells of its removed ids when none of its own is in doubt; its task holds the ids
+    that are removed or in doubt, not its pairs.
     """
+    most = 10_000
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, gone, doubt = None, set(), set()
-        for rows in batches:
-            found = []
-            for here, first, second, own in zip(rows["here"], rows["id"], rows["id2"], rows["first_here"], strict=True):
-                if here != block:
-                    block, gone, doubt = here, set(), set()
-                if first in gone:
+        rows = chain.from_iterable(zip(*[b[c] for c in ("here", "position", "id", "pair", "own", "to", "id2", "stays")], strict=True) for b in batches)
+        out = []
+        frame = lambda x: pd.DataFrame(x, columns=schema.names, dtype=object)
+        for here, block in groupby(rows, key=itemgetter(0)):
+            gone, doubt, told, last, stays = set(), set(), set(), None, -1
+            for _, position, first, pair, own, to, second, said in block:
+                if first != last:
+                    last, told = first, set()
+                    stays = said if not own else -1 if first in doubt else int(first not in gone)
+                if not pair:
                     continue
-                if not own or first in doubt:
-                    doubt.add(second)
-                elif second not in gone:
-                    gone.add(second)
-                    found.append(second)
-            yield pd.DataFrame({"id": found}, dtype=object)
-
-    return dealt.mapInPandas(sweep, schema)
+                if to != here:
+                    if stays >= 0 and to not in told:
+                        told.add(to)
+                        out.append((TOLD, to, position, first, stays))
+                elif stays and second not in gone:
+                    if stays < 0:
+                        doubt.add(second)
+                    else:
+                        gone.add(second)
+                        doubt.discard(second)
+                if len(out) >= most:
+                    yield frame(out)
+                    out = []
+            if not doubt:
+                out.append((FINISHED, here, None, None, None))
+                while gone:
+                    yield frame(out + [(REMOVED, here, None, gone.pop(), None) for _ in range(min(most, len(gone)))])
+                    out = []
+        yield frame(out)
+
+    return sides.sortWithinPartitions("here", "position", "id", "pair").mapInPandas(sweep, schema)
 
 
 def _blocks(live: DataFrame, sweep_pairs: int) -> tuple[DataFrame, int]:
-    """``live`` with the block of each side, which are ranges of cells with about ``sweep_pairs`` pairs each, and the number of blocks."""
+    """The sides of ``live``, each pair dealt to the blocks of both of its places, and the number of blocks, which are ranges of cells with about ``sweep_pairs`` pairs each."""
     n = max(1, ceil(live.count() / sweep_pairs))
     spots = live.select("cx", "cy").unionByName(live.select(F.col("cx2").alias("cx"), F.col("cy2").alias("cy")))
     cells = spots.repartitionByRange(n, "cx", "cy").select("cx", "cy", F.spark_partition_id().alias("block")).distinct()
     cells = materialize(cells, "blocks")
     second = cells.toDF("cx2", "cy2", "block2")
-    return materialize(live.join(shuffled(cells), ["cx", "cy"]).join(shuffled(second), ["cx2", "cy2"]).select("id", "position", "id2", "block", "block2"), "near"), n
+    sides = live.join(shuffled(cells), ["cx", "cy"]).join(shuffled(second), ["cx2", "cy2"]).withColumn("here", F.explode(F.array_distinct(F.array("block", "block2"))))
+    sides = sides.select("here", "position", "id", F.lit(True).alias("pair"), (F.col("here") == F.col("block")).alias("own"), F.col("block2").alias("to"), "id2", F.lit(-1).alias("stays"))
+    return materialize(sides.repartition(n, "here").sortWithinPartitions("here"), "near"), n
 
 
-def greedy_distinct(pois: DataFrame, *, radius_m: float = 50.0, rounds: int = 1, sweep_pairs: int = 500_000) -> DataFrame:
+def greedy_distinct(pois: DataFrame, *, radius_m: float = 50.0, rounds: int = 0, sweep_pairs: int = 500_000, globe: bool = True) -> DataFrame:
     """Places that stay when they are taken by ``position`` and each removes the later ones within the radius.
 
-    Near pairs are found by an equi-join on cells. In a round a place that is first among its undecided neighbours
-    stays, and removes them; a few rounds decide nearly all where the order is unlike the map. Chains of neighbours in
-    rising order would take a round for each link: after ``rounds`` of them, cells are put into blocks of about
-    ``sweep_pairs`` pairs, which are counted, and in each further round a task takes a block's pairs in order, as a
-    stream, and decides all that doesn't hang on another block. A chain then takes a round for each block that it
-    passes through. What is undecided is written each round, so that no plan grows. No side is broadcast: places and
-    removed ones are as many as the catalogue's rows.
+    Near pairs are found by an equi-join on cells; without ``globe`` longitudes are numbers on a line, that don't meet
+    across the date line. In each of some plain ``rounds`` a place that is first among its undecided neighbours stays,
+    and removes them. Then cells are put into blocks of about ``sweep_pairs`` pairs, which are counted, and a task
+    takes a block's pairs in order, as a stream, and decides all that doesn't hang on another block. What is decided
+    of places that other blocks hang on is written, and only blocks that learn something by it are taken again: a
+    chain takes a round for each block that it passes through, and such a round reads that block alone. No plan grows
+    with the rounds, and no side is broadcast: places and removed ones are as many as the catalogue's rows.
     """
     reach_km = radius_m / 1000 * 1.01
     deg = pois.select("id", "position", "latitude", "longitude")
-    ys, xs = near_cells(F.col("latitude"), F.col("longitude"), reach_km)
-    cy, cx = own_cell(F.col("latitude"), F.col("longitude"), reach_km)
+    ys, xs = near_cells(F.col("latitude"), F.col("longitude"), reach_km, globe=globe)
+    cy, cx = own_cell(F.col("latitude"), F.col("longitude"), reach_km, globe=globe)
     a = deg.withColumns({"cy": cy, "cx": cx}).withColumn("ny", F.explode(ys)).withColumn("nx", F.explode(xs))
     b = deg.select(F.col("id").alias("id2"), F.col("position").alias("p2"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lng2"), cy.alias("cy2"), cx.alias("cx2"))
     pairs = a.join(shuffled(b), (F.col("ny") == F.col("cy2")) & (F.col("nx") == F.col("cx2")) & (F.struct("position", "id") < F.struct("p2", "id2")))
     pairs = pairs.filter(haversine_m(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lng2")) <= radius_m).select("id", "position", "id2", "cx", "cy", "cx2", "cy2")
-    live, path = materialize(pairs, "near"), new_path(pois.sparkSession, "removed")
-    schema, done, blocks = pois.select("id").schema, 0, 0
-    while not live.isEmpty():
-        if done < rounds:
-            # the first of a pair stays if no undecided place comes before it; what it removes is decided
-            later = live.select(F.col("id2").alias("id")).distinct()
-            found = live.join(shuffled(later), "id", "left_anti").select(F.col("id2").alias("id"))
-        else:
-            if not blocks:
-                live, blocks = _blocks(live, sweep_pairs)
-            sides = live.withColumn("here", F.explode(F.array_distinct(F.array("block", "block2"))))
-            sides = sides.select("here", "position", "id", "id2", (F.col("here") == F.col("block")).alias("first_here"))
-            found = _swept(sides.repartition(blocks, "here").sortWithinPartitions("here", "position", "id"), schema)
-        gone = append(found.distinct(), path)
-        done += 1
+    spark = pois.sparkSession
+    live, path = materialize(pairs, "near"), new_path(spark, "decided")
+    kinds = {f.name: f.dataType for f in deg.schema}
+    schema = T.StructType().add("kind", T.IntegerType()).add("here", T.IntegerType()).add("position", kinds["position"]).add("id", kinds["id"]).add("stays", T.IntegerType())
+    for _ in range(rounds):
+        # the first of a pair stays if no undecided place comes before it; what it removes is decided
+        later = live.select(F.col("id2").alias("id")).distinct()
+        found = live.join(shuffled(later), "id", "left_anti").select(F.lit(REMOVED).alias("kind"), F.col("id2").alias("id")).distinct()
+        gone = append(found, path).select("id")
         # pairs of a removed place, on either side, decide nothing any more; nor do those of one that stays
         live = materialize(live.join(shuffled(gone), "id", "left_anti").join(shuffled(gone.withColumnRenamed("id", "id2")), "id2", "left_anti").select(*live.columns), "near")
-    every = pois.sparkSession.read.schema(schema).parquet(path) if done else pois.select("id").limit(0)
+    if live.isEmpty() and not rounds:
+        return pois.select("id")
+    if not live.isEmpty():
+        _sweep_all(live, sweep_pairs, path, schema)
+    every = spark.read.schema(schema).parquet(path).filter(F.col("kind") == REMOVED).select("id")
     return pois.join(shuffled(every), "id", "left_anti").select("id")
 
 
+def _sweep_all(live: DataFrame, sweep_pairs: int, path: str, schema: T.StructType) -> None:
+    """Sweep blocks until all are done; a row for each block reaches the driver, and one for each that learns something."""
+    dealt, n = _blocks(live, sweep_pairs)
+    at_work, done, known = None, set(), None
+    while at_work is None or at_work:
+        sides = dealt
+        if at_work is not None:
+            news = known.select("here", "position", "id", F.lit(False).alias("pair"), F.lit(False).alias("own"), F.col("here").alias("to"), F.col("id").alias("id2"), "stays")
+            sides = dealt.unionByName(news).filter(F.col("here").isin(at_work))
+        found = append(_swept(sides.repartition(n if at_work is None else len(at_work), "here"), schema), path)
+        done |= {r["here"] for r in found.filter(F.col("kind") == FINISHED).select("here").collect()}
+        told = found.filter(F.col("kind") == TOLD)
+        fresh = told if known is None else told.join(shuffled(known.select("here", "id")), ["here", "id"], "left_anti")
+        at_work = sorted({r["here"] for r in fresh.select("here").distinct().collect()} - done)
+        # rows that a block tells again say the same
+        known = live.sparkSession.read.schema(schema).parquet(path).filter(F.col("kind") == TOLD)
+
+
 def best_match(queries: DataFrame, candidates: DataFrame, *, radius_m: float = 100.0, bonus: float = 50.0) -> DataFrame:
     """The best candidate of each query place: nearness (100 less the metres) plus a bonus for the same category."""
     met = spatial_join(queries.select("query_id", F.col("category").alias("wanted"), "lat", "lng"), candidates, radius_m=radius_m)

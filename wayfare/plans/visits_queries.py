@@ -235,8 +235,8 @@ taken AS (SELECT 1::BIGINT AS n, CAST([1] AS BIGINT[]) AS kept UNION ALL
 SELECT id FROM pos WHERE n IN (SELECT unnest(kept) FROM taken WHERE n = (SELECT count(*) FROM pos))
 """)
 def distinct_places(t: Tables) -> DataFrame:
-    """Greedy removal of places within a cell's reach, in the order of their ids."""
-    return poi_sets.greedy_distinct(t.pois.select("id", "latitude", "longitude", F.col("id").alias("position")), radius_m=1800.0)
+    """Greedy removal of places within a cell's reach, in the order of their ids; longitudes are compared as numbers, also beyond 180."""
+    return poi_sets.greedy_distinct(t.pois.select("id", "latitude", "longitude", F.col("id").alias("position")), radius_m=1800.0, globe=False)
 
 
 @query("""
